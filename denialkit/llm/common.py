@@ -34,10 +34,11 @@ class Stored:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths, self.made = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {}, 0
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.root}/{self.made}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
