@@ -70,3 +70,18 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     heavy = F.broadcast(groups.where(F.col(size) >= limit))
     light = groups.where(F.col(size) < limit)
     return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, "left"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out: int, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample of labelled training documents, and the training rows of each label.
+
+    Training rows have a 0/1 label and crc32(doc_id) mod ``fold`` other than ``held_out``; of a
+    doc_id labelled twice the larger label counts. Of each label the ``most`` documents with the
+    smallest hash of their id are taken, so the choice is stable and needs no shuffle of texts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), fold) != held_out))
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    part = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    chosen = F.broadcast(part[0].union(part[1]))  # 2 * most rows at most
+    return docs.select("doc_id", "text").join(chosen, "doc_id").limit(2 * most), counts

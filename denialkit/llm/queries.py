@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 from .bpe_codec import bpe_encode
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
+from .quality_knn import quality_knn
 from .token_count import token_count
+from .toxicity_gbt import toxicity_gbt
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -25,12 +36,16 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_exact_dedup, op7_bpe_codec, op10_token_count)}
+    return {f.__name__: f for f in (op2_quality_knn, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:

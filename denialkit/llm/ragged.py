@@ -21,6 +21,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _CODE = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _LOWER = _CODE.copy()
 _LOWER[65:91] = _LOWER[97:123]
+#: Byte codes under which look-alike digits and signs equal the letters they stand for.
+LOOKALIKE = _LOWER.copy()
+for _sign, _letter in zip(b"0134578@$!|", b"oieastbasil", strict=True):
+    LOOKALIKE[_sign] = LOOKALIKE[_letter]
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -54,16 +58,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``limit`` text bytes, which bounds a task's memory; one
-    text is never cut."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 21, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` text bytes and at most ``rows`` rows, which
+    bounds a task's memory; one text is never cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = raw(batch.column(text))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -80,19 +84,23 @@ class Words:
     def count(self) -> np.ndarray:
         return np.diff(self.at)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (A-Z lower-cased first if asked)."""
+    def hashes(self, lower: bool = False, codes: np.ndarray | None = None, heads: tuple[int, ...] = ()) -> np.ndarray | list[np.ndarray]:
+        """A 64-bit hash of each word's bytes (A-Z lower-cased first if asked, or any other table
+        of byte codes); with ``heads`` also of the words' first bytes, so many each."""
         n = len(self.data)
         sums = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER if lower else _CODE)[self.data] * powers(_BASE, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * powers(_BASE_INV, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(U64))
+        np.cumsum((codes if codes is not None else _LOWER if lower else _CODE)[self.data] * powers(_BASE, n), out=sums[1:])
+        back = powers(_BASE_INV, n + 1)[self.start]
+        ends = [self.end, *(np.minimum(self.end, self.start + k) for k in heads)]
+        out = [mix((sums[e] - sums[self.start]) * back + (e - self.start).astype(U64)) for e in ends]
+        return out if heads else out[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, outside: np.ndarray = _SPACE) -> Words:
+    """The words of a column; ``outside`` marks the byte values that separate words."""
     data, offsets = raw(column)
     n, rows = len(data), len(offsets) - 1
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.ones(n, bool)
