@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import bpe_encode
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .language_gru import language_gru
 from .near_dedup import near_dedup
 from .quality_knn import quality_knn
 from .token_count import token_count
@@ -21,6 +22,10 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_gru(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gbt(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -45,7 +50,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_knn, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
+    return {f.__name__: f for f in (op2_quality_knn, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
