@@ -10,6 +10,7 @@ from .bpe_codec import bpe_encode
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .language_gru import language_gru
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality_knn import quality_knn
 from .token_count import token_count
@@ -22,6 +23,11 @@ def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_gru(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_knn, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
+    return {f.__name__: f for f in (op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
