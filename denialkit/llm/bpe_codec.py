@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ragged import pieces
+from .ragged import pieces, take
 from .token_merge import ByteBpe, load
 from .transducer import Transducer, compile_words
 
@@ -44,13 +44,6 @@ def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> bytes
     return compile_words(words, *bpe.merge(words))
 
 
-def take(flat: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Concatenates flat[start[r]:start[r]+size[r]] of the rows; also gives where each begins."""
-    n = size[rows]
-    at = np.concatenate([[0], np.cumsum(n)])
-    return flat[np.arange(at[-1]) + np.repeat(start[rows] - at[:-1], n)], at
-
-
 class Encoder:
     """Ids of pre-tokens: remembered ones first, then the transducer, then exact merges."""
 

@@ -34,8 +34,9 @@ def _rows(pages: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"page": pa.array(list(pages), pa.int32()), "once": pa.array([o.tobytes() for o, _ in pages.values()], pa.binary()), "twice": pa.array([t.tobytes() for _, t in pages.values()], pa.binary())})
 
 
-def repeat_filter(hashes: DataFrame, rows: int) -> tuple[bytes, int]:
-    """First pass: a Bloom filter of the hashes that at least two rows of ``h`` may share.
+def bloom_filter(hashes: DataFrame, rows: int, repeated: bool) -> tuple[bytes, int]:
+    """A Bloom filter of the column ``h``, or with ``repeated`` of the hashes that at least two
+    rows may share.
 
     Every task fills its own pages; pages meet by number and merge as they stream, so no task
     holds more than its share of the filter. Returns the filter's bits and its slots.
@@ -65,13 +66,20 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[bytes, int]:
         yield _rows(pages)
 
     schema = "page int, once binary, twice binary"
-    merged = hashes.select("h").mapInArrow(fill, schema).repartition("page").mapInArrow(merge, schema).select("page", "twice")
+    merged = hashes.select("h").mapInArrow(fill, schema).repartition("page").mapInArrow(merge, schema).select("page", "twice" if repeated else "once")
     bits = bytearray(m // 8)
-    for page, twice in merged.collect():  # m / 8 bytes in all, 128 MB at most
-        bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = twice
+    for page, part in merged.collect():  # m / 8 bytes in all, 128 MB at most
+        bits[page * PAGE // 8 : (page + 1) * PAGE // 8] = part
     return bytes(bits), m
 
 
+def may_contain(bits: bytes, m: int, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter holds; it never misses one."""
+    slots = _slots(h, m)
+    hit = (np.frombuffer(bits, np.uint8)[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+    return hit.reshape(POSITIONS, -1).all(axis=0)
+
+
 def exact_dedup(docs: DataFrame, store: Stored | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -84,15 +92,12 @@ def exact_dedup(docs: DataFrame, store: Stored | None = None) -> DataFrame:
     slim = docs.select("doc_id", F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"))
     slim = store.put("hashes", slim.withColumn("h", F.xxhash64("text_sha256")))
     total = slim.count()
-    bits, m = repeat_filter(slim, total)
+    bits, m = bloom_filter(slim, total, repeated=True)
     shared = spark.sparkContext.broadcast(bits)
 
     def mark(batches):
-        table = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            slots = _slots(b.column("h").to_numpy(zero_copy_only=False), m)
-            hit = (table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
-            again = hit.reshape(POSITIONS, -1).all(axis=0)
+            again = may_contain(shared.value, m, b.column("h").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], names=[*b.schema.names, "again"])
 
     marked = slim.mapInArrow(mark, f"{', '.join(f'{n} {t}' for n, t in slim.dtypes)}, again boolean").drop("h")

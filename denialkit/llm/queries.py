@@ -13,12 +13,18 @@ from .language_gru import language_gru
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality_knn import quality_knn
+from .substring_dedup import substring_dedup
 from .token_count import token_count
 from .toxicity_gbt import toxicity_gbt
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -56,7 +62,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
