@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_encode
 from .common import read_table
+from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .language_gru import language_gru
 from .line_dedup import line_dedup
@@ -57,12 +58,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op10_token_count)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count)}
 
 
 def oracle_sql() -> dict[str, str]:
