@@ -85,3 +85,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out
     part = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(part[0].union(part[1]))  # 2 * most rows at most
     return docs.select("doc_id", "text").join(chosen, "doc_id").limit(2 * most), counts
+
+
+#: The most ids that are broadcast to drop or fetch documents; beyond that they shuffle.
+SMALL = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame, *extra: str) -> DataFrame:
+    """The documents whose doc_id (and extra key columns) are not among ``ids``, a stored table."""
+    keys = ["doc_id", *extra]
+    ids = ids.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for k in extra:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, on, "left_anti")

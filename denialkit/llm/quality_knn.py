@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, labelled
 from .ragged import U64, mix, pieces, words
@@ -92,8 +93,8 @@ def vote(v: np.ndarray, neighbours: np.ndarray, y: np.ndarray, weight: np.ndarra
     return (w * y[near]).sum(axis=1) / w.sum(axis=1)
 
 
-def quality_knn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """All columns of docs, and ``score`` (which replaces a column of that name).
 
     Term frequencies come from all documents; the latent space and the neighbours from at most
     ``sample`` labelled documents of each label outside the held-out fold. Null and empty texts
@@ -129,8 +130,15 @@ def quality_knn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
                 s = vote(unit(weigh(terms(b.column("text")), f) @ v), near, label, w, NEIGHBOURS).astype(np.float64)
             else:
                 s = np.full(b.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=schema.names)
 
     y = y[:1]  # the tasks need no more than whether there are labels
-    scored = docs.select("doc_id", "text").mapInArrow(score, "doc_id bigint, score double")
+    docs = docs.drop("score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(score, schema)
+
+
+def quality_knn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; see ``quality_scores``."""
+    scored = quality_scores(docs.select("doc_id", "text"), labels, sample)
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), FOLD) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -66,8 +66,14 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
