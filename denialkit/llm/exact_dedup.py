@@ -35,7 +35,7 @@ def _rows(pages: dict) -> pa.RecordBatch:
 
 
 def bloom_filter(hashes: DataFrame, rows: int, repeated: bool) -> tuple[bytes, int]:
-    """A Bloom filter of the column ``h``, or with ``repeated`` of the hashes that at least two
+    """A Bloom filter of the column ``h`` (longs or lists of longs, ``rows`` in all), or with ``repeated`` of the hashes that at least two
     rows may share.
 
     Every task fills its own pages; pages meet by number and merge as they stream, so no task
@@ -48,7 +48,8 @@ def bloom_filter(hashes: DataFrame, rows: int, repeated: bool) -> tuple[bytes, i
     def fill(batches):
         pages: dict = {}
         for b in batches:
-            slots, counts = np.unique(_slots(b.column("h").to_numpy(zero_copy_only=False), m), return_counts=True)
+            h = b.column("h").flatten() if pa.types.is_list(b.column("h").type) else b.column("h")
+            slots, counts = np.unique(_slots(h.to_numpy(zero_copy_only=False), m), return_counts=True)
             cuts = np.flatnonzero(np.diff(slots // PAGE)) + 1
             for s, c in zip(np.split(slots, cuts), np.split(counts, cuts), strict=True):
                 if len(s):

@@ -38,11 +38,20 @@ def components(store: Stored, edges: DataFrame, level: int = 0) -> DataFrame:
     return store.put(f"comp{level}", at.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
-def bucket_links(store: Stored, members: DataFrame, sigs: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Members of a bucket for each part into which its comparisons are split.
+PART = 512
+
+
+def bucket_links(
+    store: Stored, members: DataFrame, sigs: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None, possible: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """(node, comp) of all nodes that a verified link connects to another node.
 
-    members: (key, node). sigs: (node, sig), a short signature of each node. near: a
-    cheap test of two signatures. verify: keeps those of the pairs (a, b) that are links.
+    members: (key, node). sigs: (node, sig), a short signature of each node. near: a cheap test of
+    two signatures. verify: keeps those of the pairs (a, b) that are links. refine: gives the
+    remaining nodes (node) bounds (node, bound); possible: whether the bounds of two nodes allow
+    a link, which must hold for every link.
     """
     left, right = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     centers = members.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("x")).where("c < x").select("key", "c")
@@ -53,11 +62,20 @@ def bucket_links(store: Stored, members: DataFrame, sigs: DataFrame, near: Calla
     comp = components(store, edges)
 
     labelled = store.put("labelled", shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mains = labelled.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    mains = labelled.groupBy("key", "comp").count().groupBy("key").agg(
+        F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n"), F.ceil(F.sum("count") / PART).alias("parts")).where("n > 1").drop("n")
     mixed = store.put("mixed", labelled.join(mains, "key").join(sigs, "node"))
-    rest = mixed.where("comp <> main").select("key", F.col("node").alias("r"), F.col("comp").alias("rc"), F.col("sig").alias("rs"))
+    if refine is not None:
+        mixed = mixed.join(refine(store.put("nodes", mixed.select("node").distinct())), "node")
+    else:
+        mixed = mixed.withColumn("bound", F.lit(0))
+    # the members outside the largest group are dealt to the parts of their bucket, all others to each
+    rest = mixed.where("comp <> main").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("r"), F.col("comp").alias("rc"), F.col("sig").alias("rs"), F.col("bound").alias("rb"))
+    every = mixed.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "node", "comp", "main", "sig", "bound")
     apart = (F.col("rc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("r") < F.col("node")))
-    more = rest.join(mixed, "key").where(apart & near(F.col("rs"), F.col("sig"))).select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
+    if possible is not None:
+        apart = apart & possible(F.col("rb"), F.col("bound"))
+    more = rest.join(every, ["key", "part"]).where(apart & near(F.col("rs"), F.col("sig"))).select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
     more = store.put("more", more.join(stars, ["a", "b"], "left_anti"))
     late = store.put("late", verify(more).select("a", "b").distinct())
     if late.limit(1).count():

@@ -8,13 +8,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, attach
+from .common import SMALL, Stored, attach
+from .exact_dedup import bloom_filter, may_contain
 from .linking import bucket_links
 from .ragged import U64, mix, pieces, shingles, words
 
-#: Permutations (each gives two values), values a band joins, bits of a value kept in the sketch,
-#: and the most documents whose ids are broadcast to fetch their texts.
-PERMUTATIONS, BAND, SKETCH, SMALL = 64, 4, 8, 500_000
+#: Permutations (each gives two values), values a band joins, bits of a value kept in the sketch.
+PERMUTATIONS, BAND, SKETCH = 64, 4, 8
 #: A pair goes on to the exact check if its sketch agrees in this share of the values; at a true
 #: similarity of 0.75 that is 4.4 standard deviations below the mean.
 AGREE = 0.58
@@ -101,16 +101,43 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
         F.min("doc_id").alias("node"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sig")))
     members = sets.select("node", F.explode("bands").alias("key"))
 
+    def fetch(name: str, nodes: DataFrame) -> DataFrame:
+        ids = nodes.withColumnRenamed("node", "doc_id")
+        ids = F.broadcast(ids) if nodes.count() <= SMALL else ids
+        return store.put(name, shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k))
+
+    def linked(common: Column, x: Column, y: Column) -> Column:
+        return 100 * common >= percent * (x + y - common)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("a", "b")
-        ids = store.put("ids", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-        found = store.put("items", shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), k))
+        found = fetch("items", store.put("ids", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         left, right = found.select(F.col("node").alias("a"), F.col("items").alias("x")), found.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-        return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n")))
-
-    comp = bucket_links(store, members, sets.select("node", "sig"), sketches_near, verify)
+        both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+        return both.where(linked(F.col("common"), F.size("x"), F.size("y")))
+
+    def refine(nodes: DataFrame) -> DataFrame:
+        """How many shingles a node has, and how many of them another node may have too."""
+        found = fetch("rest", nodes).groupBy("node").agg(F.max("items").alias("items"), F.count("*").alias("sets"))
+        found = store.put("once", found.where("sets = 1").select("node", "items"))
+        bits, m = bloom_filter(found.select(F.col("items").alias("h")), found.agg(F.sum(F.size("items"))).first()[0] or 0, repeated=True)
+        shared = spark.sparkContext.broadcast(bits)
+
+        def count(batches):
+            for b in batches:
+                at, flat = b.column("items").offsets.to_numpy(), b.column("items").flatten().to_numpy(zero_copy_only=False)
+                known = np.concatenate([[0], np.cumsum(may_contain(shared.value, m, flat))])
+                at = at - at[0]
+                yield pa.RecordBatch.from_pydict({"node": b.column("node"), "size": np.diff(at).astype(np.int64), "common": known[at[1:]] - known[at[:-1]]})
+
+        bound = found.mapInArrow(count, "node bigint, size bigint, common bigint")
+        # a node with several texts may link whatever the numbers say
+        return nodes.join(bound, "node", "left").select("node", F.when(F.col("size").isNotNull(), F.struct("size", "common")).alias("bound"))
+
+    def possible(a: Column, b: Column) -> Column:
+        """Two sets have no more in common than either has with anything: an exact bound."""
+        return F.coalesce(linked(F.least(a["common"], b["common"]), a["size"], b["size"]), F.lit(True))
+
+    comp = bucket_links(store, members, sets.select("node", "sig"), sketches_near, verify, refine, possible)
     groups = sets.select("set_key", "node", "size").join(comp, "node", "left").select("set_key", "size", F.coalesce("comp", "node").alias("component_id"))
     slim = signed.select("doc_id", "n_shingles", "set_key")
     linked = attach(slim.where("set_key is not null"), store.put("groups", groups), "set_key", "size", total).unionByName(
