@@ -44,14 +44,14 @@ PART = 512
 
 def bucket_links(
     store: Stored, members: DataFrame, sigs: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
-    refine: Callable[[DataFrame], DataFrame] | None = None, possible: Callable[[Column, Column], Column] | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None, possible: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(node, comp) of all nodes that a verified link connects to another node.
 
     members: (key, node). sigs: (node, sig), a short signature of each node. near: a cheap test of
     two signatures. verify: keeps those of the pairs (a, b) that are links. refine: gives the
-    remaining nodes (node) bounds (node, bound); possible: whether the bounds of two nodes allow
-    a link, which must hold for every link.
+    remaining nodes (node) bounds (node, bound); possible: whether the bounds of two nodes of a
+    bucket allow a link, which must hold in one of their common buckets for every link.
     """
     left, right = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
     centers = members.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("x")).where("c < x").select("key", "c")
@@ -74,7 +74,7 @@ def bucket_links(
     every = mixed.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "node", "comp", "main", "sig", "bound")
     apart = (F.col("rc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("r") < F.col("node")))
     if possible is not None:
-        apart = apart & possible(F.col("rb"), F.col("bound"))
+        apart = apart & possible(F.col("rb"), F.col("bound"), F.col("key"))
     more = rest.join(every, ["key", "part"]).where(apart & near(F.col("rs"), F.col("sig"))).select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
     more = store.put("more", more.join(stars, ["a", "b"], "left_anti"))
     late = store.put("late", verify(more).select("a", "b").distinct())

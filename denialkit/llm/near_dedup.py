@@ -15,19 +15,19 @@ from .ragged import U64, mix, pieces, shingles, words
 
 #: Permutations (each gives two values), values a band joins, bits of a value kept in the sketch.
 PERMUTATIONS, BAND, SKETCH = 64, 4, 8
-#: A pair goes on to the exact check if its sketch agrees in this share of the values; at a true
-#: similarity of 0.75 that is 4.4 standard deviations below the mean.
-AGREE = 0.58
+#: A pair goes on to the exact check if its sketches agree in this share of the values; at a true
+#: similarity of 0.75 that is 4.4 standard deviations below the mean. FINE: permutations of the
+#: longer sketch that nodes of buckets with several groups get, and the share there.
+AGREE, FINE, FINE_AGREE = 0.58, 192, 0.65
 
 
-def minmax(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def minmax(rows: np.ndarray, hashes: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """Signatures of the shingle sets (sorted by row): the smallest and the largest value of each
     permutation, so that one evaluation serves two signature values."""
     first = np.flatnonzero(np.diff(rows, prepend=-1))
-    rng = np.random.default_rng(75)
-    seeds, factors = (rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.int64).astype(U64) for _ in range(2))
-    out = np.empty((len(first), 2 * PERMUTATIONS), U64)
-    for i in range(PERMUTATIONS):
+    seeds, factors = np.random.default_rng(75).integers(0, 1 << 63, (permutations, 2), dtype=np.int64).astype(U64).T
+    out = np.empty((len(first), 2 * permutations), U64)
+    for i in range(permutations):
         v = (hashes ^ seeds[i]) * (factors[i] * U64(2) + U64(1))
         out[:, 2 * i], out[:, 2 * i + 1] = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
     return out
@@ -59,17 +59,17 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
 
-def sketches_near(a: Column, b: Column) -> Column:
+def sketches_near(a: Column, b: Column, permutations: int = PERMUTATIONS, agree: float = AGREE) -> Column:
     """Whether enough bytes of two sketches (arrays of longs) are equal."""
     ones = F.lit(0x0101010101010101)
     differ = None
-    for i in range(2 * PERMUTATIONS * SKETCH // 64):
+    for i in range(2 * permutations * SKETCH // 64):
         x = a[i].bitwiseXOR(b[i])
         for shift in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         n = F.bit_count(x.bitwiseAND(ones))
         differ = n if differ is None else differ + n
-    return differ <= int(2 * PERMUTATIONS * (1 - AGREE))
+    return differ <= int(2 * permutations * (1 - agree))
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -127,15 +127,21 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
                 at, flat = b.column("items").offsets.to_numpy(), b.column("items").flatten().to_numpy(zero_copy_only=False)
                 known = np.concatenate([[0], np.cumsum(may_contain(shared.value, m, flat))])
                 at = at - at[0]
-                yield pa.RecordBatch.from_pydict({"node": b.column("node"), "size": np.diff(at).astype(np.int64), "common": known[at[1:]] - known[at[:-1]]})
+                size = np.diff(at).astype(np.int64)
+                sketch = (mix(minmax(np.repeat(np.arange(len(size)), size), flat.view(U64), FINE)) >> U64(64 - SKETCH)).astype(np.uint8)
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (sketch.shape[1] // 8), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size), pa.array(known[at[1:]] - known[at[:-1]]), fine], names=["node", "size", "common", "fine"])
 
-        bound = found.mapInArrow(count, "node bigint, size bigint, common bigint")
+        bound = found.mapInArrow(count, "node bigint, size bigint, common bigint, fine array<bigint>").join(sets.select("node", "bands"), "node")
         # a node with several texts may link whatever the numbers say
-        return nodes.join(bound, "node", "left").select("node", F.when(F.col("size").isNotNull(), F.struct("size", "common")).alias("bound"))
-
-    def possible(a: Column, b: Column) -> Column:
-        """Two sets have no more in common than either has with anything: an exact bound."""
-        return F.coalesce(linked(F.least(a["common"], b["common"]), a["size"], b["size"]), F.lit(True))
+        return nodes.join(bound, "node", "left").select("node", F.when(F.col("size").isNotNull(), F.struct("size", "common", "fine", "bands")).alias("bound"))
+
+    def possible(a: Column, b: Column, key: Column) -> Column:
+        """Two sets have no more in common than either has with anything, an exact bound; a pair
+        is looked at in the first of its common bands only."""
+        fits = linked(F.least(a["common"], b["common"]), a["size"], b["size"]) & sketches_near(a["fine"], b["fine"], FINE, FINE_AGREE)
+        first = F.coalesce(*[F.when(a["bands"][i] == b["bands"][i], a["bands"][i]) for i in range(2 * PERMUTATIONS // BAND)])
+        return F.coalesce(fits & (first == key), F.lit(True))
 
     comp = bucket_links(store, members, sets.select("node", "sig"), sketches_near, verify, refine, possible)
     groups = sets.select("set_key", "node", "size").join(comp, "node", "left").select("set_key", "size", F.coalesce("comp", "node").alias("component_id"))
