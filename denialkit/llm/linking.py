@@ -73,9 +73,8 @@ def bucket_links(
     rest = mixed.where("comp <> main").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.col("node").alias("r"), F.col("comp").alias("rc"), F.col("sig").alias("rs"), F.col("bound").alias("rb"))
     every = mixed.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "node", "comp", "main", "sig", "bound")
     apart = (F.col("rc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("r") < F.col("node")))
-    if possible is not None:
-        apart = apart & possible(F.col("rb"), F.col("bound"), F.col("key"))
-    more = rest.join(every, ["key", "part"]).where(apart & near(F.col("rs"), F.col("sig"))).select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
+    apart = apart & (near(F.col("rs"), F.col("sig")) if possible is None else possible(F.col("rb"), F.col("bound"), F.col("key")))
+    more = rest.join(every, ["key", "part"]).where(apart).select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
     more = store.put("more", more.join(stars, ["a", "b"], "left_anti"))
     late = store.put("late", verify(more).select("a", "b").distinct())
     if late.limit(1).count():
