@@ -84,7 +84,8 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Fetches the two normal forms of each pair from the documents where they come first."""
-        keys = store.put("keys", pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct())
+        ends = [pairs.select(F.col(c).alias("text_key")).distinct() for c in ("a", "b")]
+        keys = store.put("keys", ends[0].union(ends[1]).distinct())
         small = F.broadcast if keys.count() <= SMALL else (lambda x: x)
         wanted = store.put("wanted", texts.join(small(keys), "text_key").select("text_key", "first.doc_id", "first.row", "first.place"))
         at = wanted.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("place").alias("p"), F.col("text_key").alias("k"))

@@ -106,7 +106,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
         return 100 * common >= percent * (x + y - common)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        found = fetch("items", store.put("ids", pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        ends = [pairs.select(F.col(c).alias("node")).distinct() for c in ("a", "b")]
+        found = fetch("items", store.put("ids", ends[0].union(ends[1]).distinct()))
         left, right = found.select(F.col("node").alias("a"), F.col("items").alias("x")), found.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.where(linked(F.col("common"), F.size("x"), F.size("y")))
