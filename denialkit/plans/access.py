@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_placeholder
 from ..sources.policy import Policy
+from .closure import settle
 
 
 def _tokens(requests: DataFrame, side: str, closure: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def rule_hits(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFr
     Star subjects take branches of their own, so that each join is an equi-join; exclusions beat
     names and stars and apply to ancestors too. ``requests`` has req, src, tgt, cls.
     """
-    asked = with_tokens(requests.select("req", "src", "tgt", "cls"), closure)
+    asked = settle(with_tokens(requests.select("req", "src", "tgt", "cls"), closure))
     s, t = F.explode("src_tokens").alias("stok"), F.explode("tgt_tokens").alias("ttok")
     heads = policy.rules.select("rule_id", "kind", "cls", "src", "tgt", "src_star", "tgt_star")
     by_src = heads.where(F.size("src") > 0).withColumn("stok", F.explode("src"))

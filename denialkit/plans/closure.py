@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Computes a frame that a plan reads several times, once: by a checkpoint in the session's
+    shared folder, or in memory where no folder is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where:
+            sc.setCheckpointDir(where)
+    return df.checkpoint() if sc.getCheckpointDir() is not None else df.cache()
+
+
 def ancestors(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(name, token): every attribute reachable from a name along (child, parent) edges, the name
     itself left out; cycles are safe.
@@ -13,16 +24,10 @@ def ancestors(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     Path lengths double each round, so that a chain of depth d takes log2(d) rounds; every round
     is checkpointed, which bounds the lineage.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where:
-            spark.sparkContext.setCheckpointDir(where)
-    durable = spark.sparkContext.getCheckpointDir() is not None
     reach = edges.select(F.col("child").alias("name"), F.col("parent").alias("token")).distinct()
     size = -1
     for _ in range(most_rounds):
-        reach = reach.checkpoint() if durable else reach.cache()
+        reach = settle(reach)
         now = reach.count()
         if now == size:
             break

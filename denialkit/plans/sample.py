@@ -75,7 +75,7 @@ FROM events"""
 
 
 def sample_policy(spark: SparkSession) -> Policy:
-    return parse_policy(spark.createDataFrame([("sample.te", POLICY_TEXT)], "file string, text string"))
+    return parse_policy(spark.createDataFrame([("sample.te", POLICY_TEXT)], "file string, text string")).cached()
 
 
 def syn_a_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.text import IDENTIFIER, is_mls_level, is_placeholder, is_vacuou
 from ..sources.denials import clusters, with_fingerprint
 from ..sources.policy import Policy
 from .access import answers, resolve_targets, rule_hits
-from .closure import ancestors
+from .closure import ancestors, settle
 
 AUTO, HUMAN, NOISE = "auto_repairable", "needs_human", "noise_or_already_allowed"
 
@@ -112,7 +112,7 @@ def decide(cases: DataFrame, policy: Policy) -> DataFrame:
     """The whole decision for each distinct access: one row per ``cases`` row (fp, src, tgt, cls,
     perms, permissive, ioctl_cmd, service)."""
     closure = ancestors(policy.edges)
-    asked = resolve_targets(cases.withColumn("logged", F.col("perms")), policy).withColumn("raw_tgt", F.col("tgt"))
+    asked = settle(resolve_targets(cases.withColumn("logged", F.col("perms")), policy).withColumn("raw_tgt", F.col("tgt")))
     found = answers(asked.withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, closure)
     # review looks at the target as logged, which differs for resolved placeholders only
     moved = asked.where(~F.col("query_tgt").eqNullSafe(F.col("raw_tgt"))).select(F.col("fp").alias("req"), "src", F.col("raw_tgt").alias("tgt"), "cls", F.array_distinct("perms").alias("asked"))
@@ -141,7 +141,7 @@ def explain(decided: DataFrame) -> DataFrame:
 
 def converge(denials: DataFrame, policy: Policy) -> DataFrame:
     """Distinct accesses of parsed denials (with ``seq``), each decided once."""
-    return decide(clusters(with_fingerprint(denials)), policy)
+    return settle(decide(clusters(with_fingerprint(denials)), policy))
 
 
 def counts(decided: DataFrame) -> DataFrame:

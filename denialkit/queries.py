@@ -9,7 +9,7 @@ from .functions.text import apl_rank, is_mls_level, is_placeholder, is_vacuous
 from .operators import minimize as mini
 from .plans import sample
 from .plans.access import answers, resolve_targets
-from .plans.closure import ancestors, member_counts
+from .plans.closure import ancestors, member_counts, settle
 from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines
 from .sources.denials import clusters, suppressed, with_fingerprint
 from .sources.policy import corpus_statistics, summary
@@ -82,7 +82,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_targets(clusters(with_fingerprint(sample.syn_a(spark, sf_dir))), sample.sample_policy(spark))
+    return settle(resolve_targets(clusters(with_fingerprint(sample.syn_a(spark, sf_dir))), sample.sample_policy(spark)))
 
 
 @query(f"SELECT seq, src, tgt, cls, perms, permissive, ioctl_cmd, service, 'probe' AS comm, 1::BIGINT AS pid FROM ({sample.SYN_A})")
