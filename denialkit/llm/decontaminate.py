@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import U64, pieces, words
+from .ragged import U64, pieces, take, words
 from .toxicity_gbt import _APART as APART
 
 #: Hash buckets of term frequencies; words of a query passage at most, of a cell, and cells of a
@@ -16,7 +16,7 @@ from .toxicity_gbt import _APART as APART
 BUCKETS, QUERY, CELL, CELLS, BLOCK, BLOCKS = 1 << 18, 32, 16, 3, 512, 8
 #: Cosine of a candidate; share of an item's words in order that makes a leak, and the share that
 #: does so if the item's rarest words (its answer terms) are there too.
-COSINE, COPY, PARAPHRASE, ANSWER = 0.25, 0.75, 0.5, 0.6
+COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.75, 0.5, 0.6
 
 
 def term_frequencies(docs: DataFrame) -> np.ndarray:
@@ -35,6 +35,12 @@ def term_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def weights(n: np.ndarray) -> np.ndarray:
+    """Cubed inverse log frequencies: function words weigh little against the words that tell
+    passages apart."""
+    return (np.log((n.sum() + 1) / (n + 1)) ** 3).astype(np.float32)
+
+
 def passages(benchmark: DataFrame) -> DataFrame:
     """(item_id, part, hashes, item): the query passages of every item that has words; equal parts
     of at most QUERY words, and the hashes of the whole item's words."""
@@ -96,10 +102,10 @@ def latent_space(queries: DataFrame, idf: np.ndarray, terms: np.ndarray, rank: i
 
 
 def tf_idf(rows: list[np.ndarray], idf: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Dense rows over the sorted term hashes, of unit length."""
+    """Dense rows over the sorted term hashes, of unit length; a term counts once a passage."""
     out = np.zeros((len(rows), len(terms)), np.float32)
     for i, h in enumerate(rows):
-        np.add.at(out[i], np.searchsorted(terms, h), idf[(h % U64(BUCKETS)).astype(np.int64)])
+        out[i, np.searchsorted(terms, h)] = idf[(h % U64(BUCKETS)).astype(np.int64)]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -123,8 +129,10 @@ class Block:
 
     def __init__(self, rows: list, basis: np.ndarray, idf: np.ndarray, terms: np.ndarray):
         self.terms, self.basis = terms, basis
+        self.scaled = basis * idf[(terms % U64(BUCKETS)).astype(np.int64)][:, None]
         self.items = np.array([r.item_id for r in rows])
-        self.vectors = tf_idf([np.array(r.hashes, np.int64).view(U64) for r in rows], idf, terms) @ basis
+        queries = tf_idf([np.array(r.hashes, np.int64).view(U64) for r in rows], idf, terms)
+        self.vectors, self.most = queries @ basis, queries.max(axis=0)
         self.words = {r.item_id: np.array(r.item, np.int64).view(U64).tolist() for r in rows}
         self.answers = {}
         for item, h in self.words.items():
@@ -139,25 +147,29 @@ class Block:
         first = np.concatenate([[0], np.cumsum(cells)])
         place = np.arange(len(h)) - w.at[w.doc]
         cell = first[w.doc] + place // CELL
-        both = np.stack([np.bincount(cell, weights=weight**2, minlength=first[-1]), np.bincount(cell, weights=np.where(known, weight**2, 0), minlength=first[-1])])
+        both = np.stack([np.bincount(cell, weights=weight**2, minlength=first[-1]), np.bincount(cell, weights=np.where(known, weight * self.most[at], 0), minlength=first[-1])])
         owner = np.repeat(np.arange(len(cells)), cells)
         size = both.copy()
         for j in range(1, CELLS):  # passages of CELLS cells of one document
             same = owner[j:] == owner[:-j]
             size[:, : len(owner) - j] += both[:, j:] * same
         norm = np.sqrt(np.maximum(size[0], 1e-12))
-        # no passage can reach the cosine without so much weight on the queries' terms
-        likely = np.flatnonzero(np.sqrt(size[1] * CELL) >= COSINE * norm) if len(owner) else []
+        # a passage's product with any query is at most the sum of its terms' largest products
+        likely = np.flatnonzero(size[1] >= COSINE * norm) if len(owner) else []
         best: dict[tuple[int, int], tuple] = {}
         words_at = np.searchsorted(cell, np.arange(first[-1] + 1))
         for i in range(0, len(likely), 512):
             some = likely[i : i + 512]
             last = np.minimum(some + CELLS, first[owner[some] + 1])
-            x = np.zeros((len(some), len(self.terms)), np.float32)
-            for k, (s, e) in enumerate(zip(words_at[some].tolist(), words_at[last].tolist(), strict=True)):
-                own = np.flatnonzero(known[s:e]) + s
-                np.add.at(x[k], at[own], weight[own])
-            cos = (x @ self.basis) @ self.vectors.T / np.maximum(np.linalg.norm(x, axis=1), norm[some])[:, None]
+            s, e = words_at[some], words_at[last]
+            own, ends = take(np.arange(len(h)), s, e - s, np.arange(len(some)))
+            which = np.repeat(np.arange(len(some)), np.diff(ends))[known[own]]
+            cells_ = np.unique(which * len(self.terms) + at[own[known[own]]])  # a term counts once a passage
+            which, term = np.divmod(cells_, len(self.terms))
+            x = np.zeros((len(some), self.basis.shape[1]), np.float32)
+            begin = np.flatnonzero(np.diff(which, prepend=-1))
+            x[which[begin]] = np.add.reduceat(self.scaled[term], begin, axis=0)
+            cos = x @ self.vectors.T / norm[some][:, None]
             for k, q in np.argwhere(cos >= COSINE).tolist():
                 row, item = int(owner[some[k]]), int(self.items[q])
                 found = self.check(w, h, row, item, int(words_at[some[k]]), int(words_at[last[k]]))
@@ -180,7 +192,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, in_order, answer, place): documents that hold a benchmark item.
 
     Terms are runs of letters and digits, A-Z lower-cased. A document passage whose TF-IDF cosine
-    with a query passage reaches 0.25 in the latent space is a candidate; it is a leak if 75 % of
+    with a query passage reaches 0.3 in the latent space is a candidate; it is a leak if 75 % of
     the item's words come in order around it, or 50 % and 60 % of its answer terms. place is the
     first word of the compared region. Frequencies come from all documents; every item is looked
     for in every whole document, in blocks of 512 query passages. Null or empty texts and items
@@ -188,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = term_frequencies(docs)
-    idf = (np.log(max(n.sum(), 1) + 1) - np.log(n + 1)).astype(np.float32)
+    idf = weights(n)
     found = passages(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"))
     total, out = found.count(), None
     groups = max(1, -(-total // BLOCK))
