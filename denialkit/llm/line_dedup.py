@@ -26,7 +26,7 @@ def normalise(line: Column) -> Column:
 
 def lane_sums(hashes: Column, lanes: int) -> Column:
     """How many hashes set each bit, as 64 / lanes longs that count ``lanes`` bits each: long i
-    has bits i, i + 64 / lanes, ... in lanes wide enough for 2 ** (64 / lanes) - 1 hashes."""
+    has bits i, i + 64 / lanes, ... in lanes wide enough for 2 ** (64 / lanes - 1) - 1 hashes."""
     longs = 64 // lanes
     lane = F.lit(sum(1 << (longs * k) for k in range(lanes)))
     names = [f"c{i}" for i in range(longs)]
@@ -45,13 +45,14 @@ def majority(sums: Column, terms: Column, lanes: int) -> Column:
 
 
 def with_simhash(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``sig``, the 64-bit SimHash of the words of a normalised text. Texts of up to 255
-    words count in bytes, longer ones in 16-bit lanes (beyond 65,535 words lanes carry over, which
-    only makes such hashes less alike)."""
+    """Adds ``sig``, the 64-bit SimHash of the words of a normalised text, counted in lanes of 8,
+    16 or 32 bits by the number of words (the top bit of a lane stays free: sums are signed)."""
     df = df.withColumn("hashes", F.transform(F.split(text, " "), lambda w: F.xxhash64(w))).withColumn("terms", F.size("hashes"))
-    df = df.withColumn("few", F.when(F.col("terms") < 256, lane_sums(F.col("hashes"), 8))).withColumn("many", F.when(F.col("terms") >= 256, lane_sums(F.col("hashes"), 4)))
-    sig = F.when(F.col("terms") < 256, majority(F.col("few"), F.col("terms"), 8)).otherwise(majority(F.col("many"), F.col("terms"), 4))
-    return df.withColumn("sig", sig).drop("hashes", "terms", "few", "many")
+    tiers = [(8, F.col("terms") < 128), (4, (F.col("terms") >= 128) & (F.col("terms") < 32768)), (2, F.col("terms") >= 32768)]
+    for lanes, fits in tiers:
+        df = df.withColumn(f"sums{lanes}", F.when(fits, lane_sums(F.col("hashes"), lanes)))
+    sig = F.coalesce(*[F.when(fits, majority(F.col(f"sums{lanes}"), F.col("terms"), lanes)) for lanes, fits in tiers])
+    return df.withColumn("sig", sig).drop("hashes", "terms", *(f"sums{lanes}" for lanes, _ in tiers))
 
 
 def block_keys(sig: Column) -> Column:

@@ -53,7 +53,7 @@ def test_lines(spark):
     rng = random.Random(4)
     pool = prose(30, seed=8, least=30, most=60)
     variants = [p.replace(p.split()[3], p.split()[3] + "x", 1) for p in pool]
-    texts = awkward() + ["\n".join(rng.choices(pool + variants + ["short", "", "Footer - all rights reserved 2024!"], k=rng.randint(1, 6))) for _ in range(80)] + [" ".join(pool) * 3]
+    texts = awkward() + ["\n".join(rng.choices(pool + variants + ["short", "", "Footer - all rights reserved 2024!"], k=rng.randint(1, 6))) for _ in range(80)] + [" ".join(pool) * 3, " ".join(pool[:4]), "Same word again " * 15000]
     got = {tuple(r) for r in line_dedup(table(spark, texts)).collect()}
     want = brute(spark, texts)
     assert got == want
