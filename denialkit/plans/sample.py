@@ -86,8 +86,11 @@ def syn_a_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def syn_a_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, line): SYN-A as log lines."""
-    line = render_line(*map(F.col, ("src", "tgt", "cls", "perms", "permissive", "ioctl_cmd", "service")))
-    return syn_a_columns(spark, sf_dir).select("seq", line.alias("line"))
+    return as_lines(syn_a_columns(spark, sf_dir))
+
+
+def as_lines(columns: DataFrame) -> DataFrame:
+    return columns.select("seq", render_line(*map(F.col, ("src", "tgt", "cls", "perms", "permissive", "ioctl_cmd", "service"))).alias("line"))
 
 
 def syn_a(spark: SparkSession, sf_dir: str) -> DataFrame:

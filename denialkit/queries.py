@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import apl_rank, is_mls_level, is_placeholder, is_vacuous
+from .operators import crosslayer, evaluate
 from .operators import minimize as mini
 from .plans import sample
-from .plans.access import answers, resolve_targets
+from .plans.access import answers, resolve_targets, rule_hits
 from .plans.closure import ancestors, member_counts, settle
 from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines
+from .sources import sehap
 from .sources.denials import clusters, suppressed, with_fingerprint
 from .sources.policy import corpus_statistics, summary
+from .streaming import follow as stream
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -272,6 +277,92 @@ def o38_access_at_scale(spark, sf_dir):
     return a.groupBy("cls", words("perms").alias("perms"), "allowed", (F.col("n_neverallow") > 0).alias("stopped")).agg(F.count("*").alias("requests"))
 
 
+@query(f"WITH {SYN_B_EDGES} SELECT parent AS token, count(*) AS members FROM edges GROUP BY 1")
+def o62_fanout(spark, sf_dir):
+    return member_counts(sample.syn_b_policy(spark, sf_dir).edges)
+
+
+SEHAP = """apl=normal domain=normal_hap type=normal_hap_data_file
+apl=normal debuggable=true domain=debug_hap type=debug_hap_data_file
+apl=system_basic domain=system_basic_hap type=system_basic_hap_data_file
+apl=system_core domain=system_core_hap type=system_core_hap_data_file
+# apl=normal domain=comment_hap type=x
+short line
+apl=normal extra=nonsense domain=odd_hap type=odd_hap_data_file
+domain=no_level_hap type=no_level_hap_data_file
+apl=normal stray domain=stray_hap type=stray_hap_data_file"""
+
+
+def sehap_lines(spark):
+    return spark.createDataFrame([("sehap_contexts", i, x) for i, x in enumerate(SEHAP.split("\n"), 1)], "file string, line_no int, line string")
+
+
+@query("SELECT 4::BIGINT AS entries, 4::BIGINT AS domains, 3::BIGINT AS apls, 1::BIGINT AS debuggable, 0::BIGINT AS with_extra, 4::BIGINT AS skipped")
+def o57_sehap_summary(spark, sf_dir):
+    return sehap.sehap_summary(sehap.parse_sehap(sehap_lines(spark)))
+
+
+@query("SELECT * FROM (VALUES ('normal_hap', 'sibling', 'debug_hap'), ('debug_hap', 'sibling', 'normal_hap'), ('system_basic_hap', 'none', ''), ('system_core_hap', 'none', '')) t(domain, kind, other)")
+def o50_debug_pairs(spark, sf_dir):
+    return crosslayer.debug_pairs(sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
+
+
+@query(ANSWERED + f""", hap(domain, rank) AS (VALUES ('normal_hap', 0), ('debug_hap', 0), ('system_basic_hap', 1), ('system_core_hap', 2)),
+sib AS (SELECT a.req, h.rank AS own, o.domain AS other, o.rank, q.p, EXISTS (SELECT 1 FROM rules r WHERE r.kind = 'allow' AND r.cls = a.cls AND {match('src', 'o.domain')} AND {match('tgt', 'a.query_tgt')} AND (len(r.perms) = 0 OR list_contains(r.perms, q.p))) AS ok
+  FROM ans a JOIN hap h ON h.domain = a.src JOIN hap o ON o.domain <> a.src JOIN perm q ON q.req = a.req),
+oth AS (SELECT req, own, other, rank FROM sib GROUP BY 1, 2, 3, 4 HAVING bool_and(ok)),
+v AS (SELECT a.src, a.tgt, a.cls, array_to_string(a.perms, ' ') AS perms, coalesce(a.ioctl_cmd, '~') AS ioctl_cmd, CASE WHEN a.allowed THEN 'none' WHEN EXISTS (SELECT 1 FROM oth o WHERE o.req = a.req AND o.rank > o.own) THEN 'app' ELSE 'system' END AS fix_layer,
+  coalesce((SELECT string_agg(other, ' ' ORDER BY other) FROM oth o WHERE o.req = a.req), '') AS allowing FROM ans a JOIN hap h ON h.domain = a.src) SELECT * FROM v""")
+def o77_cross_layer(spark, sf_dir):
+    d = decided(spark, sf_dir)
+    v = crosslayer.cross_layer(d, sample.sample_policy(spark), sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
+    return v.select("src", "tgt", "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "fix_layer", words("allowing").alias("allowing"))
+
+
+@query(ANSWERED + "SELECT cls, count(*) AS cases, count(*) FILTER (allowed) AS all_allowed, count(*) FILTER (granted <> '') AS any_allowed FROM ans GROUP BY 1")
+def o84_replay(spark, sf_dir):
+    return evaluate.replay(decided(spark, sf_dir), "cls").select("cls", "cases", "all_allowed", "any_allowed")
+
+
+@query(ANSWERED + "SELECT q.p AS perm, count(*) AS cases FROM perm q LEFT JOIN ok ON ok.req = q.req AND ok.p = q.p WHERE ok.p IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def o84_missing_permissions(spark, sf_dir):
+    return evaluate.missing_permissions(decided(spark, sf_dir))
+
+
+@query(ANSWERED + """, pr AS (SELECT q.req, q.p, h.raw FROM perm q JOIN ans a ON a.req = q.req AND a.allowed JOIN hits h ON h.req = q.req AND h.kind = 'allow' AND (len(h.perms) = 0 OR list_contains(h.perms, q.p))),
+    solo AS (SELECT req, p, min(raw) AS raw FROM pr GROUP BY 1, 2 HAVING count(DISTINCT raw) = 1) SELECT raw, count(DISTINCT req) AS cases FROM solo GROUP BY 1""")
+def o85_leave_one_out(spark, sf_dir):
+    policy, d = sample.sample_policy(spark), decided(spark, sf_dir)
+    moved = d.select(F.col("fp").alias("req"), "src", F.col("query_tgt").alias("tgt"), "cls")
+    out = evaluate.leave_one_out(d.withColumn("req", F.col("fp")), rule_hits(moved, policy, ancestors(policy.edges)))
+    return out.groupBy("raw").agg(F.count("*").alias("cases"))
+
+
+@query(ANSWERED + """SELECT '{{"src":"' || coalesce(src, '~') || '","tgt":"' || tgt || '","allowed":' || allowed || ',"granted":"' || granted || '","neverallow":' || (n_neverallow > 0) || '}}' AS answer, count(*) AS n FROM ans GROUP BY 1""".replace("{{", "{").replace("}}", "}"))
+def o94_batch_answers(spark, sf_dir):
+    policy = sample.sample_policy(spark)
+    a = answers(asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, ancestors(policy.edges))
+    told = F.to_json(F.struct(F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "allowed", words("granted").alias("granted"), (F.col("n_neverallow") > 0).alias("neverallow")))
+    return a.groupBy(told.alias("answer")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT coalesce(src, '~') AS src, tgt, cls, count(*) AS n FROM ({sample.SYN_A}) GROUP BY 1, 2, 3 ORDER BY n DESC, src, tgt, cls LIMIT 20")
+def o93_snapshot(spark, sf_dir):
+    n = sample.syn_a(spark, sf_dir).groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls").agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "src", "tgt", "cls").limit(20)
+
+
+@query(f"SELECT coalesce(src, '~') AS src, tgt, cls, count(DISTINCT array_to_string(list_sort(string_split(perms, ' ')), ' ') || coalesce(ioctl_cmd, '~')) AS accesses FROM ({sample.SYN_A}) GROUP BY 1, 2, 3")
+def o97_follow_once(spark, sf_dir):
+    """The events table as a stream of log lines, each access once, through a JSON lines sink."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parq*t")
+    lines = sample.as_lines(spark.sql(sample.SYN_A.replace("FROM events", "FROM {events}"), events=events).withColumn("perms", F.split("perms", " ")))
+    where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file:///tmp/denialkit'}/follow-{uuid.uuid4().hex}"
+    stream.follow(stream.once(stream.denials(lines)), f"{where}/out", f"{where}/state", interval=None).awaitTermination()
+    out = spark.read.text(f"{where}/out").select(F.from_json("value", "src string, tgt string, cls string, fp string").alias("r")).select("r.*")
+    return out.groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls").agg(F.count("*").alias("accesses"))
+
+
 def queries() -> dict:
     return dict(Q)
 
