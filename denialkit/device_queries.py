@@ -173,7 +173,7 @@ def o13_index_import(spark, sf_dir):
         F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "allowed", words("granted").alias("granted"), F.col("n_neverallow").cast("bigint").alias("n_neverallow"), "ioctl_allowed")
 
 
-@query("SELECT * FROM (VALUES ('drift', 1::BIGINT), ('sound', 0), ('short', 6)) t(item, n)")
+@query("SELECT * FROM (VALUES ('drift', 1::BIGINT), ('sound', 0), ('short', 8)) t(item, n)")
 def o14_index_checks(spark, sf_dir):
     """Lines that differ after one rule changed; complaints about a sound file and a cut one."""
     made = settle(exchange.in_order(exchange.export_lines(sample.sample_policy(spark), "sample", "now")))

@@ -112,24 +112,25 @@ def import_policy(lines: DataFrame) -> Policy:
     start = lines.where(F.col("line").startswith("@rules ")).agg(F.min("pos").alias("from"))
     body = lines.crossJoin(F.broadcast(start)).where((F.col("pos") > F.col("from")) & (F.col("line") != ""))  # start is one row
     f = F.split("line", " ")
-    items = lambda i: F.filter(F.split(f[i], ","), lambda t: t != "")
+    at = lambda i: F.get(f, F.lit(i))
+    items = lambda i: F.filter(F.split(at(i), ","), lambda t: t != "")
 
     def side(i: int, name: str) -> list[Column]:
-        t = F.when(f[i] == "-", F.array().cast("array<string>")).otherwise(items(i))
+        t = F.when(at(i) == "-", F.array().cast("array<string>")).otherwise(items(i))
         plain, negative = F.filter(t, lambda x: (x != "*") & ~x.startswith("-")), F.transform(F.filter(t, lambda x: x.startswith("-")), lambda x: F.substring(x, F.lit(2), F.length(x)))
         return [plain.alias(name), negative.alias(f"{name}_neg"), F.array_contains(t, "*").alias(f"{name}_star")]
 
-    kind = F.coalesce(*[F.when(f[0] == c, F.lit(k)) for c, k in LETTERS.items()])
+    kind = F.coalesce(*[F.when(at(0) == c, F.lit(k)) for c, k in LETTERS.items()])
     xperm, none = kind.endswith("xperm"), F.array().cast("array<string>")
-    tail = F.regexp_replace(f[4], "^~", "")
-    at = F.struct(F.array(F.lit("")).alias("path"), F.col("pos").cast("int").alias("line"), F.lit(0).alias("sub"))
-    perms = F.when(xperm | (f[4] == "*"), none).otherwise(items(4))
+    tail = F.regexp_replace(at(4), "^~", "")
+    place = F.struct(F.array(F.lit("")).alias("path"), F.col("pos").cast("int").alias("line"), F.lit(0).alias("sub"))
+    perms = F.when(xperm | (at(4) == "*"), none).otherwise(items(4))
     commands = F.when(xperm, F.filter(F.split(F.regexp_replace(tail, "^[^:]*:", ""), ","), lambda t: t != "")).otherwise(none)
-    rules = body.select(kind.alias("kind"), *side(2, "src"), *side(3, "tgt"), f[1].alias("cls"), perms.alias("perms"), F.when(xperm, F.regexp_extract(tail, "^([^:]*):", 1)).alias("xperm_perm"), commands.alias("xperms"),
-                        (xperm & f[4].startswith("~")).alias("xperm_invert"), F.col("line").alias("raw"), at.alias("rule_id"))
-    types = lines.where(F.col("line").startswith("@type ")).select(f[1].alias("name"), F.slice(f, 3, 1 << 20).alias("up"))
+    rules = body.select(kind.alias("kind"), *side(2, "src"), *side(3, "tgt"), at(1).alias("cls"), perms.alias("perms"), F.when(xperm, F.regexp_extract(tail, "^([^:]*):", 1)).alias("xperm_perm"), commands.alias("xperms"),
+                        (xperm & at(4).startswith("~")).alias("xperm_invert"), F.col("line").alias("raw"), place.alias("rule_id"))
+    types = lines.where(F.col("line").startswith("@type ")).select(at(1).alias("name"), F.slice(f, 3, 1 << 20).alias("up"))
     edges = types.select(F.col("name").alias("child"), F.explode(F.filter("up", lambda t: t != "")).alias("parent"))
-    attributes = lines.where(F.col("line").startswith("@attr ")).select(f[1].alias("name")).union(edges.select("parent")).distinct()
+    attributes = lines.where(F.col("line").startswith("@attr ")).select(at(1).alias("name")).union(edges.select("parent")).distinct()
     return Policy(rules, edges, types.select("name"), attributes, lines.limit(0).select("line"))
 
 
