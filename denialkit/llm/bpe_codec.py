@@ -15,9 +15,10 @@ from .ragged import pieces, take
 from .token_merge import ByteBpe, load
 from .transducer import Transducer, compile_words
 
-#: Words in the lexicon, the longest of them in bytes, counts that a task gathers before it passes
-#: them on, and words whose ids a Python worker remembers.
-LEXICON, LONGEST, GATHERED, REMEMBERED = 32_768, 64, 300_000, 400_000
+#: A word enters the lexicon if it occurs once in so many bytes of text or oftener, so the lexicon
+#: has no more words than that; the longest of them in bytes, counts that a task gathers before it
+#: passes them on, and words whose ids a Python worker remembers.
+RARE, LONGEST, GATHERED, REMEMBERED = 1 << 18, 64, 300_000, 400_000
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -36,11 +37,13 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON) -> bytes:
-    """The transducer of the ``size`` most frequent words of all texts (ties: smallest word)."""
+def build_lexicon(docs: DataFrame, tokenizer: str, rare: int = RARE) -> bytes:
+    """The transducer of the frequent words of all texts: those that occur at least once in
+    ``rare`` bytes, RARE words at most whatever the size of the table."""
     bpe = load(tokenizer)
-    top = word_counts(docs, tokenizer).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted(r.word.encode() for r in top.collect() if r.word not in bpe.special)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    frequent = word_counts(docs, tokenizer).where((F.octet_length("word") <= LONGEST) & (F.col("n") * rare >= size))
+    words = sorted(r.word.encode() for r in frequent.select("word").collect() if r.word not in bpe.special)
     return compile_words(words, *bpe.merge(words))
 
 
