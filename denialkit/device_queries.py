@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import attribution, evaluate, golden, landing, macros, report
+from .operators import assertions, attribution, evaluate, golden, landing, macros, report
 from .plans import sample
 from .plans.access import answers
 from .plans.board import board_answers, board_commands
@@ -264,3 +264,27 @@ def o19_report_lines(spark, sf_dir):
 @query(ANSWERED + "SELECT count(*) AS cases FROM ans")
 def o95_case_answers(spark, sf_dir):
     return report.case_lines(decided(spark, sf_dir)).agg(F.count_if(F.get_json_object("line", "$.category").isNotNull()).alias("cases"))
+
+
+RED_LINES = """neverallow normal_hap dev_bbox:chr_file { read write };
+neverallow { app_domain -debug_hap -ghost } ~{ dev_bbox sys_prod_file }:device_files ~{ ioctl };
+neverallow * self:samgr_class *;
+neverallow ghost dev_bbox:chr_file read;
+neverallow debug_hap dev_bbox:nowhere read;
+neverallow debug_hap dev_bbox:file send;
+neverallow normal_hap dev_bbox:chr_file { write read };
+neverallow $1 dev_bbox:file(read);
+neverallowxperm debug_hap dev_camera_file:chr_file ioctl ~{ 0x0001 0x100000003 };
+neverallowxperm debug_hap dev_camera_file:chr_file ioctl 0x10;"""
+
+
+@query("""SELECT * FROM (VALUES ('(neverallow normal_hap dev_bbox (chr_file (read write)))', 1::BIGINT), ('(neverallow SET SET (chr_file (open read write)))', 1), ('(neverallow SET self (samgr_class (add get)))', 1),
+    ('(neverallowx debug_hap dev_camera_file (ioctl chr_file (((range 0x0000 0x0000) (range 0x0002 0x0002) (range 0x0004 0xffff)))))', 1), ('(neverallowx debug_hap dev_camera_file (ioctl chr_file ((0x0010))))', 1), ('(typeattribute SET)', 3),
+    ('(typeattributeset SET (all))', 1), ('(typeattributeset SET (and (app_domain) (not (debug_hap))))', 1), ('(typeattributeset SET (not (or (dev_bbox) (sys_prod_file))))', 1),
+    ('skipped: names not on the board', 1), ('skipped: class not on the board', 1), ('skipped: permission not of the class', 1), ('skipped: macro or condition', 1)) t(line, n)""")
+def o90_red_lines(spark, sf_dir):
+    texts = spark.createDataFrame([("a.te", i, x) for i, x in enumerate(RED_LINES.split("\n"))], "file string, line int, statement string")
+    lists = spark.createDataFrame([("device_files", ["chr_file"])], "name string, tokens array<string>")
+    lines, skipped = assertions.assertions(texts, board(spark), lists)
+    shown = lines.groupBy(F.regexp_replace("line", "red_line_set_[0-9a-f]+", "SET").alias("line")).agg(F.count("*").alias("n"))
+    return shown.union(skipped.select(F.concat(F.lit("skipped: "), "reason"), "statements"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,3 +34,30 @@ def follow(parsed: DataFrame, path: str, checkpoint: str, interval: str | None =
 def snapshot(parsed: DataFrame, most: int = 3000) -> DataFrame:
     """The newest records (``seq``), as many as a snapshot holds."""
     return parsed.orderBy(F.desc("seq")).limit(most)
+
+
+def follow_new(parsed: DataFrame, path: str, checkpoint: str, interval: str = "500 milliseconds") -> StreamingQuery:
+    """As ``follow``, but what the first batch finds is a backlog and is dropped."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number > 0:
+            batch.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+    return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def accounting(query: StreamingQuery) -> dict[str, int]:
+    """Batches, rows read, and whether the source fell behind (batches that took longer than their
+    trigger) of a running or ended query."""
+    told = query.recentProgress
+    late = [p for p in told if p["durationMs"].get("triggerExecution", 0) > 500]
+    return {"batches": len(told), "rows": sum(p["numInputRows"] for p in told), "late": len(late)}
+
+
+def session(start: Callable[[], StreamingQuery], switch: Callable[[], bool], poll: float = 0.5) -> StreamingQuery:
+    """Runs a followed stream while ``switch`` says so, then stops it; its files hold the session."""
+    query = start()
+    while switch() and query.isActive:
+        query.awaitTermination(poll)
+    query.stop()
+    return query
