@@ -169,7 +169,7 @@ def o13_index_import(spark, sf_dir):
     """The answers of a policy that was written to lines and read back."""
     policy = exchange.import_policy(settle(exchange.in_order(exchange.export_lines(sample.sample_policy(spark)))))
     a = asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp"))
-    return answers(a, policy, ancestors(policy.edges)).select(
+    return answers(a, policy, policy.closure()).select(
         F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "allowed", words("granted").alias("granted"), F.col("n_neverallow").cast("bigint").alias("n_neverallow"), "ioctl_allowed")
 
 
@@ -232,7 +232,7 @@ def o86_evaluation(spark, sf_dir):
     SELECT label, count(*) AS cases FROM l GROUP BY 1""")
 def o92_first_look(spark, sf_dir):
     policy = sample.sample_policy(spark)
-    a = answers(asked(spark, sf_dir).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, ancestors(policy.edges))
+    a = answers(asked(spark, sf_dir).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, policy.closure())
     return evaluate.first_look(a).groupBy("label").agg(F.count("*").alias("cases"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_mls_level, is_placeholder
 from ..plans.access import rule_hits
 from ..plans.board import board_answers
-from ..plans.closure import ancestors, settle
+from ..plans.closure import settle
 from ..sources.cil import Board
 from ..sources.policy import Policy
 
@@ -28,7 +28,7 @@ def owner(cause: Column) -> Column:
 def covering(cases: DataFrame, policy: Policy) -> DataFrame:
     """(req, cover_kind, cover_raw): the first allow rule, in policy order, that names every
     permission of a case; direct if both its sides name types only. Wildcards do not count."""
-    hits = rule_hits(cases, policy, ancestors(policy.edges)).where("kind = 'allow'").join(cases.select("req", "perms").withColumnRenamed("perms", "asked"), "req")
+    hits = rule_hits(cases, policy, policy.closure()).where("kind = 'allow'").join(cases.select("req", "perms").withColumnRenamed("perms", "asked"), "req")
     first = hits.where(F.size(F.array_except("asked", "perms")) == 0).groupBy("req").agg(F.min(F.struct("rule_id", "raw")).alias("first"))
     sides = policy.rules.select("rule_id", F.explode(F.concat("src", "tgt")).alias("name"))
     wide = sides.join(policy.attributes, "name", "left_semi").select("rule_id").distinct().withColumn("wide", F.lit(True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import apl_rank
 from ..plans.access import answers, declared
-from ..plans.closure import ancestors, settle
+from ..plans.closure import settle
 from ..sources.policy import Policy
 
 
@@ -42,7 +42,7 @@ def cross_layer(cases: DataFrame, policy: Policy, entries: DataFrame) -> DataFra
     # a platform declares a few dozen application domains at most
     each = own.select("fp", "src", F.col("query_tgt").alias("tgt"), "cls", "perms", "rank").crossJoin(F.broadcast(others)).where("other <> src").join(known, "other")
     asked = settle(each.withColumn("req", F.concat_ws("|", "fp", "other")))
-    told = answers(asked.select("req", F.col("other").alias("src"), "tgt", "cls", "perms", F.lit(None).cast("string").alias("ioctl_cmd")), policy, ancestors(policy.edges))
+    told = answers(asked.select("req", F.col("other").alias("src"), "tgt", "cls", "perms", F.lit(None).cast("string").alias("ioctl_cmd")), policy, policy.closure())
     yes = told.where("allowed").select("req").join(asked.select("req", "fp", "other", "other_levels", "rank"), "req")
     higher = F.filter("other_levels", lambda a: apl_rank(a) > F.col("rank"))
     found = yes.groupBy("fp").agg(F.array_sort(F.collect_set("other")).alias("allowing"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(higher)))).alias("higher"))

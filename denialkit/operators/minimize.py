@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.access import answers, rule_hits, with_rules
-from ..plans.closure import ancestors, member_counts
+from ..plans.closure import member_counts
 from ..sources.policy import Policy, parse_rules
 
 ALLOW, XPERM = r"^allow (\S+) (\S+):(\S+) \{ ([^}]*) \};$", r"^allowxperm (\S+) (\S+):(\S+) \w+ \{ ([^}]*) \};$"
@@ -68,7 +68,7 @@ def fold(rules: DataFrame, policy: Policy) -> DataFrame:
     """Adds fold_into, fold_adds and fold_level: the narrowest allow rule that already answers a
     new allow rule's subject and target, and what extending it would add and reach."""
     asked = rules.where("kind = 'allow'").withColumn("req", F.col("text"))
-    hits = rule_hits(asked, policy, ancestors(policy.edges)).where("kind = 'allow'").join(rule_reach(policy), "rule_id")
+    hits = rule_hits(asked, policy, policy.closure()).where("kind = 'allow'").join(rule_reach(policy), "rule_id")
     best = hits.groupBy("req").agg(F.min_by(F.struct("raw", "perms", "reach"), F.struct("reach", "raw")).alias("best"))
     out = rules.join(best, rules["text"] == best["req"], "left").drop("req")
     return out.withColumns({"fold_into": F.col("best.raw"), "fold_adds": F.array_sort(F.array_except("perms", F.col("best.perms"))), "fold_level": F.when(F.col("best").isNotNull(), level(F.col("best.reach")))}).drop("best")
@@ -77,7 +77,7 @@ def fold(rules: DataFrame, policy: Policy) -> DataFrame:
 def closed_loop(cases: DataFrame, rules: DataFrame, policy: Policy) -> DataFrame:
     """Per case (fp, src, tgt, cls, perms, ioctl_cmd): solved before and after the rules apply.
     Cases that only ask for ioctl with a command count by the command, others by permissions."""
-    closure, asked = ancestors(policy.edges), cases.withColumn("req", F.col("fp")).select("req", "src", "tgt", "cls", "perms", "ioctl_cmd")
+    closure, asked = policy.closure(), cases.withColumn("req", F.col("fp")).select("req", "src", "tgt", "cls", "perms", "ioctl_cmd")
     added = parse_rules(rules.select(F.col("text").alias("statement")))
     only = (F.size("perms") == 1) & F.array_contains("perms", "ioctl") & F.col("ioctl_allowed").isNotNull()
     ok = F.when(only, F.col("ioctl_allowed")).otherwise(F.col("allowed"))

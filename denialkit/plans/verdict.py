@@ -9,7 +9,7 @@ from ..functions.text import IDENTIFIER, is_mls_level, is_placeholder, is_vacuou
 from ..sources.denials import clusters, with_fingerprint
 from ..sources.policy import Policy
 from .access import answers, resolve_targets, rule_hits
-from .closure import ancestors, settle
+from .closure import settle
 
 AUTO, HUMAN, NOISE = "auto_repairable", "needs_human", "noise_or_already_allowed"
 
@@ -111,7 +111,7 @@ def guards(df: DataFrame, policy: Policy) -> DataFrame:
 def decide(cases: DataFrame, policy: Policy) -> DataFrame:
     """The whole decision for each distinct access: one row per ``cases`` row (fp, src, tgt, cls,
     perms, permissive, ioctl_cmd, service)."""
-    closure = ancestors(policy.edges)
+    closure = policy.closure()
     asked = settle(resolve_targets(cases.withColumn("logged", F.col("perms")), policy).withColumn("raw_tgt", F.col("tgt")))
     found = answers(asked.withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, closure)
     # review looks at the target as logged, which differs for resolved placeholders only

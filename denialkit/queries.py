@@ -121,7 +121,7 @@ def o35_closure(spark, sf_dir):
 def o40_answers(spark, sf_dir):
     policy = sample.sample_policy(spark)
     a = asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp"))
-    return answers(a, policy, ancestors(policy.edges)).select(
+    return answers(a, policy, policy.closure()).select(
         F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "query_tgt", "allowed", words("granted").alias("granted"), F.col("n_neverallow").cast("bigint").alias("n_neverallow"), "neverallow", "ioctl_allowed", "ioctl_reason")
 
 
@@ -273,7 +273,7 @@ per AS (SELECT src, tgt, cls, asked, bool_or(kind = 'allow' AND (list_contains(p
 @query(SYN_B_SQL + " SELECT q.cls, array_to_string(q.perms, ' ') AS perms, coalesce(p.allowed, false) AS allowed, coalesce(p.stopped, false) AS stopped, count(*) AS requests FROM req q LEFT JOIN per p ON p.src = q.src AND p.tgt = q.tgt AND p.cls = q.cls AND p.asked = q.perms GROUP BY 1, 2, 3, 4")
 def o38_access_at_scale(spark, sf_dir):
     policy = sample.syn_b_policy(spark, sf_dir)
-    a = answers(sample.syn_b_requests(spark, sf_dir), policy, ancestors(policy.edges))
+    a = answers(sample.syn_b_requests(spark, sf_dir), policy, policy.closure())
     return a.groupBy("cls", words("perms").alias("perms"), "allowed", (F.col("n_neverallow") > 0).alias("stopped")).agg(F.count("*").alias("requests"))
 
 
@@ -334,14 +334,14 @@ def o84_missing_permissions(spark, sf_dir):
 def o85_leave_one_out(spark, sf_dir):
     policy, d = sample.sample_policy(spark), decided(spark, sf_dir)
     moved = d.select(F.col("fp").alias("req"), "src", F.col("query_tgt").alias("tgt"), "cls")
-    out = evaluate.leave_one_out(d.withColumn("req", F.col("fp")), rule_hits(moved, policy, ancestors(policy.edges)))
+    out = evaluate.leave_one_out(d.withColumn("req", F.col("fp")), rule_hits(moved, policy, policy.closure()))
     return out.groupBy("raw").agg(F.count("*").alias("cases"))
 
 
 @query(ANSWERED + """SELECT '{{"src":"' || coalesce(src, '~') || '","tgt":"' || tgt || '","allowed":' || allowed || ',"granted":"' || granted || '","neverallow":' || (n_neverallow > 0) || '}}' AS answer, count(*) AS n FROM ans GROUP BY 1""".replace("{{", "{").replace("}}", "}"))
 def o94_batch_answers(spark, sf_dir):
     policy = sample.sample_policy(spark)
-    a = answers(asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, ancestors(policy.edges))
+    a = answers(asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, policy.closure())
     told = F.to_json(F.struct(F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "allowed", words("granted").alias("granted"), (F.col("n_neverallow") > 0).alias("neverallow")))
     return a.groupBy(told.alias("answer")).agg(F.count("*").alias("n"))
 

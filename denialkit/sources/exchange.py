@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.closure import ancestors
 from .policy import Policy
 
 HEAD, REVISION = "PLI1", 2
@@ -78,7 +77,7 @@ def export_lines(policy: Policy, label: str = "index", made: str = "", haps: Dat
         out.append(part(4, one, none, F.lit(f"@note {note}")))
     named = lambda section, mark, df: part(section, df, F.array("name"), F.concat(F.lit(mark + " "), "name"))
     classes = policy.rules.groupBy("cls").count()
-    up = policy.types.select("name").distinct().join(ancestors(policy.edges), "name", "left").groupBy("name").agg(F.array_sort(F.collect_set("token")).alias("up"))
+    up = policy.types.select("name").distinct().join(policy.closure(), "name", "left").groupBy("name").agg(F.array_sort(F.collect_set("token")).alias("up"))
     out += [part(5, classes, F.array("cls"), F.concat_ws(" ", F.lit("@class"), "cls", "count")), part(6, up, F.array("name"), F.concat_ws(" ", F.lit("@type"), "name", F.array_join("up", " "))),
             named(7, "@attr", policy.attributes.distinct()), named(8, "@known", known_names(policy)), named(9, "@perm", permission_names(policy.rules))]
     out[-4] = out[-4].withColumn("line", F.rtrim("line"))
