@@ -35,12 +35,15 @@ def lane_sums(hashes: Column, lanes: int) -> Column:
 
 
 def majority(sums: Column, terms: Column, lanes: int) -> Column:
-    """The bits that more than half of the terms set."""
-    longs, out = 64 // lanes, F.lit(0).cast("bigint")
-    for i in range(longs):
-        for k in range(lanes):
-            count = F.shiftrightunsigned(sums[f"c{i}"], longs * k).bitwiseAND(F.lit((1 << longs) - 1))
-            out = out.bitwiseOR(F.when(2 * count > terms, F.shiftleft(F.lit(1).cast("bigint"), i + longs * k)).otherwise(F.lit(0).cast("bigint")))
+    """The bits that more than half of the terms set. All lanes of a long are compared at once: a
+    count above half the terms, raised by what half the terms lack, reaches a lane's second bit
+    from the top, and no sum reaches the top."""
+    width, out = 64 // lanes, F.lit(0).cast("bigint")
+    lane = F.lit(sum(1 << (width * k) for k in range(lanes)))
+    raised = lane * ((1 << (width - 2)) - 1 - F.floor(terms / 2))
+    for i in range(width):
+        over = F.shiftrightunsigned(sums[f"c{i}"] + raised, width - 2).bitwiseAND(lane)
+        out = out.bitwiseOR(F.shiftleft(over, i))
     return out
 
 
@@ -94,7 +97,7 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
         found = store.put("norms", normal_lines(own).join(small(at), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("place") == F.col("p"))).select("k", "norm").dropDuplicates(["k"]))
         both = pairs.join(found.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(found.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
         both = both.withColumn("may", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILAR)).cast("int"))
-        return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("may")).where(F.expr("levenshtein(x, y, may)") >= 0)
+        return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("may")).where(F.expr("levenshtein(x, y, cast(may div 8 as int)) >= 0 or levenshtein(x, y, may) >= 0"))  # few edits are told in a narrow band
 
     comp = bucket_links(store, members, sigs, near, verify)
     grouped = store.put("grouped", texts.select("text_key", "size", "first").join(comp.select(F.col("node").alias("text_key"), "comp"), "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key")))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import xxhash
+
 from denialkit.llm.line_dedup import line_dedup
 
 from .fixtures import awkward, prose, table
@@ -49,6 +51,15 @@ def brute(spark, texts):
     return {(i, len((t or "").split("\n")), len((t or "").split("\n")) - len(kept[i]), "\n".join(kept[i])) for i, t in enumerate(texts)}
 
 
+def test_simhash(spark):
+    """Against a count of every bit, one word at a time."""
+    rng = random.Random(3)
+    norms = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=k)) for k in (1, 2, 3, 7, 8, 63, 64, 126, 127, 128, 129, 1000, 32767, 32768, 40000)] + ["a " * 127 + "b", "a b " * 63 + "a", "a b"]
+    for norm, sig in simhash_table(spark, norms).items():
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in norm.split(" ")]
+        assert sig & (2**64 - 1) == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
 def test_lines(spark):
     rng = random.Random(4)
     pool = prose(30, seed=8, least=30, most=60)
