@@ -65,8 +65,14 @@ def block_keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(j), *[blocks[i] for i in c]) for j, c in enumerate(combinations(range(BLOCKS), BLOCKS - DIFFER))])
 
 
+def edits(x: Column, y: Column) -> Column:
+    """Edits that lines of x and y characters may be apart."""
+    return F.floor(F.greatest(x, y) * (1 - SIMILAR)).cast("int")
+
+
 def near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DIFFER
+    """Whether SimHashes and lengths (which differ by no more than the edits) allow a link."""
+    return (F.bit_count(a["hash"].bitwiseXOR(b["hash"])) <= DIFFER) & (F.abs(a["n"] - b["n"]) <= edits(a["n"], b["n"]))
 
 
 def normal_lines(docs: DataFrame) -> DataFrame:
@@ -80,11 +86,11 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): the key of every line that isn't blank, and for every key its group, its
     number of lines, and the group's size and smallest (doc_id, row, place)."""
     lines = with_simhash(normal_lines(docs).where("text_key is not null"), "norm")
-    lines = store.put("lines", lines.select("doc_id", "row", "place", "text_key", F.when(F.length("norm") >= SHORTEST, F.col("sig")).alias("sig")))
+    lines = store.put("lines", lines.select("doc_id", "row", "place", "text_key", F.when(F.length("norm") >= SHORTEST, F.struct(F.col("sig").alias("hash"), F.length("norm").alias("n"))).alias("sig")))
     place = F.struct("doc_id", "row", "place")
     texts = store.put("texts", lines.groupBy("text_key").agg(F.count("*").alias("size"), F.max("sig").alias("sig"), F.min(place).alias("first")))
     sigs = texts.where("sig is not null").select(F.col("text_key").alias("node"), "sig")
-    members = sigs.select("node", F.explode(block_keys(F.col("sig"))).alias("key"))
+    members = sigs.select("node", F.explode(block_keys(F.col("sig.hash"))).alias("key"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Fetches the two normal forms of each pair from the documents where they come first."""
@@ -96,7 +102,7 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
         own = docs.join(small(at.select("d").distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         found = store.put("norms", normal_lines(own).join(small(at), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("place") == F.col("p"))).select("k", "norm").dropDuplicates(["k"]))
         both = pairs.join(found.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(found.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")
-        both = both.withColumn("may", F.floor(F.greatest(F.length("x"), F.length("y")) * (1 - SIMILAR)).cast("int"))
+        both = both.withColumn("may", edits(F.length("x"), F.length("y")))
         return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("may")).where(F.expr("levenshtein(x, y, cast(may div 8 as int)) >= 0 or levenshtein(x, y, may) >= 0"))  # few edits are told in a narrow band
 
     comp = bucket_links(store, members, sigs, near, verify)
