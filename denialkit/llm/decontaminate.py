@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -138,6 +140,56 @@ class Block:
         for item, h in self.words.items():
             rarest = sorted(set(h), key=lambda x: (-idf[x % BUCKETS], x))
             self.answers[item] = set(rarest[: max(3, len(rarest) // 4)])
+        self.post(idf)
+
+    def post(self, idf: np.ndarray) -> None:
+        """Postings of each item's key terms, the rarest that make half of its words and all its
+        answer terms. A leak has 60 % of the answer terms, or 75 % of all words and so all but a
+        quarter of the item's words among its key terms: whatever the weights, none is passed over."""
+        self.ids, rows = list(self.words), []
+        self.length = np.array([len(self.words[i]) for i in self.ids], np.int64)
+        self.some_answers, self.some_words = np.zeros((2, len(self.ids)))
+        for k, item in enumerate(self.ids):
+            times, have, h = Counter(self.words[item]), 0, self.words[item]
+            for j, x in enumerate(sorted(times, key=lambda x: (-idf[x % BUCKETS], x))):
+                if 2 * have >= len(h) and j >= len(self.answers[item]):
+                    break
+                rows.append((x, k, x in self.answers[item], times[x]))
+                have += times[x]
+            self.some_answers[k] = ANSWER * len(self.answers[item])
+            self.some_words[k] = have - (1 - COPY) * len(h)
+        rows.sort()
+        self.keys, self.first = np.unique(np.array([r[0] for r in rows], U64), return_index=True)
+        self.first = np.append(self.first, len(rows))
+        self.post_item, self.post_answer, self.post_times = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
+
+    def stretches(self, w, h: np.ndarray):
+        """(row, item number, first word, last word) of all stretches that can hold a leak. The
+        region around a passage lies whole inside one of the stretches, which are two regions long."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == h)
+        at = at[hit]
+        post, ends = take(np.arange(len(self.post_item)), self.first[:-1], np.diff(self.first), at)
+        hit = np.repeat(hit, np.diff(ends))
+        item, row = self.post_item[post], w.doc[hit]
+        part = (hit - w.at[row]) // (CELL * CELLS + 2 * self.length[item])
+        parts = int(part.max(initial=0)) + 1
+        both = np.concatenate([(row * parts + part) * len(post_of := self.post_item) + post, ((row * parts + part - 1) * len(post_of) + post)[part > 0]])
+        place, post = np.divmod(np.unique(both), len(post_of))  # a term counts once a stretch
+        key, group = np.unique(place * len(self.ids) + post_of[post], return_inverse=True)
+        place, item = np.divmod(key, len(self.ids))
+        answers = np.bincount(group, weights=self.post_answer[post], minlength=len(key))
+        words_ = np.bincount(group, weights=self.post_times[post], minlength=len(key))
+        can = np.flatnonzero((answers >= self.some_answers[item] - 1e-6) | (words_ >= self.some_words[item] - 1e-6))
+        row, part = np.divmod(place[can], parts)
+        size = CELL * CELLS + 2 * self.length[item[can]]
+        return zip(row.tolist(), item[can].tolist(), (part * size).tolist(), ((part + 2) * size).tolist(), strict=True)
+
+    def cosine(self, h: np.ndarray, weight: np.ndarray, item: int) -> float:
+        """The largest cosine of a document passage with the item's query passages."""
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        x = self.scaled[np.unique(at[self.terms[at] == h])].sum(axis=0)
+        return float((self.vectors[self.items == item] @ x).max() / np.sqrt(max(float((weight**2).sum()), 1e-12)))
 
     def search(self, w, h: np.ndarray, weight: np.ndarray):
         """(row, item, cosine, share in order, share of answer terms, first word) of each leak."""
@@ -175,26 +227,39 @@ class Block:
                 found = self.check(w, h, row, item, int(words_at[some[k]]), int(words_at[last[k]]))
                 if found and ((row, item) not in best or found[:2] > best[row, item][0][:2]):
                     best[row, item] = (found, float(cos[k, q]))
+        for row, k, s, e in self.stretches(w, h):
+            item, own, start, stop = self.ids[k], self.words[self.ids[k]], int(w.at[row]), int(w.at[row + 1])
+            if not self.judge(item, h[start + s : min(stop, start + e)].tolist()):
+                continue
+            for c in range(s // CELL, -(-min(stop - start, e) // CELL)):
+                a, b = start + c * CELL, min(stop, start + (c + CELLS) * CELL)
+                if max(0, c * CELL - len(own)) >= s and (found := self.check(w, h, row, item, a, b)) and ((row, item) not in best or found[:2] > best[row, item][0][:2]):
+                    best[row, item] = (found, self.cosine(h[a:b], weight[a:b], item))
         return [(row, item, cos, *found) for (row, item), (found, cos) in best.items()]
 
+    def judge(self, item: int, region: list[int]):
+        """The share of the item's words in order and of its answer terms, if they make a leak."""
+        own = self.words[item]
+        answer = len(self.answers[item].intersection(region)) / len(self.answers[item])
+        share = common_in_order(own, region) / len(own)
+        return (share, answer) if share >= COPY or share >= PARAPHRASE and answer >= ANSWER else None
+
     def check(self, w, h: np.ndarray, row: int, item: int, start: int, end: int):
         own = self.words[item]
         s, e = max(int(w.at[row]), start - len(own)), min(int(w.at[row + 1]), end + len(own))
-        region = h[s:e].tolist()
-        share = common_in_order(own, region) / len(own)
-        answer = len(self.answers[item].intersection(region)) / len(self.answers[item])
-        if share >= COPY or share >= PARAPHRASE and answer >= ANSWER:
-            return share, answer, s - int(w.at[row])
-        return None
+        found = self.judge(item, h[s:e].tolist())
+        return found and (*found, s - int(w.at[row]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, in_order, answer, place): documents that hold a benchmark item.
 
-    Terms are runs of letters and digits, A-Z lower-cased. A document passage whose TF-IDF cosine
-    with a query passage reaches 0.3 in the latent space is a candidate; it is a leak if 75 % of
-    the item's words come in order around it, or 50 % and 60 % of its answer terms. place is the
-    first word of the compared region. Frequencies come from all documents; every item is looked
+    Terms are runs of letters and digits, A-Z lower-cased. A document holds an item if 75 % of the
+    item's words come in order around any passage (48 words from every 16th, and as many on both
+    sides as the item has), or 50 % and 60 % of its answer terms. Passages whose TF-IDF cosine with a
+    query passage reaches 0.3 in the latent space are compared first, then all others that the
+    item's key terms allow, so that no leak depends on the weights. place is the first word of the
+    compared region. Frequencies come from all documents; every item is looked
     for in every whole document, in blocks of 512 query passages. Null or empty texts and items
     match nothing; repeated rows give repeated results; other columns are ignored.
     """
