@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import U64, pieces, take, words
@@ -21,6 +21,11 @@ BUCKETS, QUERY, CELL, CELLS, BLOCK, BLOCKS = 1 << 18, 32, 16, 3, 512, 8
 COSINE, COPY, PARAPHRASE, ANSWER = 0.3, 0.75, 0.5, 0.6
 
 
+def fold(text: Column) -> Column:
+    """Lower case for all letters; sharp s as the ss of its capitals, the final sigma as any other."""
+    return F.replace(F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def term_frequencies(docs: DataFrame) -> np.ndarray:
     """Occurrences of each hash bucket in all documents."""
 
@@ -254,7 +259,7 @@ class Block:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, in_order, answer, place): documents that hold a benchmark item.
 
-    Terms are runs of letters and digits, A-Z lower-cased. A document holds an item if 75 % of the
+    Terms are runs of letters and digits, compared without case in any script. A document holds an item if 75 % of the
     item's words come in order around any passage (48 words from every 16th, and as many on both
     sides as the item has), or 50 % and 60 % of its answer terms. Passages whose TF-IDF cosine with a
     query passage reaches 0.3 in the latent space are compared first, then all others that the
@@ -264,9 +269,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     match nothing; repeated rows give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
+    docs = docs.select("doc_id", fold(F.col("text")).alias("text"))
     n = term_frequencies(docs)
     idf = weights(n)
-    found = passages(benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text"))
+    found = passages(benchmark.where(F.col("item_id").isNotNull()).select("item_id", fold(F.col("text")).alias("text")))
     total, out = found.count(), None
     groups = max(1, -(-total // BLOCK))
     parted = found.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(groups)))
@@ -291,6 +297,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else ([],) * 6
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "answer", "place"])
 
-        part = docs.select("doc_id", "text").mapInArrow(search, "doc_id bigint, item_id bigint, cosine double, in_order double, answer double, place bigint")
+        part = docs.mapInArrow(search, "doc_id bigint, item_id bigint, cosine double, in_order double, answer double, place bigint")
         out = part if out is None else out.union(part)
     return out

@@ -52,3 +52,14 @@ def test_scattered_copies_against_every_region(spark):
     assert {k for k, share in want.items() if share >= 0.75} <= set(got)
     assert all(share <= want[k] + 1e-9 and share >= 0.5 for k, share in got.items())
     assert all(got[k] == share for k, share in want.items() if share >= 0.75)
+
+
+def test_capitals_of_any_script(spark):
+    """Each word has a letter outside A-Z, so that none equals its capitals byte by byte."""
+    rng = random.Random(10)
+    items = [" ".join("".join(rng.choices("abcdefg", k=4)) + rng.choice(["\u00e9", "\u00f1\u00ed", "\u00fc", "\u00df", "\u0448\u0434", "\u03c3\u03c2"]) for _ in range(20)) for _ in range(6)]
+    clean = prose(12, seed=54, vocabulary=5000, least=40)
+    texts = [f"{a} {x.upper()} {b}" for a, x, b in zip(clean[:6], items, clean[6:], strict=True)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.in_order) for r in leaks(table(spark, texts), bench).collect()}
+    assert got == {(i, i, 1.0) for i in range(6)}
