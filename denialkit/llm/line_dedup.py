@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from .common import Stored, attach
 from .linking import bucket_links
 
-#: Bits in which two SimHashes may differ, blocks of a SimHash, and the share of characters that
-#: must survive an edit. Any two hashes within DIFFER bits agree on BLOCKS - DIFFER whole blocks.
-DIFFER, BLOCKS, SIMILAR = 3, 5, 0.9
-#: The shortest normalised line, in characters, that is compared fuzzily; shorter lines must be equal.
-SHORTEST = 20
+#: Bits in which two SimHashes may differ, and blocks of a SimHash. Any two hashes within DIFFER
+#: bits agree on BLOCKS - DIFFER whole blocks.
+DIFFER, BLOCKS = 3, 5
+#: Characters for each edit that two lines may be apart, by the longer one.
+EACH = 10
+#: The shortest normalised line that an edit may link (with one of 10 characters), the longest
+#: that is compared without its SimHash, the shortest of those that may be two edits from another,
+#: and the shortest that has a SimHash. A line below 20 links with none of more than 21.
+SHORTEST, SHORT, TWICE, HASHED = 9, 21, 18, 20
 #: The most small rows (keys, places) that are broadcast; beyond that the tables shuffle.
 SMALL = 1_000_000
 
@@ -65,14 +69,29 @@ def block_keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(j), *[blocks[i] for i in c]) for j, c in enumerate(combinations(range(BLOCKS), BLOCKS - DIFFER))])
 
 
+def shortened(line: Column) -> Column:
+    """What is left of a line when any one character is taken out."""
+    return F.transform(F.sequence(F.lit(1), F.length(line)), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.length(line))))
+
+
+def short_keys(line: Column) -> Column:
+    """Keys of a short line, of what is left without one character, and from TWICE characters on
+    also without two. Lines so many edits apart share one of them."""
+    once = shortened(line)
+    left = F.concat(F.array(line), once, F.when(F.length(line) >= TWICE, F.flatten(F.transform(once, shortened))).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.array_distinct(left), lambda y: F.xxhash64(F.lit(-1), y))
+
+
 def edits(x: Column, y: Column) -> Column:
     """Edits that lines of x and y characters may be apart."""
-    return F.floor(F.greatest(x, y) * (1 - SIMILAR)).cast("int")
+    return F.floor(F.greatest(x, y) / EACH).cast("int")
 
 
 def near(a: Column, b: Column) -> Column:
-    """Whether SimHashes and lengths (which differ by no more than the edits) allow a link."""
-    return (F.bit_count(a["hash"].bitwiseXOR(b["hash"])) <= DIFFER) & (F.abs(a["n"] - b["n"]) <= edits(a["n"], b["n"]))
+    """Whether SimHashes (of lines that aren't short) and lengths (which differ by no more than the
+    edits) allow a link."""
+    alike = (F.greatest(a["n"], b["n"]) <= SHORT) | (F.bit_count(a["hash"].bitwiseXOR(b["hash"])) <= DIFFER)
+    return alike & (F.abs(a["n"] - b["n"]) <= edits(a["n"], b["n"]))
 
 
 def normal_lines(docs: DataFrame) -> DataFrame:
@@ -86,11 +105,13 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): the key of every line that isn't blank, and for every key its group, its
     number of lines, and the group's size and smallest (doc_id, row, place)."""
     lines = with_simhash(normal_lines(docs).where("text_key is not null"), "norm")
-    lines = store.put("lines", lines.select("doc_id", "row", "place", "text_key", F.when(F.length("norm") >= SHORTEST, F.struct(F.col("sig").alias("hash"), F.length("norm").alias("n"))).alias("sig")))
+    lines = store.put("lines", lines.select("doc_id", "row", "place", "text_key", F.when(F.length("norm") >= SHORTEST, F.struct(F.col("sig").alias("hash"), F.length("norm").alias("n"))).alias("sig"), F.when(F.length("norm").between(SHORTEST, SHORT), F.col("norm")).alias("short")))
     place = F.struct("doc_id", "row", "place")
-    texts = store.put("texts", lines.groupBy("text_key").agg(F.count("*").alias("size"), F.max("sig").alias("sig"), F.min(place).alias("first")))
-    sigs = texts.where("sig is not null").select(F.col("text_key").alias("node"), "sig")
-    members = sigs.select("node", F.explode(block_keys(F.col("sig.hash"))).alias("key"))
+    texts = store.put("texts", lines.groupBy("text_key").agg(F.count("*").alias("size"), F.max("sig").alias("sig"), F.max("short").alias("short"), F.min(place).alias("first")))
+    known = texts.where("sig is not null").select(F.col("text_key").alias("node"), "sig", "short")
+    sigs = known.select("node", "sig")
+    members = sigs.where(F.col("sig.n") >= HASHED).select("node", F.explode(block_keys(F.col("sig.hash"))).alias("key"))
+    members = members.union(known.where("short is not null").select("node", F.explode(short_keys(F.col("short"))).alias("key")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Fetches the two normal forms of each pair from the documents where they come first."""
@@ -108,15 +129,16 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
     comp = bucket_links(store, members, sigs, near, verify)
     grouped = store.put("grouped", texts.select("text_key", "size", "first").join(comp.select(F.col("node").alias("text_key"), "comp"), "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key")))
     tops = grouped.groupBy("comp").agg(F.min("first").alias("top"), F.sum("size").alias("group_size")).where("group_size > 1")
-    return lines.drop("sig"), store.put("tops", grouped.join(tops, "comp").select("text_key", "size", "comp", "top", "group_size"))
+    return lines.drop("sig", "short"), store.put("tops", grouped.join(tops, "comp").select("text_key", "size", "comp", "top", "group_size"))
 
 
 def line_dedup(docs: DataFrame, store: Stored | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, text (the kept lines).
 
-    Lines are split at ``\\n`` and compared in normal form: equal ones belong together, and those
-    of 20 characters or more also if their SimHashes differ in at most 3 bits and their edit
-    similarity is 0.9 or more. Of each connected group the line with the smallest (doc_id, text
+    Lines are split at ``\\n`` and compared in normal form: equal ones belong together, and others
+    if their edit similarity is 0.9 or more (10 times the edits are at most the longer one's
+    characters) and, where one has more than 21 characters, their SimHashes differ in at most 3
+    bits. Of each connected group the line with the smallest (doc_id, text
     hash, place) stays; blank lines always stay. Null texts count as one blank line. Rows that
     repeat a doc_id and text are one document. Other columns are ignored.
     """
