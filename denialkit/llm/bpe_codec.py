@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -16,23 +15,32 @@ from .token_merge import ByteBpe, load
 from .transducer import Transducer, compile_words
 
 #: A word enters the lexicon if it occurs once in so many bytes of text or oftener, so the lexicon
-#: has no more words than that; the longest of them in bytes, counts that a task gathers before it
-#: passes them on, and words whose ids a Python worker remembers.
-RARE, LONGEST, GATHERED, REMEMBERED = 1 << 18, 64, 300_000, 400_000
+#: has no more words than that; the longest of them in bytes; bytes of the segments (each counts
+#: 120 more) that a task counts before it passes them on, and whose ids it remembers.
+RARE, LONGEST, GATHERED, REMEMBERED = 1 << 18, 64, 48_000_000, 48_000_000
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(word, n): how often each pre-token occurs in all texts."""
 
     def count(batches):
-        bpe, seen = load(tokenizer), Counter()
+        bpe, seen, held = load(tokenizer), Counter(), 0
+
+        def flush():
+            total: dict[str, int] = {}
+            for t, n in seen.items():
+                for w in () if t in bpe.special else bpe.split(t):
+                    total[w] = total.get(w, 0) + n
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
         for b in pieces(batches):
-            for t in b.column("text").to_pylist():
-                seen.update(bpe.pretokens(t or ""))
-            if len(seen) > GATHERED:
-                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+            found = [x for t in b.column("text").to_pylist() for x in bpe.segments(t or "")]
+            held += sum(len(x) + 120 for x in set(found) if x not in seen)
+            seen.update(found)
+            if held > GATHERED:
+                yield flush()
+                seen, held = Counter(), 0
+        yield flush()
 
     return docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -48,7 +56,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, rare: int = RARE) -> bytes:
 
 
 class Encoder:
-    """Ids of pre-tokens: remembered ones first, then the transducer, then exact merges."""
+    """Ids of segments: remembered ones first; of others, the ids of their pre-tokens, by the
+    transducer or, where it lacks a word, by exact merges."""
 
     def __init__(self, bpe: ByteBpe, blob: bytes):
         self.bpe, self.lexicon = bpe, Transducer(blob)
@@ -56,31 +65,47 @@ class Encoder:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
-        self.flat, self.at, self.used, self.n = np.zeros(1 << 20, np.int32), np.zeros(1 << 18, np.int64), 0, 0
+        self.flat, self.at, self.used, self.n, self.held = np.zeros(1 << 18, np.int32), np.zeros(1 << 16, np.int64), 0, 0, 0
 
-    def learn(self, fresh: list[str]) -> None:
-        special = [t for t in fresh if t in self.bpe.special]
-        fresh = [t for t in fresh if t not in self.bpe.special]
-        data = [t.encode() for t in fresh]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pre-tokens."""
+        data = [w.encode() for w in words]
         rank = self.lexicon.find(data)
-        known = np.flatnonzero(rank >= 0)
-        unseen = np.flatnonzero(rank < 0)
-        parts = (take(self.lexicon.ids, self.lexicon.at[:-1], np.diff(self.lexicon.at), rank[known]), self.bpe.merge([data[i] for i in unseen]), (np.array([self.bpe.special[t] for t in special], np.int32), np.arange(len(special) + 1)))
-        for (ids, at), names in zip(parts, ([fresh[i] for i in known], [fresh[i] for i in unseen], special), strict=True):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.n + len(names) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[self.n + 1 : self.n + 1 + len(names)] = self.used + at[1:]
-            self.slot.update(zip(names, range(self.n, self.n + len(names)), strict=True))
-            self.used, self.n = self.used + len(ids), self.n + len(names)
+        known, unseen = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        ids, at = take(self.lexicon.ids, self.lexicon.at[:-1], np.diff(self.lexicon.at), rank[known])
+        more, more_at = self.bpe.merge([data[i] for i in unseen])
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([known, unseen])] = np.arange(len(words))
+        return take(np.concatenate([ids, more]), np.concatenate([at[:-1], more_at[:-1] + len(ids)]), np.concatenate([np.diff(at), np.diff(more_at)]), place)
+
+    def learn(self, fresh: list[str]) -> None:
+        split = [[] if t in self.bpe.special else self.bpe.split(t) for t in fresh]
+        number = {w: i for i, w in enumerate({w for s in split for w in s})}
+        ids, at = self.words(list(number))
+        special = np.array([self.bpe.special.get(t, -1) for t in fresh], np.int64)
+        own = np.flatnonzero(special >= 0)
+        # the special ones count as words behind all others
+        size, start = np.concatenate([np.diff(at), np.ones(len(own), np.int64)]), np.concatenate([at[:-1], len(ids) + np.arange(len(own))])
+        ids = np.concatenate([ids, special[own]]).astype(np.int32)
+        of = iter(range(len(number), len(size)))
+        rows = np.array([i for t, s in zip(fresh, split, strict=True) for i in ([next(of)] if t in self.bpe.special else [number[w] for w in s])], np.int64)
+        ids, at = take(ids, start, size, rows)
+        at = at[np.concatenate([[0], np.cumsum([1 if t in self.bpe.special else len(s) for t, s in zip(fresh, split, strict=True)])]).astype(np.int64)]
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(fresh) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[self.n + 1 : self.n + 1 + len(fresh)] = self.used + at[1:]
+        self.slot.update(zip(fresh, range(self.n, self.n + len(fresh)), strict=True))
+        self.used, self.n = self.used + len(ids), self.n + len(fresh)
+        self.held += sum(map(len, fresh)) + 120 * len(fresh)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text)."""
-        if self.n > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
-        split = [self.bpe.pretokens(t) for t in texts]
+        split = [self.bpe.segments(t) for t in texts]
         flat = [t for s in split for t in s]
         self.learn([t for t in set(flat) if t not in self.slot])
         rows = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
@@ -99,9 +124,6 @@ def decode(bpe: ByteBpe, ids: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].decode(errors="replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def bpe_encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, round_trip: bool = False) -> DataFrame:
     """All columns of docs, and ``ids`` array<int>: the text's token ids, exactly as the library
     gives them without added special tokens; with ``round_trip`` also ``decoded``, the text
@@ -112,17 +134,14 @@ def bpe_encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, ro
     """
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(lexicon if lexicon is not None else build_lexicon(docs, tokenizer))
-    docs, name = docs.drop("ids", "decoded"), uuid.uuid4().hex
+    docs = docs.drop("ids", "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if round_trip:
         schema = T.StructType([*schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        bpe, key = load(tokenizer), (tokenizer, name)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(bpe, blob.value)
-        encoder = _ENCODERS[key]
+        bpe = load(tokenizer)
+        encoder = Encoder(bpe, blob.value)
         for b in pieces(batches):
             ids, at = encoder.encode([t or "" for t in b.column("text").to_pylist()])
             out = [*b.columns, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))]

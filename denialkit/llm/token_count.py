@@ -1,4 +1,8 @@
-"""Token counts by rank-synchronous array merging, in Arrow batches."""
+"""Token counts by rank-synchronous array merging, in Arrow batches.
+
+A text is cut into segments whose pre-tokens don't depend on their surroundings; the pre-tokens of
+segments not met before are merged as ragged arrays, and a segment's count is remembered.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +12,8 @@ from pyspark.sql import DataFrame
 from .ragged import pieces
 from .token_merge import load
 
-#: Pre-tokens whose count a Python worker remembers.
-REMEMBERED = 400_000
-_KNOWN: dict[str, dict[str, int]] = {}
+#: Bytes of the segments (each counts 120 more) whose count a task remembers.
+REMEMBERED = 48_000_000
 
 
 def token_count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
@@ -22,16 +25,20 @@ def token_count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """
 
     def run(batches):
-        bpe, known = load(tokenizer), _KNOWN.setdefault(tokenizer, {})
+        bpe, known, held = load(tokenizer), {}, 0
         for b in pieces(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            split = [bpe.pretokens(t) for t in texts]
-            if len(known) > REMEMBERED:
-                known.clear()
+            split = [bpe.segments(t) for t in texts]
+            if held > REMEMBERED:
+                known, held = {}, 0
             fresh = list({t for s in split for t in s if t not in known})
-            _, at = bpe.merge([t.encode() for t in fresh])
-            known.update(zip(fresh, (at[1:] - at[:-1]).tolist(), strict=True))
-            known.update(dict.fromkeys(bpe.special, 1))
+            held += sum(map(len, fresh)) + 120 * len(fresh)
+            tokens = [[] if t in bpe.special else bpe.split(t) for t in fresh]
+            distinct = {w: i for i, w in enumerate({w for s in tokens for w in s})}
+            _, at = bpe.merge([w.encode() for w in distinct])
+            count = (at[1:] - at[:-1]).tolist()
+            known.update((t, sum([count[distinct[w]] for w in s])) for t, s in zip(fresh, tokens, strict=True))
+            known.update((t, 1) for t in bpe.special)
             n = [sum(map(known.__getitem__, s)) for s in split]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],

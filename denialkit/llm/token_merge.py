@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,10 @@ import regex
 
 #: Fixed values of byte-level BPE: the splitting pattern and the printable stand-ins of bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space (no less than the pattern knows), that of ASCII, and the places before single spaces
+#: between other signs.
+WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+ASCII_WHITE, SINGLE = [c for c in WHITE if c.isascii()], re.compile(r"(?<=\S)(?= \S)")
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 
@@ -56,6 +61,21 @@ class ByteBpe:
                 out += self.split(part)
         return out
 
+    def segments(self, text: str) -> list[str]:
+        """Pieces of a text that split into pre-tokens as the whole text does: it is cut before
+        single spaces between other signs, where no pre-token can reach across, and around the
+        strings of special tokens, which are pieces of their own."""
+        if self.cut is not None and any(s in text for s in self.special):
+            return [x for part in self.cut.split(text) if part for x in ([part] if part in self.special else self._pieces(part))]
+        return self._pieces(text)
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        loose = any(w in text and (w + " " in text or " " + w in text) for w in (ASCII_WHITE if text.isascii() else WHITE))
+        if loose or "\0" in text or text[:1] == " " or text[-1:] == " ":
+            return SINGLE.split(text)
+        return text.replace(" ", "\0 ").split("\0")
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of each byte string.
 
