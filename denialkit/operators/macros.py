@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The form of a definition, and how deep definitions may nest.
-DEFINE, DEEPEST = r"(?ms)^define\(`([^']+)',\s*`(.*?)'\)\s*$", 8
+#: How deep definitions may nest.
+DEEPEST = 8
 
 
 def definitions(texts: DataFrame) -> DataFrame:
     """(name, tokens) of symbol lists in macro files (file, text); statement templates are left
     out, of a name defined twice the first counts."""
-    bodies = F.arrays_zip(F.regexp_extract_all("text", F.lit(DEFINE), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(DEFINE), F.lit(2)).alias("body"))
-    each = texts.select("file", F.posexplode(bodies).alias("at", "d")).select("file", "at", "d.name", F.trim("d.body").alias("body"))
+    parts = F.split("text", r"(?m)^define\(`")  # what stands before the first is no definition
+    each = texts.select("file", F.posexplode(F.slice(parts, F.lit(2), F.size(parts) - 1)).alias("at", "part"))
+    quoted = F.split(F.regexp_replace("part", r"^[^']*',\s*`", "\0"), "\0")  # empty, and from the body on
+    each = each.where((F.size(quoted) == 2) & F.get(quoted, F.lit(1)).rlike(r"(?m)'\)\s*$") & ~F.col("part").startswith("'"))
+    each = each.select("file", "at", F.substring_index("part", "'", 1).alias("name"), F.trim(F.get(F.split(F.get(quoted, F.lit(1)), r"(?m)'\)\s*$", 2), F.lit(0))).alias("body"))
     lists = each.where((F.col("body") != "") & ~F.contains("body", F.lit("$")) & ~F.contains("body", F.lit("(")))
     tokens = F.filter(F.split(F.regexp_replace("body", r"^[{}]+|[{}]+$", ""), r"\s+"), lambda t: t != "")
     return lists.groupBy("name").agg(F.min_by(tokens, F.struct("file", "at")).alias("tokens")).where("size(tokens) > 0")

@@ -9,16 +9,18 @@ from ..plans.access import answers, rule_hits, with_rules
 from ..plans.closure import member_counts
 from ..sources.policy import Policy, parse_rules
 
-ALLOW, XPERM = r"^allow (\S+) (\S+):(\S+) \{ ([^}]*) \};$", r"^allowxperm (\S+) (\S+):(\S+) \w+ \{ ([^}]*) \};$"
-
-
 def parse_patches(lines: DataFrame) -> DataFrame:
     """Adds kind, src, tgt, cls, perms to (patch, ...); kind is null for lines of another shape."""
-    p = F.trim("patch")
-    plain, xperm = p.rlike(ALLOW), p.rlike(XPERM)
-    part = lambda i: F.when(plain, F.regexp_extract(p, ALLOW, i)).when(xperm, F.regexp_extract(p, XPERM, i))
-    words = F.filter(F.split(part(4), r"\s+"), lambda w: w != "")
-    return lines.withColumns({"kind": F.when(plain, "allow").when(xperm, "allowxperm"), "src": part(1), "tgt": part(2), "cls": part(3), "perms": F.array_sort(F.array_distinct(words))})
+    w = F.split(F.trim("patch"), " ")
+    word, brace = lambda i: F.get(w, F.lit(i)), F.array_position(w, "{")
+    kind = F.when((word(0) == "allow") & (brace == 4), "allow").when((word(0) == "allowxperm") & (brace == 5), "allowxperm")
+    object_ = F.split(word(2), ":")
+    shaped = (F.element_at(w, -1) == "};") & (word(1) != "") & (F.size(object_) == 2) & ~F.array_contains(object_, "")
+    inside = F.slice(w, (brace + 1).cast("int"), F.greatest(F.size(w) - brace.cast("int") - 1, F.lit(0)))
+    kind = F.when(shaped & ~F.exists(inside, lambda x: F.contains(x, F.lit("}"))), kind)
+    perms = F.when(kind.isNotNull(), F.array_sort(F.array_distinct(F.filter(inside, lambda x: x != ""))))
+    given = lambda c: F.when(kind.isNotNull(), c)
+    return lines.withColumns({"kind": kind, "src": given(word(1)), "tgt": given(F.get(object_, F.lit(0))), "cls": given(F.get(object_, F.lit(1))), "perms": perms})
 
 
 def render_rule(kind: Column, src: Column, tgt: Column, cls: Column, perms: Column) -> Column:

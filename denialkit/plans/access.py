@@ -34,21 +34,25 @@ def rule_hits(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFr
     """
     asked = settle(with_tokens(requests.select("req", "src", "tgt", "cls"), closure))
     s, t = F.explode("src_tokens").alias("stok"), F.explode("tgt_tokens").alias("ttok")
-    heads = policy.rules.select("rule_id", "kind", "cls", "src", "tgt", "src_star", "tgt_star")
-    by_src = heads.where(F.size("src") > 0).withColumn("stok", F.explode("src"))
-    by_tgt = heads.where(F.size("tgt") > 0).withColumn("ttok", F.explode("tgt"))
-    one, other = asked.select("req", "cls", s, "tgt_tokens"), asked.select("req", "cls", t)
+    shown = ["rule_id", "kind", "perms", "xperm_perm", "xperms", "raw"]
+    rules = policy.rules.select(*shown, "cls", "src", "src_neg", "src_star", "tgt", "tgt_neg", "tgt_star")
+    by_src = rules.where("not src_star").withColumn("stok", F.explode("src"))
+    by_tgt = rules.where("src_star and not tgt_star").withColumn("ttok", F.explode("tgt"))
+    both = ["req", "cls", "src_tokens", "tgt_tokens"]
+    one = asked.select(*both, s)
     branches = [
-        one.select("req", "cls", "stok", t).join(by_src.withColumn("ttok", F.explode("tgt")), ["cls", "stok", "ttok"]),
-        one.drop("tgt_tokens").join(by_src.where("tgt_star"), ["cls", "stok"]), other.join(by_tgt.where("src_star"), ["cls", "ttok"]),
-        asked.select("req", "cls").join(heads.where("src_star and tgt_star"), "cls")]
-    pairs = branches[0].select("req", "rule_id")
-    for b in branches[1:]:
-        pairs = pairs.union(b.select("req", "rule_id"))
-    full = policy.rules.select("rule_id", "kind", "src_neg", "tgt_neg", "perms", "xperm_perm", "xperms", "raw")
-    hits = pairs.distinct().join(full, "rule_id").join(asked.select("req", "src_tokens", "tgt_tokens"), "req")
-    barred = lambda neg, tokens: F.coalesce(F.arrays_overlap(neg, tokens), F.lit(False))
-    return hits.where(~barred("src_neg", "src_tokens") & ~barred("tgt_neg", "tgt_tokens")).drop("src_neg", "tgt_neg", "src_tokens", "tgt_tokens")
+        one.select("*", t).join(by_src.where("not tgt_star").withColumn("ttok", F.explode("tgt")), ["cls", "stok", "ttok"]),
+        one.join(by_src.where("tgt_star"), ["cls", "stok"]), asked.select(*both, t).join(by_tgt, ["cls", "ttok"]),
+        asked.select(*both).join(rules.where("src_star and tgt_star"), "cls")]
+    barred = lambda side: F.coalesce(F.arrays_overlap(f"{side}_neg", f"{side}_tokens"), F.lit(False))
+    # a rule that names several tokens of a request counts by the first of them only
+    first = lambda tok, side: F.col(tok) == F.get(F.array_intersect(side, f"{side}_tokens"), F.lit(0))
+    only = [first("stok", "src") & first("ttok", "tgt"), first("stok", "src"), first("ttok", "tgt"), F.lit(True)]
+    out = None
+    for branch, once in zip(branches, only, strict=True):
+        hits = branch.where(once & ~barred("src") & ~barred("tgt")).select("req", *shown)
+        out = hits if out is None else out.union(hits)
+    return out
 
 
 def declared(policy: Policy) -> DataFrame:
@@ -100,7 +104,7 @@ def answers(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFram
 
 def with_rules(policy: Policy, more: DataFrame) -> Policy:
     """The policy with rules appended at its end (their own rule_id is replaced)."""
-    last = F.struct(F.array(F.lit("\U0010ffff")).alias("path"), F.lit(0).alias("line"), F.monotonically_increasing_id().cast("int").alias("sub"))
+    last = F.struct(F.array(F.lit("\U0010ffff")).alias("path"), F.lit(0).alias("line"), F.monotonically_increasing_id().alias("sub"))
     return Policy(policy.rules.union(more.withColumn("rule_id", last).select(policy.rules.columns)), policy.edges, policy.types, policy.attributes, policy.skipped)
 
 

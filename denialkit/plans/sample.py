@@ -108,7 +108,7 @@ def syn_b_policy(spark: SparkSession, sf_dir: str) -> Policy:
     none = F.array().cast("array<string>")
 
     def rules(df, kind, src, src_neg, tgt, cls, perms, raw, group, star=False):
-        return df.select(F.struct(F.array(F.lit(f"{group}")).alias("path"), F.lit(0).alias("line"), F.lit(0).alias("sub")).alias("rule_id"), F.lit(kind).alias("kind"), src.alias("src"), src_neg.alias("src_neg"), F.lit(star).alias("src_star"),
+        return df.select(F.struct(F.array(F.lit(f"{group}")).alias("path"), F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("sub")).alias("rule_id"), F.lit(kind).alias("kind"), src.alias("src"), src_neg.alias("src_neg"), F.lit(star).alias("src_star"),
                          tgt.alias("tgt"), none.alias("tgt_neg"), F.lit(False).alias("tgt_star"), cls.alias("cls"), perms.alias("perms"), F.lit(None).cast("string").alias("xperm_perm"), none.alias("xperms"), F.lit(False).alias("xperm_invert"), raw.alias("raw"))
 
     supp, part = name("supp_", "l_suppkey"), name("part_", "l_partkey")
@@ -123,7 +123,7 @@ def syn_b_policy(spark: SparkSession, sf_dir: str) -> Policy:
     reg = name("region_", "r_regionkey")
     stops = rules(t["region"].crossJoin(F.broadcast(brands.where("p_brand like '%3'"))), "neverallow", F.array(reg), none, F.array(brand), F.lit("file"), F.array(F.lit("write")), F.concat(reg, F.lit(" "), brand), "4")
     # rule ids must differ: the text makes them so
-    all_rules = line.unionByName(middle).unionByName(every).unionByName(stops).withColumn("rule_id", F.struct(F.concat(F.col("rule_id.path"), F.array("raw")).alias("path"), F.lit(0).alias("line"), F.lit(0).alias("sub")))
+    all_rules = line.unionByName(middle).unionByName(every).unionByName(stops).withColumn("rule_id", F.struct(F.concat(F.col("rule_id.path"), F.array("raw")).alias("path"), F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("sub")))
     names = edges.select(F.col("child").alias("name")).distinct()
     return Policy(all_rules, edges, names, edges.select(F.col("parent").alias("name")).distinct(), all_rules.limit(0).select("raw"))
 

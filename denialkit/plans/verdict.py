@@ -13,25 +13,26 @@ from .closure import settle
 
 AUTO, HUMAN, NOISE = "auto_repairable", "needs_human", "noise_or_already_allowed"
 
-#: The texts of reports.
+#: What reports say of each classification (src, tgt, cls and a list), of each guard (the name
+#: that fired it), and as the reason of a bucket.
 EXPLAIN = {
-    "MISSING_RULE": "安全策略缺少允许规则：%s 访问 %s:%s 的 {%s} 权限，当前策略未授予。需要确认该访问是否合理后，按最小权限补齐缺失权限。",
-    "XPERM_GAP": "%s 对 %s:%s 的 ioctl(%s) 被拒：策略已允许 ioctl 大类，但该命令号不在 allowxperm 白名单内，属于「细粒度权限缺口」而非「完全没有权限」。",
-    "POTENTIAL_ESCALATION": "该访问命中 neverallow 红线：%s 请求 %s:%s {%s}。即使技术上可加规则，也极可能是越权或架构问题，系统拒绝自动放权。",
-    "NOISE_OR_ALREADY_FIXED": "当前策略已允许该访问（denial 仍出现且处于 permissive），多为历史日志或噪声/已修复记录，不建议新增权限。",
-    "DOMAIN_OR_LABEL_MISMATCH": "策略已允许但 enforcing 下仍被拒：疑似进程域或对象标签与实际不符，应检查 type_transition / file_contexts 等，而非加权限。",
+    "MISSING_RULE": "No rule lets %s use %s:%s with {%s}. If the access is wanted, grant these permissions and no others.",
+    "XPERM_GAP": "%s may use ioctl on %s:%s, but command %s is missing from the list of allowed commands.",
+    "POTENTIAL_ESCALATION": "A neverallow rule forbids what %s asks of %s:%s {%s}. No patch is offered; the design needs a second look.",
+    "NOISE_OR_ALREADY_FIXED": "The rules already allow this access and the domain is permissive: an old or harmless record.",
+    "DOMAIN_OR_LABEL_MISMATCH": "The rules allow this access, yet it was denied while enforcing: check the process domain and the object's label first.",
 }
 GUARDS = {
-    "mls": "目标上下文可疑（被解析成安全级别而非类型，多为日志/注释笔误，勿照抄规则）",
-    "placeholder": "目标为 default_* 占位符（service 需映射到具体 sa_*/hdf 类型才能落规则），转人工",
-    "unknown": "主体/目标「%s」不在当前策略语料中（设备新增域、生成的数字 service 标签或标注异常），补丁无法落点验证，转人工",
-    "class": "对象类「%s」不在策略任何规则中出现（疑为日志笔误），补丁无法落点验证，转人工",
-    "perm": "权限位含非权限名「%s」（策略里没有任何规则授予过它；疑为日志转写笔误——ioctl 命令号被写进了权限位，而 `ioctl` 被写在括号外），照抄会落到编译不过的规则上，转人工",
-    "vacuous": "补丁为空权限（ioctl 类缺口需 allowxperm 语义，当前修复路径给不出有效最小补丁），转人工",
+    "mls": "the target is a security level, not a type",
+    "placeholder": "the target is a stand-in for a service whose own type is not known here",
+    "unknown": "the policy does not know the name %s",
+    "class": "no rule has the object class %s",
+    "perm": "no rule has ever granted %s, which may be no permission at all",
+    "vacuous": "the patch grants nothing",
 }
 WHY = {
-    "POTENTIAL_ESCALATION": "命中 neverallow 红线：禁止自动放权（转人工）", "NOISE_OR_ALREADY_FIXED": "策略已允许（历史/噪声）",
-    "DOMAIN_OR_LABEL_MISMATCH": "策略已允许却被拒：疑似域/标签问题，非权限缺口", "MISSING_RULE": "最小权限补齐", "XPERM_GAP": "最小权限补齐",
+    "POTENTIAL_ESCALATION": "forbidden by a neverallow rule", "NOISE_OR_ALREADY_FIXED": "already allowed",
+    "DOMAIN_OR_LABEL_MISMATCH": "allowed by the rules but denied: domain or label", "MISSING_RULE": "smallest sufficient grant", "XPERM_GAP": "smallest sufficient grant",
 }
 
 
@@ -61,9 +62,9 @@ def candidates(df: DataFrame) -> DataFrame:
     head = F.concat(shown("src"), F.lit(" "), shown("tgt"), F.lit(":"), shown("cls"))
     broad = F.concat(F.lit("allow "), head, F.lit(" { "), F.array_join(F.array_sort(F.array_union("perms", F.array(*map(F.lit, ("read", "write", "open"))))), " "), F.lit(" };"))
     option = lambda i, title, risk, draft: F.struct(F.lit(i).alias("id"), F.lit(title).alias("title"), F.lit(risk).alias("risk"), draft.alias("draft"))
-    c = option("C", "调整域/标签/调用路径（不动权限）", "LOW-MEDIUM", F.lit(None).cast("string"))
-    missing = F.array(option("A", "直接放权（偏宽）", "HIGH", broad), option("B", "最小权限补齐", "LOW", F.col("patch")), c)
-    gap = F.array(option("B", "放行指定 ioctl 命令号", "LOW", F.col("patch")), option("A", "整类放开 ioctl", "MEDIUM-HIGH", F.concat(F.lit("allow "), head, F.lit(" { ioctl };"))), c)
+    c = option("C", "change the domain, label or call path", "LOW-MEDIUM", F.lit(None).cast("string"))
+    missing = F.array(option("A", "grant broadly", "HIGH", broad), option("B", "grant what is missing", "LOW", F.col("patch")), c)
+    gap = F.array(option("B", "allow this ioctl command", "LOW", F.col("patch")), option("A", "allow every ioctl command", "MEDIUM-HIGH", F.concat(F.lit("allow "), head, F.lit(" { ioctl };"))), c)
     label = F.col("classification")
     best = F.when(label.isin("MISSING_RULE", "XPERM_GAP"), "B").when(label == "NOISE_OR_ALREADY_FIXED", "-").otherwise("C")
     return df.withColumn("candidates", F.when(label == "MISSING_RULE", missing).when(label == "XPERM_GAP", gap).otherwise(F.array(c))).withColumn("recommended", best)
@@ -73,8 +74,8 @@ def review_and_verify(df: DataFrame) -> DataFrame:
     """Adds review_status and verify_status of the patch.
 
     A generated patch grants exactly what is missing, so review can fail only on a star or on a
-    neverallow of the raw target, and verification only where a name is no identifier; the test
-    suite checks this closed form against querying the patched policy.
+    neverallow of the raw target, and verification only where a name is no identifier; 
+    ``tests/test_closed_form.py`` holds this against querying the patched policy.
     """
     none = F.col("patch") == ""
     starred = F.contains(F.col("patch"), F.lit("*")) & ~F.col("patch").startswith("allowxperm")
@@ -101,7 +102,7 @@ def guards(df: DataFrame, policy: Policy) -> DataFrame:
     guard = F.when(is_mls_level(F.col("tgt")), "mls").when(is_placeholder(F.col("tgt")), "placeholder").when(F.col("_src").isNull() | F.col("_tgt").isNull(), "unknown")
     guard = guard.when(F.col("_cls").isNull(), "class").when(F.size("_bogus") > 0, "perm").when(is_vacuous(F.col("patch")), "vacuous")
     df = df.withColumn("guard", guard)
-    detail = F.when(F.col("guard") == "unknown", shown(F.when(F.col("_src").isNull(), F.col("src")).otherwise(F.col("tgt")))).when(F.col("guard") == "class", shown("cls")).otherwise(F.array_join("_bogus", "、"))
+    detail = F.when(F.col("guard") == "unknown", shown(F.when(F.col("_src").isNull(), F.col("src")).otherwise(F.col("tgt")))).when(F.col("guard") == "class", shown("cls")).otherwise(F.array_join("_bogus", ", "))
     reason = F.lit(None).cast("string")
     for name, text in GUARDS.items():
         reason = F.when(F.col("guard") == name, F.format_string(text, detail) if "%s" in text else F.lit(text)).otherwise(reason)

@@ -7,13 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Statement forms; one statement a line.
-NAME = r"[A-Za-z0-9_.\-]+"
-SINGLE = {"class": rf"^\(class ({NAME}) ", "type": rf"^\(type ({NAME})\)", "attribute": rf"^\(typeattribute ({NAME})\)", "permissive": r"^\(typepermissive (\S+)\)"}
-CLASS_PERMS, COMMON, BINDING = r"^\(class (\S+) \(([^)]*)\)\)", r"^\(common (\S+) \(([^)]*)\)\)", r"^\(classcommon (\S+) (\S+)\)"
-MEMBERS = rf"^\(typeattributeset ({NAME}) \((.*?)\)\)\s*$"
-ALLOW, ALLOWX = r"^\(allow (\S+) (\S+) \((\S+) \(([^)]*)\)\)\)", r"^\(allowx (\S+) (\S+) \(ioctl (\S+) \((.*)\)\)\)\s*$"
-RANGE = r"\(range 0x([0-9a-fA-F]+) 0x([0-9a-fA-F]+)\)"
+#: A line is read as parentheses and words; words that name one symbol each, and the kind it has.
+TOKEN = r"[()]|[^()\s]+"
+SYMBOLS = {"class": "class", "type": "type", "typeattribute": "attribute", "typepermissive": "permissive"}
 
 
 @dataclass
@@ -36,34 +32,46 @@ def read_cil(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
 def intervals(expression: Column) -> Column:
     """Command intervals (lo, hi) of an extended permission: ranges, single values, all."""
-    number = lambda digits: F.conv(digits, 16, 10).cast("bigint")
-    ranges = F.zip_with(F.regexp_extract_all(expression, F.lit(RANGE), F.lit(1)), F.regexp_extract_all(expression, F.lit(RANGE), F.lit(2)), lambda a, b: F.struct(number(a).alias("lo"), number(b).alias("hi")))
-    alone = F.transform(F.regexp_extract_all(F.regexp_replace(expression, RANGE, " "), F.lit(r"0x([0-9a-fA-F]+)"), F.lit(1)), lambda v: F.struct(number(v).alias("lo"), number(v).alias("hi")))
-    every = F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(0xFFFFFFFF).cast("bigint").alias("hi")))
-    return F.concat(ranges, alone, F.when(F.contains(expression, F.lit("(all)")), every).otherwise(F.slice(every, 1, 0)))
+    return _intervals(_tokens(expression))
+
+
+def _intervals(found: Column) -> Column:
+    """The same from tokens: ``range`` takes the two numbers behind it, others stand for themselves."""
+    hexadecimal = lambda t: t.rlike("^0x[0-9a-fA-F]+$")
+    number = lambda t: F.conv(F.substring(t, 3, 16), 16, 10).cast("bigint")
+    before = lambda i, n: F.coalesce(F.get(found, i - n) == "range", F.lit(False))
+    lo = lambda t, i: F.when(t == "all", F.lit(0).cast("bigint")).when(hexadecimal(t) & ~before(i, 2), number(t))
+    hi = lambda t, i: F.when(t == "all", F.lit(0xFFFFFFFF).cast("bigint")).when(before(i, 1), number(F.get(found, i + 1))).otherwise(number(t))
+    each = F.transform(found, lambda t, i: F.struct(lo(t, i).alias("lo"), hi(t, i).alias("hi")))
+    return F.filter(each, lambda x: x["lo"].isNotNull())
 
 
 def parse_cil(lines: DataFrame) -> Board:
-    """The board of CIL lines (line). Rows of one access key are united."""
-    at = F.col("line")
-
-    def found(pattern: str, *names: str) -> DataFrame:
-        return lines.where(at.rlike(pattern)).select(*[F.regexp_extract(at, pattern, i).alias(n) for i, n in enumerate(names, 1)])
-
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(words(c)))))
-    symbols = None
-    for kind, pattern in SINGLE.items():
-        some = found(pattern, "name").select(F.lit(kind).alias("kind"), "name").distinct()
-        symbols = some if symbols is None else symbols.union(some)
-    own = found(CLASS_PERMS, "cls", "text").groupBy("cls").agg(united("text").alias("own"))
-    common = found(COMMON, "common", "text").groupBy("common").agg(united("text").alias("inherited"))
-    perms = own.join(found(BINDING, "cls", "common"), "cls", "left").join(common, "common", "left")
+    """The board of CIL lines (line), one statement each. Rows of one access key are united. Set
+    expressions (nested lists) name no members of their own."""
+    read = lines.select(_tokens(F.col("line")).alias("t")).where("size(t) > 3 and t[0] = '('").withColumn("w", F.filter("t", lambda x: ~x.isin("(", ")")))
+    token, word = lambda i: F.get("t", F.lit(i)), lambda i: F.get("w", F.lit(i))
+    rest = lambda i: F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0)))
+    of = lambda kind: read.where(word(0) == kind)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    kind = F.coalesce(*[F.when(word(0) == k, F.lit(v)) for k, v in SYMBOLS.items()])
+    symbols = read.where(word(0).isin("class", "typepermissive") | (word(0).isin("type", "typeattribute") & (F.size("w") == 2))).select(kind.alias("kind"), word(1).alias("name")).distinct()
+    listed = lambda k: of(k).where(token(3) == "(").select(word(1).alias("key"), rest(2).alias("names"))
+    own = listed("class").groupBy(F.col("key").alias("cls")).agg(united("names").alias("own"))
+    common = listed("common").groupBy(F.col("key").alias("common")).agg(united("names").alias("inherited"))
+    binding = of("classcommon").select(word(1).alias("cls"), word(2).alias("common"))
+    perms = own.join(binding, "cls", "left").join(common, "common", "left")
     none = F.array().cast("array<string>")
-    perms = perms.groupBy("cls").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat("own", F.coalesce("inherited", none)))))).alias("perms"))
-    edges = found(MEMBERS, "parent", "text").select(F.explode(words(F.col("text"))).alias("child"), "parent").distinct()
-    allows = found(ALLOW, "src", "tgt", "cls", "text").groupBy("src", "tgt", "cls").agg(united("text").alias("perms"))
-    xperms = found(ALLOWX, "src", "tgt", "cls", "text").groupBy("src", "tgt", "cls").agg(F.flatten(F.collect_set(intervals(F.col("text")))).alias("intervals"))
-    return Board(symbols, perms, edges, allows, xperms)
+    perms = perms.groupBy("cls").agg(united(F.concat("own", F.coalesce("inherited", none))).alias("perms"))
+    flat = (token(3) == "(") & (F.size(F.filter("t", lambda x: x == "(")) == 2)
+    edges = of("typeattributeset").where(flat).select(F.explode(rest(2)).alias("child"), word(1).alias("parent")).distinct()
+    allows = of("allow").where((token(4) == "(") & (token(6) == "(")).select(word(1).alias("src"), word(2).alias("tgt"), word(3).alias("cls"), rest(4).alias("names"))
+    allows = allows.groupBy("src", "tgt", "cls").agg(united("names").alias("perms"))
+    commands = of("allowx").where((token(4) == "(") & (token(5) == "ioctl") & (token(7) == "(")).select(word(1).alias("src"), word(2).alias("tgt"), word(4).alias("cls"), _intervals(F.col("t")).alias("some"))
+    return Board(symbols, perms, edges, allows, commands.groupBy("src", "tgt", "cls").agg(F.flatten(F.collect_set("some")).alias("intervals")))

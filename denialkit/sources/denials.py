@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK, MARKER, PAIR, PERMS, context_type, fingerprint, split_words, strip, unquote
+from ..functions.text import LINE_BREAK, MARKER, PAIR, context_type, denied_permissions, fingerprint, strip, unquote
 
 #: Stands before each marker while a text is cut into lines; a Unicode noncharacter.
 FLAG = "﷐"
@@ -50,7 +50,7 @@ def parse_events(df: DataFrame, block: str = "block") -> DataFrame:
     pid, permissive = first("pid"), first("permissive")
     out = {
         "raw": strip(F.col(block)), "src": context_type(first("scontext")), "tgt": context_type(first("tcontext")), "cls": first("tclass"),
-        "perms": split_words(F.regexp_extract(block, PERMS, 1)), "permissive": F.when(permissive == "1", True).when(permissive == "0", False),
+        "perms": denied_permissions(F.col(block)), "permissive": F.when(permissive == "1", True).when(permissive == "0", False),
         "comm": first("comm"), "pid": F.when(pid.rlike(r"^\d+$"), F.try_to_number(pid, F.lit("999999999999999999")).cast("bigint")),
         "path": first("path"), "name": first("name"), "ioctl_cmd": first("ioctlcmd"), "parameter": first("parameter"), "service": first("service"),
     }

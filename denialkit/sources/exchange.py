@@ -86,7 +86,7 @@ def export_lines(policy: Policy, label: str = "index", made: str = "", haps: Dat
         order = F.array(*[F.when(F.col(c), "1").otherwise("0") if c == "debuggable" else F.col(c) for c in HAP_ORDER])
         out.append(part(10, haps, order, F.concat_ws(" ", F.lit("@hap"), *map(text, HAP))))
     out.append(part(11, policy.rules.agg(F.count("*").alias("n")), none, F.concat(F.lit("@rules "), "n")))
-    place = F.concat(F.col("rule_id.path"), F.array(F.lpad(F.col("rule_id.line").cast("string"), 12, "0"), F.lpad(F.col("rule_id.sub").cast("string"), 12, "0")))
+    place = F.concat(F.col("rule_id.path"), F.array(F.lpad(F.col("rule_id.line").cast("string"), 12, "0"), F.lpad(F.col("rule_id.sub").cast("string"), 19, "0")))
     out.append(part(12, rule_lines(policy.rules), place, F.col("line")))
     return reduce(DataFrame.union, out)
 
@@ -122,7 +122,7 @@ def import_policy(lines: DataFrame) -> Policy:
     kind = F.coalesce(*[F.when(at(0) == c, F.lit(k)) for c, k in LETTERS.items()])
     xperm, none = kind.endswith("xperm"), F.array().cast("array<string>")
     tail = F.regexp_replace(at(4), "^~", "")
-    place = F.struct(F.array(F.lit("")).alias("path"), F.col("pos").cast("int").alias("line"), F.lit(0).alias("sub"))
+    place = F.struct(F.array(F.lit("")).alias("path"), F.col("pos").cast("int").alias("line"), F.lit(0).cast("bigint").alias("sub"))
     perms = F.when(xperm | (at(4) == "*"), none).otherwise(items(4))
     commands = F.when(xperm, F.filter(F.split(F.regexp_replace(tail, "^[^:]*:", ""), ","), lambda t: t != "")).otherwise(none)
     rules = body.select(kind.alias("kind"), *side(2, "src"), *side(3, "tgt"), at(1).alias("cls"), perms.alias("perms"), F.when(xperm, F.regexp_extract(tail, "^([^:]*):", 1)).alias("xperm_perm"), commands.alias("xperms"),
