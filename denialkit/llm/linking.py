@@ -54,12 +54,22 @@ def bucket_links(
     bucket allow a link, which must hold in one of their common buckets for every link.
     """
     left, right = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    close = lambda pairs: pairs.join(left, "a").join(right, "b").where(near(F.col("sa"), F.col("sb"))).select("a", "b")
     centers = members.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("x")).where("c < x").select("key", "c")
     shared = store.put("shared", members.join(centers, "key"))
-    stars = shared.where("node > c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
-    stars = store.put("stars", stars.join(left, "a").join(right, "b").where(near(F.col("sa"), F.col("sb"))).select("a", "b"))
+    # most nodes connect through the smallest of their centers, and need no other comparison then
+    stars = shared.where("node > c").groupBy(F.col("node").alias("b")).agg(F.min("c").alias("a")).select("a", "b")
+    stars = store.put("stars", close(stars))
     edges = store.put("edges", verify(stars).select("a", "b").distinct())
     comp = components(store, edges)
+    others = shared.where("node > c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+    for c in ("a", "b"):
+        others = others.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}c")), c, "left").withColumn(f"{c}c", F.coalesce(f"{c}c", c))
+    others = store.put("others", close(others.where("ac <> bc").select("a", "b").join(stars, ["a", "b"], "left_anti")))
+    if others.limit(1).count():
+        second = store.put("edges2", verify(others).select("a", "b").distinct())
+        edges, stars = edges.union(second), stars.union(others)
+        comp = components(store, edges)
 
     labelled = store.put("labelled", shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
     mains = labelled.groupBy("key", "comp").count().groupBy("key").agg(
