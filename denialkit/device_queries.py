@@ -56,8 +56,13 @@ def board(spark: SparkSession) -> Board:
     return parse_cil(spark.createDataFrame([(x,) for x in BOARD_TEXT.split("\n")], "line string"))
 
 
-def human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(spark, sf_dir).where(F.col("category") == HUMAN)
+def human(spark: SparkSession, sf_dir: str, policy=None) -> DataFrame:
+    return decided(spark, sf_dir, policy).where(F.col("category") == HUMAN)
+
+
+def attributed(spark, sf_dir):
+    policy = sample.sample_policy(spark)
+    return attribution.attribute(human(spark, sf_dir, policy), policy, board(spark))
 
 
 HELD = "EXISTS (SELECT 1 FROM ballow b JOIN bup s ON s.token = b.src JOIN bup t ON t.token = b.tgt WHERE s.name = f.src AND t.name = f.tgt AND b.cls = f.cls AND list_has_all(b.perms, {}))"
@@ -73,20 +78,20 @@ cause AS (SELECT f.*, CASE WHEN classification = 'POTENTIAL_ESCALATION' THEN 'NE
 
 @query(CAUSES + "SELECT coalesce(src, '~') AS src, tgt, cls, array_to_string(perms, ' ') AS perms, coalesce(ioctl_cmd, '~') AS ioctl_cmd, root_cause FROM cause")
 def o79_attribution(spark, sf_dir):
-    out = attribution.attribute(human(spark, sf_dir), sample.sample_policy(spark), board(spark))
+    out = attributed(spark, sf_dir)
     return out.select(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "root_cause")
 
 
 @query(CAUSES + """SELECT root_cause, CASE root_cause WHEN 'NEVERALLOW_REDLINE' THEN 'HUMAN' WHEN 'BOARD_PARTIAL_GAP' THEN 'DEVICE' WHEN 'LOG_MISSING_FIELD' THEN 'LOG' WHEN 'UNKNOWN_OBJECT_CLASS' THEN 'LOG' WHEN 'UNKNOWN_PERMISSION' THEN 'LOG'
     WHEN 'MALFORMED_LOG' THEN 'LOG' WHEN 'UNRESOLVED_SERVICE_PLACEHOLDER' THEN 'TOOL' WHEN 'BOARD_SYMBOL_ABSENT' THEN 'TOOL' WHEN 'DEVICE_LAGS_TREE' THEN 'TOOL' ELSE 'NONE' END AS owner, count(*) AS cases, sum(n)::BIGINT AS denials FROM cause GROUP BY 1, 2""")
 def o80_attribution_report(spark, sf_dir):
-    return attribution.report(attribution.attribute(human(spark, sf_dir), sample.sample_policy(spark), board(spark)))
+    return attribution.report(attributed(spark, sf_dir))
 
 
 @query(CAUSES + """SELECT f.src, f.cls, count(DISTINCT f.req) AS cases, (SELECT string_agg(DISTINCT t.tgt, ' ' ORDER BY t.tgt) FROM cause t WHERE t.root_cause = 'BOARD_PARTIAL_GAP' AND t.src = f.src AND t.cls = f.cls) AS targets
     FROM cause f WHERE f.root_cause = 'BOARD_PARTIAL_GAP' GROUP BY 1, 2""")
 def o59_device_findings(spark, sf_dir):
-    found = attribution.device_findings(attribution.attribute(human(spark, sf_dir), sample.sample_policy(spark), board(spark)))
+    found = attribution.device_findings(attributed(spark, sf_dir))
     return found.select("src", "cls", "cases", F.array_join("targets", " ").alias("targets"))
 
 
@@ -261,9 +266,14 @@ def o19_report_lines(spark, sf_dir):
     return report.markdown(decided(spark, sf_dir)).where(F.col("section") == "auto").agg((F.count("*") - 1).alias("lines"))
 
 
-@query(ANSWERED + "SELECT count(*) AS cases FROM ans")
+@query(ANSWERED + """SELECT allowed::VARCHAR AS all_allowed, (category = 'auto_repairable')::VARCHAR AS auto_safe, category, classification, (ioctl_reason IS NOT NULL)::VARCHAR AS has_ioctl, coalesce(ioctl_allowed, false)::VARCHAR AS ioctl_allowed, coalesce(ioctl_reason, '') AS ioctl_reason,
+    n_neverallow::VARCHAR AS neverallow_hits, (category = 'needs_human')::VARCHAR AS needs_human, patch, (patch <> '')::VARCHAR AS produced_patch, (classification NOT IN ('MISSING_RULE', 'XPERM_GAP'))::VARCHAR AS quick_settled,
+    CASE WHEN classification NOT IN ('MISSING_RULE', 'XPERM_GAP') THEN '' WHEN patch = '' THEN 'SKIP' ELSE 'APPROVE' END AS review_status, CASE WHEN classification NOT IN ('MISSING_RULE', 'XPERM_GAP') THEN '' ELSE verify_status END AS verify_status, 24::BIGINT AS keys, count(*) AS cases
+    FROM fin GROUP BY ALL""")
 def o95_case_answers(spark, sf_dir):
-    return report.case_lines(decided(spark, sf_dir)).agg(F.count_if(F.get_json_object("line", "$.category").isNotNull()).alias("cases"))
+    lines = report.case_lines(decided(spark, sf_dir))
+    keys = ("all_allowed", "auto_safe", "category", "classification", "has_ioctl", "ioctl_allowed", "ioctl_reason", "neverallow_hits", "needs_human", "patch", "produced_patch", "quick_settled", "review_status", "verify_status")
+    return lines.groupBy(*[F.get_json_object("line", f"$.{k}").alias(k) for k in keys], F.size(F.json_object_keys("line")).cast("bigint").alias("keys")).agg(F.count("*").alias("cases"))
 
 
 RED_LINES = """neverallow normal_hap dev_bbox:chr_file { read write };

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import apl_rank
 from ..plans.access import answers, declared
 from ..plans.closure import settle
+from ..plans.verdict import AUTO
 from ..sources.policy import Policy
 
 
@@ -56,3 +57,21 @@ def cross_layer(cases: DataFrame, policy: Policy, entries: DataFrame) -> DataFra
 def summary(viewed: DataFrame) -> DataFrame:
     """(fix_layer, apl, cases)."""
     return viewed.select("fix_layer", F.explode("levels").alias("apl")).groupBy("fix_layer", "apl").agg(F.count("*").alias("cases"))
+
+
+def app_clusters(decided: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row: how many cases have an application domain as subject, and how many there are."""
+    apps = entries.select(F.col("domain").alias("src")).where("src is not null").distinct().withColumn("app", F.lit(1))
+    return decided.select("src").join(apps, "src", "left").agg(F.count("app").alias("app_cases"), F.count("*").alias("cases"))
+
+
+def shared_patches(viewed: DataFrame) -> DataFrame:
+    """(patch, src, tgt, cls, n, fix_layer): patches that may land unattended on a domain that all
+    applications of a level share, those of the most denials first."""
+    auto = viewed.where((F.col("category") == AUTO) & (F.col("patch") != ""))
+    return auto.select("patch", "src", "tgt", "cls", "n", "fix_layer").orderBy(F.desc("n"), "patch")
+
+
+def boundary_cases(viewed: DataFrame) -> DataFrame:
+    """The cases that a higher level already has, and which so belong to the application's level."""
+    return viewed.where("fix_layer = 'app'").select("src", "tgt", "cls", F.array_sort("perms").alias("perms"), "n", "patch", "category", "higher").orderBy(F.desc("n"), "src", "tgt", "cls")

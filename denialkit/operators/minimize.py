@@ -49,6 +49,11 @@ def collapse(patches: DataFrame) -> DataFrame:
     return grouped.withColumn("text", render_rule(*map(F.col, ("kind", "src", "tgt", "cls", "perms"))))
 
 
+def unparsed(patches: DataFrame) -> DataFrame:
+    """The patch lines of a shape that ``collapse`` cannot read, so that none goes unseen."""
+    return parse_patches(patches).where("kind is null").select(patches.columns)
+
+
 def blast(rules: DataFrame, policy: Policy) -> DataFrame:
     """Adds pairs, grants and level: how many concrete accesses a rule creates."""
     out = fanout(rules, policy, "src", "tgt").withColumn("pairs", F.col("src_reach") * F.col("tgt_reach"))

@@ -49,6 +49,16 @@ def classify(df: DataFrame) -> DataFrame:
     return df.withColumn("classification", label).withColumn("missing", F.array_sort(F.array_except("perms", "granted")))
 
 
+def quick(answered: DataFrame) -> DataFrame:
+    """Adds quick_category and quick_class to answered cases that need no patch: a neverallow hit,
+    or an access that the rules allow whole. Both are null where a patch has to be considered."""
+    stopped, denied = F.col("n_neverallow") > 0, F.col("ioctl_allowed") == F.lit(False)
+    clear = F.col("allowed") & ~F.coalesce(denied, F.lit(False))
+    calm = F.coalesce("permissive", F.lit(False))
+    label = F.when(stopped, "POTENTIAL_ESCALATION").when(clear & calm, "NOISE_OR_ALREADY_FIXED").when(clear, "DOMAIN_OR_LABEL_MISMATCH")
+    return answered.withColumns({"quick_class": label, "quick_category": F.when(label == "NOISE_OR_ALREADY_FIXED", NOISE).when(label.isNotNull(), HUMAN)})
+
+
 def repair(df: DataFrame) -> DataFrame:
     """Adds patch: the smallest rule that closes the gap, empty where none is due."""
     head = F.concat(shown("src"), F.lit(" "), shown("tgt"), F.lit(":"), shown("cls"))

@@ -13,10 +13,10 @@ from .operators import minimize as mini
 from .plans import sample
 from .plans.access import answers, resolve_targets, rule_hits
 from .plans.closure import ancestors, member_counts, settle
-from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines
+from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines, quick
 from .sources import sehap
 from .sources.denials import clusters, suppressed, with_fingerprint
-from .sources.policy import corpus_statistics, summary
+from .sources.policy import class_histogram, corpus_statistics, file_counts, summary
 from .streaming import follow as stream
 
 Q: dict = {}
@@ -82,8 +82,9 @@ fin AS (SELECT *, CASE WHEN classification IN ('POTENTIAL_ESCALATION', 'DOMAIN_O
 """
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return converge(sample.syn_a(spark, sf_dir), sample.sample_policy(spark))
+def decided(spark: SparkSession, sf_dir: str, policy=None) -> DataFrame:
+    """SYN-A decided; a query that asks the same policy again hands it in, so its closure is made once."""
+    return converge(sample.syn_a(spark, sf_dir), policy or sample.sample_policy(spark))
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +162,29 @@ def o69_candidates(spark, sf_dir):
     return candidates(decided(spark, sf_dir)).groupBy("classification", F.array_join("candidates.id", " ").alias("ids"), "recommended").agg(F.count("*").alias("cases"))
 
 
-@query()
+def _listed(text: str) -> str:
+    """DuckDB text of a JSON list of the words in a text."""
+    return f"""CASE WHEN {text} = '' THEN '[]' ELSE '["' || replace({text}, ' ', '","') || '"]' END"""
+
+
+@query(ANSWERED + f"""SELECT classification, coalesce(src, 'None') AS src, tgt, cls, {_listed("granted")} AS granted, {_listed("missing")} AS missing, {_listed("array_to_string(perms, ' ')")} AS requested, CASE WHEN ioctl_reason IS NOT NULL THEN ioctl_cmd END AS ioctl,
+    CASE WHEN classification IN ('POTENTIAL_ESCALATION', 'DOMAIN_OR_LABEL_MISMATCH') THEN 'true' ELSE 'false' END AS needs_human, patch, CASE WHEN patch = '' THEN 'SKIP' ELSE 'APPROVE' END AS review, verify_status AS verify,
+    CASE WHEN classification IN ('MISSING_RULE', 'XPERM_GAP') THEN 'B' WHEN classification = 'NOISE_OR_ALREADY_FIXED' THEN '-' ELSE 'C' END AS recommended_id, CASE WHEN guard IS NULL THEN 'false' ELSE 'true' END AS advised, 15::BIGINT AS keys FROM fin""")
 def o76_explain(spark, sf_dir):
-    return explain(decided(spark, sf_dir)).select("fp", "classification", "explanation", "why", "patch")
+    from .operators.report import explain_lines
+
+    lines = explain_lines(decided(spark, sf_dir))
+    keys = ("classification", "src", "tgt", "cls", "granted", "missing", "requested", "ioctl", "needs_human", "patch", "review", "verify", "recommended.id")
+    told = [F.get_json_object("line", f"$.{k}").alias(k.replace(".", "_")) for k in keys]
+    return lines.select(*told, (F.get_json_object("line", "$.advisory") != "").cast("string").alias("advised"), F.size(F.json_object_keys("line")).cast("bigint").alias("keys"))
+
+
+@query(ANSWERED + """SELECT CASE WHEN n_neverallow > 0 THEN 'POTENTIAL_ESCALATION' WHEN allowed AND coalesce(ioctl_allowed, true) THEN (CASE WHEN permissive THEN 'NOISE_OR_ALREADY_FIXED' ELSE 'DOMAIN_OR_LABEL_MISMATCH' END) END AS quick_class,
+    CASE WHEN n_neverallow > 0 THEN 'needs_human' WHEN allowed AND coalesce(ioctl_allowed, true) THEN (CASE WHEN permissive THEN 'noise_or_already_allowed' ELSE 'needs_human' END) END AS quick_category, count(*) AS cases FROM ans GROUP BY 1, 2""")
+def o67_quick_verdicts(spark, sf_dir):
+    policy = sample.sample_policy(spark)
+    a = asked(spark, sf_dir).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp"))
+    return quick(answers(a, policy, policy.closure())).groupBy("quick_class", "quick_category").agg(F.count("*").alias("cases"))
 
 
 MINI = ANSWERED + """, lines AS (SELECT classification, src, tgt, cls, patch, count(*) AS cases, sum(n)::BIGINT AS denials FROM fin WHERE category = 'auto_repairable' GROUP BY 1, 2, 3, 4, 5),
@@ -181,25 +202,27 @@ def o60_minimize(spark, sf_dir):
 @query(MINI + """, reach AS (SELECT r.rule_id, coalesce((SELECT sum(CASE WHEN t.x IN (SELECT name FROM attributes) THEN (SELECT count(*) FROM (VALUES ('hap_domain','app_domain'),('normal_hap','hap_domain'),('system_basic_hap','hap_domain'),('system_core_hap','hap_domain'),('debug_hap','hap_domain')) e(c, p) WHERE e.p = t.x) ELSE 1 END) FROM (SELECT unnest(r.src) AS x) t), 1)::BIGINT AS reach FROM rules r)
     SELECT u.kind, u.src, u.tgt, u.cls, coalesce((SELECT arg_min(r.raw, (h.reach, r.raw)) FROM rules r JOIN reach h USING (rule_id) WHERE u.kind = 'allow' AND r.kind = 'allow' AND r.cls = u.cls AND """ + match("src", "u.src") + " AND " + match("tgt", "u.tgt") + "), '-') AS fold_into FROM rule u")
 def o61_fold(spark, sf_dir):
-    rules = mini.collapse(patch_lines(decided(spark, sf_dir)))
-    return mini.fold(rules, sample.sample_policy(spark)).select("kind", "src", "tgt", "cls", F.coalesce("fold_into", F.lit("-")).alias("fold_into"))
+    policy = sample.sample_policy(spark)
+    rules = mini.collapse(patch_lines(decided(spark, sf_dir, policy)))
+    return mini.fold(rules, policy).select("kind", "src", "tgt", "cls", F.coalesce("fold_into", F.lit("-")).alias("fold_into"))
 
 
-@query(f"""WITH {SYN_B_EDGES}, n AS (SELECT parent, count(*) AS k FROM edges GROUP BY 1), pairs AS (SELECT DISTINCT 'nation_' || n_nationkey AS src, 'brand_' || regexp_replace(p_brand, '[^A-Za-z0-9_]', '', 'g') AS tgt FROM nation, part WHERE n_nationkey < 5)
+@query(f"""WITH {SYN_B_EDGES}, n AS (SELECT parent, count(*) AS k FROM edges GROUP BY 1), pairs AS (SELECT DISTINCT 'nation_' || n_nationkey AS src, 'brand_' || regexp_replace(p_brand, '[^A-Za-z0-9_]', '', 'g') AS tgt FROM nation, part)
     SELECT src, tgt, coalesce(a.k, 0) * b.k AS pairs, 2 * coalesce(a.k, 0) * b.k AS grants, CASE WHEN coalesce(a.k, 0) * b.k = 1 THEN 'low' WHEN coalesce(a.k, 0) * b.k <= 16 THEN 'medium' ELSE 'high' END AS level FROM pairs LEFT JOIN n a ON a.parent = src JOIN n b ON b.parent = tgt
     WHERE a.k IS NOT NULL""")
 def o63_blast_radius(spark, sf_dir):
     policy = sample.syn_b_policy(spark, sf_dir)
     held = member_counts(policy.edges)
-    pairs = held.where("token like 'nation_%' and cast(substring(token, 8) as int) < 5").select(F.col("token").alias("src")).crossJoin(F.broadcast(held.where("token like 'brand_%'").select(F.col("token").alias("tgt"))))  # 5 nations x 25 brands
+    pairs = held.where("token like 'nation_%'").select(F.col("token").alias("src")).crossJoin(F.broadcast(held.where("token like 'brand_%'").select(F.col("token").alias("tgt"))))  # 25 nations x 25 brands
     out = mini.blast(pairs.withColumn("perms", F.array(F.lit("read"), F.lit("write"))), policy)
     return out.select("src", "tgt", F.col("pairs").cast("bigint").alias("pairs"), F.col("grants").cast("bigint").alias("grants"), "level")
 
 
-@query(ANSWERED + "SELECT false AS before, true AS after, count(*) AS cases FROM fin WHERE category = 'auto_repairable' HAVING count(*) > 0")
+@query(ANSWERED + "SELECT CASE WHEN perms = ['ioctl'] AND ioctl_allowed IS NOT NULL THEN ioctl_allowed ELSE allowed END AS before, true AS after, count(*) AS cases FROM fin WHERE category = 'auto_repairable' GROUP BY 1")
 def o66_closed_loop(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    loop = mini.closed_loop(d.where(F.col("category") == AUTO), mini.collapse(patch_lines(d)), sample.sample_policy(spark))
+    policy = sample.sample_policy(spark)
+    d = decided(spark, sf_dir, policy)
+    loop = mini.closed_loop(d.where(F.col("category") == AUTO), mini.collapse(patch_lines(d)), policy)
     return loop.groupBy("before", "after").agg(F.count("*").alias("cases"))
 
 
@@ -314,8 +337,9 @@ oth AS (SELECT req, own, other, rank FROM sib GROUP BY 1, 2, 3, 4 HAVING bool_an
 v AS (SELECT a.src, a.tgt, a.cls, array_to_string(a.perms, ' ') AS perms, coalesce(a.ioctl_cmd, '~') AS ioctl_cmd, CASE WHEN a.allowed THEN 'none' WHEN EXISTS (SELECT 1 FROM oth o WHERE o.req = a.req AND o.rank > o.own) THEN 'app' ELSE 'system' END AS fix_layer,
   coalesce((SELECT string_agg(other, ' ' ORDER BY other) FROM oth o WHERE o.req = a.req), '') AS allowing FROM ans a JOIN hap h ON h.domain = a.src) SELECT * FROM v""")
 def o77_cross_layer(spark, sf_dir):
-    d = decided(spark, sf_dir)
-    v = crosslayer.cross_layer(d, sample.sample_policy(spark), sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
+    policy = sample.sample_policy(spark)
+    d = decided(spark, sf_dir, policy)
+    v = crosslayer.cross_layer(d, policy, sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
     return v.select("src", "tgt", "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd"), "fix_layer", words("allowing").alias("allowing"))
 
 
@@ -332,24 +356,50 @@ def o84_missing_permissions(spark, sf_dir):
 @query(ANSWERED + """, pr AS (SELECT q.req, q.p, h.raw FROM perm q JOIN ans a ON a.req = q.req AND a.allowed JOIN hits h ON h.req = q.req AND h.kind = 'allow' AND (len(h.perms) = 0 OR list_contains(h.perms, q.p))),
     solo AS (SELECT req, p, min(raw) AS raw FROM pr GROUP BY 1, 2 HAVING count(DISTINCT raw) = 1) SELECT raw, count(DISTINCT req) AS cases FROM solo GROUP BY 1""")
 def o85_leave_one_out(spark, sf_dir):
-    policy, d = sample.sample_policy(spark), decided(spark, sf_dir)
+    policy = sample.sample_policy(spark)
+    d = decided(spark, sf_dir, policy)
     moved = d.select(F.col("fp").alias("req"), "src", F.col("query_tgt").alias("tgt"), "cls")
     out = evaluate.leave_one_out(d.withColumn("req", F.col("fp")), rule_hits(moved, policy, policy.closure()))
     return out.groupBy("raw").agg(F.count("*").alias("cases"))
 
 
-@query(ANSWERED + """SELECT '{{"src":"' || coalesce(src, '~') || '","tgt":"' || tgt || '","allowed":' || allowed || ',"granted":"' || granted || '","neverallow":' || (n_neverallow > 0) || '}}' AS answer, count(*) AS n FROM ans GROUP BY 1""".replace("{{", "{").replace("}}", "}"))
+@query(ANSWERED + """SELECT coalesce(src, '~') AS src, tgt, '{"allowed":' || allowed || ',"granted":' || """ + _listed("granted") + """ || ',"ioctl_allowed":' || coalesce(ioctl_allowed::VARCHAR, 'null') || ',"ioctl_reason":' || coalesce('"' || ioctl_reason || '"', 'null') || ',"neverallow":' || n_neverallow || '}' AS answer, count(*) AS n FROM ans GROUP BY 1, 2, 3""")
 def o94_batch_answers(spark, sf_dir):
     policy = sample.sample_policy(spark)
     a = answers(asked(spark, sf_dir).withColumn("logged_tgt", F.col("tgt")).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, policy.closure())
-    told = F.to_json(F.struct(F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), "allowed", words("granted").alias("granted"), (F.col("n_neverallow") > 0).alias("neverallow")))
-    return a.groupBy(told.alias("answer")).agg(F.count("*").alias("n"))
+    told = F.to_json(F.struct("allowed", F.array_sort("granted").alias("granted"), "ioctl_allowed", "ioctl_reason", F.col("n_neverallow").alias("neverallow")), {"ignoreNullFields": "false"})
+    return a.groupBy(F.coalesce("src", F.lit("~")).alias("src"), F.col("logged_tgt").alias("tgt"), told.alias("answer")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT coalesce(src, '~') AS src, tgt, cls, count(*) AS n FROM ({sample.SYN_A}) GROUP BY 1, 2, 3 ORDER BY n DESC, src, tgt, cls LIMIT 20")
+@query(f"""SELECT coalesce(src, '~') AS src, tgt, cls, array_to_string(list_sort(string_split(perms, ' ')), ' ') AS perms, coalesce(ioctl_cmd, '~') AS ioctl_cmd, coalesce(src, '') = 'debug_hap' AS tool, count(*) AS n
+    FROM ({sample.SYN_A}) GROUP BY 1, 2, 3, 4, 5, 6 ORDER BY tool, n DESC, src, tgt, cls, perms, ioctl_cmd LIMIT 20""")
 def o93_snapshot(spark, sf_dir):
-    n = sample.syn_a(spark, sf_dir).groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls").agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "src", "tgt", "cls").limit(20)
+    """The debugging domain stands for records that tools of the watcher made themselves."""
+    key = [F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls", words("perms").alias("perms"), F.coalesce("ioctl_cmd", F.lit("~")).alias("ioctl_cmd")]
+    n = sample.syn_a(spark, sf_dir).groupBy(*key, (F.coalesce("src", F.lit("")) == "debug_hap").alias("tool")).agg(F.count("*").alias("n"))
+    return n.orderBy("tool", F.desc("n"), "src", "tgt", "cls", "perms", "ioctl_cmd").limit(20)
+
+
+@query("""WITH p AS (SELECT CASE event_id % 5 WHEN 0 THEN 'allow a_' || user_id || ' b:c read;' WHEN 1 THEN 'grant ' || event_type WHEN 2 THEN 'allow a b_' || user_id || ':c { read write };' WHEN 3 THEN 'allowxperm a b:c ioctl { 0x' || user_id || ' };' ELSE 'allow a b { read };' END AS patch, event_id % 5 AS k FROM events)
+    SELECT patch, count(*) AS n FROM p WHERE k NOT IN (2, 3) GROUP BY 1""")
+def o60_unparsed(spark, sf_dir):
+    k, user = F.col("event_id") % 5, F.col("user_id").cast("string")
+    patch = F.when(k == 0, F.concat(F.lit("allow a_"), user, F.lit(" b:c read;"))).when(k == 1, F.concat(F.lit("grant "), "event_type")).when(k == 2, F.concat(F.lit("allow a b_"), user, F.lit(":c { read write };")))
+    patch = patch.when(k == 3, F.concat(F.lit("allowxperm a b:c ioctl { 0x"), user, F.lit(" };"))).otherwise("allow a b { read };")
+    return mini.unparsed(spark.read.parquet(f"{sf_dir}/events.parquet").select(patch.alias("patch"))).groupBy("patch").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'open read' WHEN 1 THEN event_type WHEN 2 THEN '' ELSE 'p' || user_id END AS perms FROM events""")
+def o26_rule_permissions(spark, sf_dir):
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    rule = F.when(k == 0, F.lit("allow a b:c { open read };")).when(k == 1, F.concat(F.lit("allow a b:c "), "event_type", F.lit(";"))).when(k == 2, F.concat(F.lit("allow a b:c "), user)).otherwise(F.concat(F.lit("allow {a b} {c p"), user, F.lit("}:d x;")))
+    rule = F.when(k == 3, F.concat(F.lit("allow a b:c { p"), user, F.lit(" p"), user, F.lit(" };"))).otherwise(rule)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", words(evaluate.rule_permissions(rule)).alias("perms"))
+
+
+@query(ANSWERED + "SELECT count(*) FILTER (src IN (SELECT domain FROM (VALUES ('normal_hap'), ('system_basic_hap'), ('system_core_hap'), ('debug_hap')) d(domain))) AS app_cases, count(*) AS cases FROM fin")
+def o78_app_clusters(spark, sf_dir):
+    return crosslayer.app_clusters(decided(spark, sf_dir), sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
 
 
 @query(f"SELECT coalesce(src, '~') AS src, tgt, cls, count(DISTINCT array_to_string(list_sort(string_split(perms, ' ')), ' ') || coalesce(ioctl_cmd, '~')) AS accesses FROM ({sample.SYN_A}) GROUP BY 1, 2, 3")
@@ -369,3 +419,29 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def _rule_texts(spark, sf_dir):
+    """A rule file for every supplier: its lineitem rows as rules with wrapped comments."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rule = F.concat(F.lit("allow supp part:"), F.when(F.col("l_linestatus") == "O", "file").otherwise("dir"), F.lit(" { read };\n"), F.when(F.col("l_linenumber") == 7, "# avc: denied { read } for tclass=file\n").otherwise("# note\n"))
+    keyed = F.struct("l_orderkey", "l_linenumber", rule.alias("rule"))
+    files = li.groupBy(F.col("l_suppkey").cast("string").alias("file")).agg(F.array_sort(F.collect_list(keyed)).alias("rules"))
+    return files.select("file", F.array_join(F.col("rules.rule"), "").alias("text"))
+
+
+@query("SELECT CASE WHEN l_linestatus = 'O' THEN 'file' ELSE 'dir' END AS cls, count(*) AS n FROM lineitem GROUP BY 1")
+def o58_class_histogram(spark, sf_dir):
+    return class_histogram(_rule_texts(spark, sf_dir))
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (has) AS files_with_denials FROM (SELECT l_suppkey, bool_or(l_linenumber = 7) AS has FROM lineitem GROUP BY 1)")
+def o58_file_counts(spark, sf_dir):
+    return file_counts(_rule_texts(spark, sf_dir))
+
+
+@query(ANSWERED + "SELECT patch, src, tgt, cls, n FROM fin WHERE category = 'auto_repairable' AND src IN ('normal_hap', 'system_basic_hap', 'system_core_hap', 'debug_hap')")
+def o55_shared_patches(spark, sf_dir):
+    policy = sample.sample_policy(spark)
+    v = crosslayer.cross_layer(decided(spark, sf_dir, policy), policy, sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
+    return crosslayer.shared_patches(v).select("patch", "src", "tgt", "cls", "n")

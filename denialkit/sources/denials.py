@@ -80,10 +80,12 @@ def clusters(denials: DataFrame) -> DataFrame:
     """One row per logical access: counts by mode, the first record, up to five commands in order
     of arrival. ``seq`` orders arrival."""
     first = F.struct("raw", "src", "tgt", "cls", "perms", "permissive", "ioctl_cmd", "service")
-    # a command's first arrival is found before the lists are built, so a list is as long as its distinct commands
-    comms = denials.where("comm <> ''").groupBy("fp", "comm").agg(F.min("seq").alias("at"))
-    comms = comms.groupBy("fp").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "comm"))), lambda x: x["comm"]), 1, 5).alias("comms"))
-    groups = denials.groupBy("fp").agg(
+    # by command first, so that the log is read once and a list is as long as its distinct commands
+    each = denials.groupBy("fp", "comm").agg(
         F.count("*").alias("n"), F.count_if(F.col("permissive")).alias("n_permissive"), F.count_if(~F.col("permissive")).alias("n_enforcing"),
         F.count_if(F.col("permissive").isNull()).alias("n_unknown"), F.min("seq").alias("first_seq"), F.min_by(first, "seq").alias("first"))
-    return groups.join(comms, "fp", "left").select("fp", "n", "n_permissive", "n_enforcing", "n_unknown", "first_seq", F.coalesce("comms", F.array().cast("array<string>")).alias("comms"), "first.*")
+    comms = F.array_sort(F.collect_list(F.when(F.col("comm") != "", F.struct("first_seq", "comm"))))
+    groups = each.groupBy("fp").agg(
+        *[F.sum(c).alias(c) for c in ("n", "n_permissive", "n_enforcing", "n_unknown")], F.min_by("first", "first_seq").alias("first"), F.min("first_seq").alias("first_seq"),
+        F.slice(F.transform(comms, lambda x: x["comm"]), 1, 5).alias("comms"))
+    return groups.select("fp", "n", "n_permissive", "n_enforcing", "n_unknown", "first_seq", "comms", "first.*")

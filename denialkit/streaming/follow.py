@@ -37,11 +37,12 @@ def snapshot(parsed: DataFrame, most: int = 3000) -> DataFrame:
 
 
 def follow_new(parsed: DataFrame, path: str, checkpoint: str, interval: str = "500 milliseconds") -> StreamingQuery:
-    """As ``follow``, but what the first batch finds is a backlog and is dropped."""
+    """As ``follow``, but what the first batch finds is a backlog and is dropped. A batch has a
+    folder of its own below ``path``, so that one which runs again replaces what it wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
         if number > 0:
-            batch.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+            batch.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
