@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without(docs, Stored(spark).put("leaks", leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()))
+    """Documents that hold no benchmark item.
+
+    Rows are told apart by doc_id and text together, so that a row without doc_id, or one whose
+    doc_id another row repeats, goes for its own text only. Null and empty texts stay.
+    """
+    row, name = F.xxhash64("doc_id", "text"), "row_" + uuid.uuid4().hex  # no column of docs has such a name
+    found = leaks(docs.select(row.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return without(docs.withColumn(name, row), Stored(spark).put("leaks", found.select(F.col("doc_id").alias(name)).distinct()), keys=(name,)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
