@@ -16,10 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of our own."""
+    unset and Spark runs in one process (local tests) a temporary folder of our own."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="denialkit-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
@@ -77,25 +79,29 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held_out
 
     Training rows have a 0/1 label and crc32(doc_id) mod ``fold`` other than ``held_out``; of a
     doc_id labelled twice the larger label counts. Of each label the ``most`` documents with the
-    smallest hash of their id are taken, so the choice is stable and needs no shuffle of texts.
+    smallest hash of their id are taken, so the choice is stable; of rows that share such an id
+    the smallest text counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), fold) != held_out))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     part = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     chosen = F.broadcast(part[0].union(part[1]))  # 2 * most rows at most
-    return docs.select("doc_id", "text").join(chosen, "doc_id").limit(2 * most), counts
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return Stored(docs.sparkSession).put("sample", rows), counts
 
 
 #: The most ids that are broadcast to drop or fetch documents; beyond that they shuffle.
 SMALL = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame, *extra: str) -> DataFrame:
-    """The documents whose doc_id (and extra key columns) are not among ``ids``, a stored table."""
-    keys = ["doc_id", *extra]
-    ids = ids.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-    for k in extra:
-        on = on & (F.col(k) == F.col(f"_{k}"))
+def without(docs: DataFrame, ids: DataFrame, *extra: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The documents whose key columns (doc_id and ``extra``, or ``keys``) are not among ``ids``, a
+    stored table; nulls equal each other."""
+    keys, own = (*keys, *extra), uuid.uuid4().hex  # no column of docs has such a name
+    ids = ids.select(*[F.col(k).alias(f"{k}_{own}") for k in keys])
+    on = F.col(keys[0]).eqNullSafe(F.col(f"{keys[0]}_{own}"))
+    for k in keys[1:]:
+        on = on & (F.col(k) == F.col(f"{k}_{own}"))
     return docs.join(F.broadcast(ids) if ids.count() <= SMALL else ids, on, "left_anti")

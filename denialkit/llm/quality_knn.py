@@ -98,8 +98,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     Term frequencies come from all documents; the latent space and the neighbours from at most
     ``sample`` labelled documents of each label outside the held-out fold. Null and empty texts
-    have no terms and score as the neighbours at no distance do; without any labels every score
-    is 0.5. Repeated rows are scored each, other columns are ignored.
+    have no terms and score the share of label 1 among all labelled rows of the fit; without any
+    labels every score is 0.5. Neighbours that tie at the edge count in the order of the sample,
+    which is sorted. An empty table gives an empty result; very long texts are read whole. Repeated rows are scored each, other columns are ignored.
     """
     spark = docs.sparkSession
     df = document_frequencies(docs)
@@ -114,9 +115,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 yield pa.RecordBatch.from_pydict({"at": pa.array([at.astype(np.int16)], pa.list_(pa.int16())), "n": pa.array([row[at]], pa.list_(pa.float32())), "label": [y]}, schema=pa.schema([("at", pa.list_(pa.int16())), ("n", pa.list_(pa.float32())), ("label", pa.int32())]))
 
     rows = chosen.mapInArrow(sparse, "at array<smallint>, n array<float>, label int").toArrow()  # 2 * sample rows at most
-    x, y = np.zeros((rows.num_rows, WORDS + STYLES), np.float32), rows.column("label").to_numpy().astype(np.float32)
-    for i, (at, n) in enumerate(zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True)):
-        x[i, at] = n
+    x, y = np.zeros((rows.num_rows, WORDS + STYLES), np.float32), np.zeros(rows.num_rows, np.float32)
+    given = sorted(zip(rows.column("label").to_pylist(), rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    for i, (label, at, n) in enumerate(given):
+        x[i, at], y[i] = n, label
     if len(y):
         x = weigh(x, idf)
         basis = latent(x, min(DIMENSIONS, *x.shape))
@@ -127,11 +129,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for b in pieces(batches, rows=512):
             if len(y):
                 f, v, near, label, w = model.value
-                s = vote(unit(weigh(terms(b.column("text")), f) @ v), near, label, w, NEIGHBOURS).astype(np.float64)
+                x = terms(b.column("text"))
+                s = vote(unit(weigh(x, f) @ v), near, label, w, NEIGHBOURS).astype(np.float64)
+                s[~x.any(axis=1)] = prior
             else:
                 s = np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=schema.names)
 
+    prior = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
     y = y[:1]  # the tasks need no more than whether there are labels
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])

@@ -101,8 +101,9 @@ def combined(found: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Immutable runs (fp, n, lo, hi), each a table bucketed and sorted by fingerprint.
 
-    ``append`` adds a batch as a new run; runs of one index share their buckets, so that they
-    merge-join without a shuffle. ``compact`` merges runs into one.
+    ``append`` adds a batch as a new run and merge-joins it with the runs before it, bucket by
+    bucket, which tells what the batch repeats; runs of one index share their buckets, so that
+    they join without a shuffle. ``compact`` merges runs into one.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
@@ -115,21 +116,25 @@ class FingerprintIndex:
         df.write.option("compression", "zstd").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(table)
         return table
 
-    def append(self, found: DataFrame) -> None:
-        """A new run of the anchors of a batch; FAN runs are compacted."""
+    def append(self, found: DataFrame, store: Stored | None = None) -> DataFrame:
+        """(fp): what a batch of anchors repeats, of itself or of older batches. The batch becomes
+        a new run; FAN runs are compacted."""
         sums = combined(found).repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        self.runs.append(self._write(sums))
+        new = self._write(sums)
+        inside = self.spark.table(new).where("n > 1").select("fp")
+        hits = (store or Stored(self.spark)).put("repeats", inside.union(self.matches(self.spark.table(new))))
+        self.runs.append(new)
         if len(self.runs) >= FAN:
             self.compact()
+        return hits
 
     def matches(self, found: DataFrame) -> DataFrame:
-        """Fingerprints of a batch that the index already has."""
-        own = found.select("fp").distinct()
-        hits = [own.join(self.spark.table(t).select("fp"), "fp") for t in self.runs]
-        out = hits[0] if hits else own.limit(0)
-        for more in hits[1:]:
-            out = out.union(more)
-        return out.distinct()
+        """Those of some different fingerprints (fp) that the index already has, once for each run."""
+        own = found.select("fp")
+        out = own.limit(0)
+        for t in self.runs:
+            out = out.union(own.join(self.spark.table(t).select("fp"), "fp"))
+        return out
 
     def compact(self) -> None:
         while len(self.runs) > 1:
@@ -141,10 +146,10 @@ class FingerprintIndex:
             for t in (a, b):
                 self.spark.sql(f"DROP TABLE {t}")
 
-    def repeated(self) -> DataFrame:
-        """(fp, times, uniform) of fingerprints seen twice or more; uniform: in equal blocks only."""
+    def repeated(self, hits: DataFrame) -> DataFrame:
+        """(fp, times, uniform) of the fingerprints in ``hits``; uniform: in equal blocks only."""
         self.compact()
-        return self.spark.table(self.runs[0]).where("n > 1").select("fp", F.col("n").alias("times"), (F.col("lo") == F.col("hi")).alias("uniform"))
+        return self.spark.table(self.runs[0]).join(hits, "fp", "left_semi").select("fp", F.col("n").alias("times"), (F.col("lo") == F.col("hi")).alias("uniform"))
 
     def drop(self) -> None:
         for t in self.runs:
@@ -204,16 +209,17 @@ def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, store: Stored, batches: int = BATCHES) -> DataFrame:
     """(d, r, spans): for each document (id, text hash) the word spans of windows that occur twice
-    or more in all texts."""
-    spark, index, found = docs.sparkSession, FingerprintIndex(docs.sparkSession), []
+    or more in all texts.
+
+    The documents come in batches: each is merge-joined with the runs of those before it, appended,
+    and what any batch repeats is looked up in the compacted index."""
+    spark, index, every, hits = docs.sparkSession, FingerprintIndex(docs.sparkSession), None, None
     for i in range(batches):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
-        found.append(store.put(f"batch{i}", occurrences(part)))
-        index.append(found[-1])
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    again = store.put("again", index.repeated())
+        found = store.put(f"batch{i}", occurrences(part))
+        own = index.append(found, store)
+        every, hits = (found, own) if every is None else (every.union(found), hits.union(own))
+    again = store.put("again", index.repeated(hits))
     index.drop()
     # only occurrences that may have a repeated fingerprint go on
     bits, m = bloom_filter(again.select(F.col("fp").alias("h")), again.count(), repeated=False)
@@ -246,14 +252,16 @@ def repeated_spans(docs: DataFrame, store: Stored, batches: int = BATCHES) -> Da
     return out
 
 
-def substring_dedup(docs: DataFrame, store: Stored | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, store: Stored | None = None, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, text (kept words joined by one space).
 
     A word goes if a 35-word window that covers it starts anywhere else, in the same document or
-    another, judged on the input. Null, empty and shorter texts have no windows. Repeated rows
-    repeat each other's windows. Other columns are ignored.
+    another, judged on the input, whatever the number of batches. Null, empty and shorter texts
+    have no windows; very long texts are read whole; an empty table gives an empty result. Repeated
+    rows repeat each other's windows. Equal windows are told by two hashes of 64 bits over all
+    their words. Other columns are ignored.
     """
     store, docs = store or Stored(docs.sparkSession), docs.select("doc_id", "text")
-    spans = repeated_spans(docs, store)
+    spans = repeated_spans(docs, store, batches)
     small = (spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0) <= SMALL
     return cut_spans(docs, F.broadcast(spans) if small else spans)

@@ -1,9 +1,11 @@
 import random
 import re
+import struct
 
 import xxhash
+from pyspark.sql import functions as F
 
-from denialkit.llm.line_dedup import line_dedup
+from denialkit.llm.line_dedup import line_dedup, with_simhash
 
 from .fixtures import awkward, prose, table
 
@@ -21,16 +23,56 @@ def normal(line):
     return re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
 
 
-def simhash_table(spark, norms):
-    from denialkit.llm.line_dedup import with_simhash
+USED = sum(1 << i for i in range(64) if i % 8 < 4)
 
-    return {r.norm: r.sig for r in with_simhash(spark.createDataFrame([(n,) for n in norms], "norm string"), "norm").collect()}
+
+def block(hashes):
+    return sum(1 << i for i in range(64) if USED >> i & 1 and 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def signature(norm):
+    """The long words' hashes by class, and those of the short words, word by word."""
+    classes, short = [[] for _ in range(6)], []
+    for w in norm.split(" "):
+        h = xxhash.xxh64_intdigest(w, seed=42)
+        again = xxhash.xxh64_intdigest(struct.pack("<Q", h), seed=42)
+        (short if len(w) < 4 else classes[(again - (again >> 63 << 64)) % 6]).append(h)
+    return classes, short
+
+
+def keys(norm):
+    classes, short = signature(norm)
+    f, out = sum(map(len, classes)), set()
+    for q, c in enumerate(classes):
+        if f >= 10 and len(c) >= 2:
+            out.add(("one", q, block(c)))
+    for q in range(3):
+        c = classes[2 * q] + classes[2 * q + 1]
+        if 7 < f <= 14 and len(c) >= 2:
+            out.add(("two", q, block(c)))
+        if f <= 9 and c:
+            out.add(("both", q, block(c), block(short)))
+    if f <= 7 and len(short) >= 4:
+        out.add(("short", block(short)))
+    return out
+
+
+def apart(a, b):
+    (x, s), (y, t) = signature(a), signature(b)
+    return sum((block(c) ^ block(d)).bit_count() for c, d in zip([*x, s], [*y, t], strict=True))
+
+
+def linked(a, b):
+    most = max(len(a), len(b))
+    if min(len(a), len(b)) < 9 or 10 * abs(len(a) - len(b)) > most or 10 * distance(a, b) > most:
+        return False
+    return most <= 21 or bool(keys(a) & keys(b)) and apart(a, b) <= 60
 
 
 def brute(spark, texts):
     lines = [(i, p, normal(line)) for i, t in enumerate(texts) for p, line in enumerate((t or "").split("\n"))]
     norms = sorted({n for *_, n in lines if n})
-    sig, comp = simhash_table(spark, norms), {n: n for n in norms}
+    comp = {n: n for n in norms}
 
     def root(n):
         while comp[n] != n:
@@ -39,7 +81,7 @@ def brute(spark, texts):
 
     for i, a in enumerate(norms):
         for b in norms[:i]:
-            if min(len(a), len(b)) >= 20 and ((sig[a] ^ sig[b]) & (2**64 - 1)).bit_count() <= 3 and distance(a, b) <= int(max(len(a), len(b)) * (1 - 0.9)):
+            if linked(a, b):
                 comp[root(a)] = root(b)
     kept, seen = {i: [] for i in range(len(texts))}, set()
     for i, t in enumerate(texts):
@@ -54,10 +96,34 @@ def brute(spark, texts):
 def test_simhash(spark):
     """Against a count of every bit, one word at a time."""
     rng = random.Random(3)
-    norms = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=k)) for k in (1, 2, 3, 7, 8, 63, 64, 126, 127, 128, 129, 1000, 32767, 32768, 40000)] + ["a " * 127 + "b", "a b " * 63 + "a", "a b"]
-    for norm, sig in simhash_table(spark, norms).items():
-        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in norm.split(" ")]
-        assert sig & (2**64 - 1) == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    pool = [f"w{i}" for i in range(300)] + [f"word{i}" for i in range(600)]
+    norms = [" ".join(rng.choices(pool, k=k)) for k in (1, 2, 3, 7, 8, 63, 64, 126, 127, 128, 129, 1000, 32767, 32768, 40000)] + ["long " * 127 + "b", "a b " * 63 + "a", "a b"]
+    rows = with_simhash(spark.createDataFrame([(n, n.count(" ") + 1) for n in norms], "norm string, n_words int").withColumn("id", F.col("norm")), "id").collect()
+    assert len(rows) == len(norms)
+    for r in rows:
+        classes, short = signature(r.id)
+        assert [r[f"b{c}"] & (2**64 - 1) for c in range(7)] == [block(c) for c in (*classes, short)]
+        assert [r[f"j{q}"] & (2**64 - 1) for q in range(3)] == [block(classes[2 * q] + classes[2 * q + 1]) for q in range(3)]
+        assert [r[f"k{c}"] for c in range(7)] == [len(c) for c in (*classes, short)]
+
+
+def test_recall_by_edits_alone(spark):
+    """Of lines that differ by a tenth of their characters at most, whatever the edits are, nine
+    tenths are found."""
+    rng = random.Random(15)
+    lines, pairs = prose(60, seed=16, least=8, most=70), 0
+    texts = []
+    for line in lines:
+        w = line.split()
+        for _ in range(rng.randint(1, 3)):
+            at, kind = rng.randrange(len(w)), rng.randrange(4)
+            w[at : at + 1] = [[w[at] + "x"], [w[at], "and"], [rng.choice(lines).split()[0]], [w[at][::-1]]][kind]
+        other = " ".join(w)
+        if 10 * distance(normal(line), normal(other)) <= max(len(line), len(other)):
+            texts.append(f"{line}\n{other}")
+            pairs += normal(line) != normal(other)
+    found = sum(r.n_removed for r in line_dedup(table(spark, texts)).collect())
+    assert pairs > 30 and found >= 0.9 * pairs
 
 
 def test_lines(spark):

@@ -54,3 +54,12 @@ def test_index_grows_by_batches(spark):
     assert len(index.runs) < 4
     assert index.repeated().where("times = 2 and uniform").count() == occurrences(table(spark, texts[:3])).select("fp").distinct().count()
     index.drop()
+
+
+def test_batches_do_not_matter(spark):
+    """Five batches, each joined with the runs before it, give what one batch gives."""
+    pool = prose(6, seed=23, least=60, most=90)
+    around = prose(40, seed=24, least=20, most=60)
+    texts = [f"{a} {pool[i % 6]} {a}" if i % 3 else a for i, a in enumerate(around)] + awkward()
+    one, five = ({tuple(r) for r in substring_dedup(table(spark, texts), batches=k).collect()} for k in (1, 5))
+    assert one == five and sum(r[2] > 0 for r in one) > 20
