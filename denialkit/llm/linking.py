@@ -38,8 +38,9 @@ def components(store: Stored, edges: DataFrame, level: int = 0) -> DataFrame:
     return store.put(f"comp{level}", at.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
 
 
-#: Members of a bucket for each part into which its comparisons are split.
-PART = 512
+#: Members of a bucket for each part into which its comparisons are split, and how often members
+#: outside a bucket's largest group first meet one of that group.
+PART, TURNS = 512, 4
 
 
 def bucket_links(
@@ -71,9 +72,29 @@ def bucket_links(
         edges, stars = edges.union(second), stars.union(others)
         comp = components(store, edges)
 
-    labelled = store.put("labelled", shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mains = labelled.groupBy("key", "comp").count().groupBy("key").agg(
-        F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n"), F.ceil(F.sum("count") / PART).alias("parts")).where("n > 1").drop("n")
+    def by_group() -> tuple[DataFrame, DataFrame]:
+        """Members with their groups, and the largest group of each bucket that holds several."""
+        labelled = store.put("labelled", shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")))
+        mains = labelled.groupBy("key", "comp").count().groupBy("key").agg(
+            F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n"), F.ceil(F.sum("count") / PART).alias("parts")).where("n > 1").drop("n")
+        return labelled, mains
+
+    # members outside the largest group meet a few of its members, one each time, which connects
+    # most of them; only what is left then is compared with all
+    labelled, mains = by_group()
+    for turn in range(TURNS):
+        mixed = labelled.join(mains.select("key", "main"), "key")
+        order = F.xxhash64("node", F.lit(turn))
+        centers = mixed.where("comp = main").groupBy("key").agg(F.min(F.struct(order.alias("h"), "node")).alias("c"))
+        met = mixed.where("comp <> main").select("key", F.col("node").alias("r")).join(centers, "key").groupBy("r").agg(F.min("c").alias("c"))
+        pairs = met.select(F.least("r", "c.node").alias("a"), F.greatest("r", "c.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        pairs = store.put(f"turn{turn}", close(pairs))
+        more = store.put(f"met{turn}", verify(pairs).select("a", "b").distinct())
+        edges, stars = edges.union(more), stars.union(pairs)
+        if not more.limit(1).count():
+            break
+        comp = components(store, edges)
+        labelled, mains = by_group()
     mixed = store.put("mixed", labelled.join(mains, "key").join(sigs, "node"))
     if refine is not None:
         mixed = mixed.join(refine(store.put("nodes", mixed.select("node").distinct())), "node")

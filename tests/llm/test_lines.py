@@ -3,7 +3,6 @@ import re
 import struct
 
 import xxhash
-from pyspark.sql import functions as F
 
 from denialkit.llm.line_dedup import line_dedup, with_simhash
 
@@ -98,10 +97,10 @@ def test_simhash(spark):
     rng = random.Random(3)
     pool = [f"w{i}" for i in range(300)] + [f"word{i}" for i in range(600)]
     norms = [" ".join(rng.choices(pool, k=k)) for k in (1, 2, 3, 7, 8, 63, 64, 126, 127, 128, 129, 1000, 32767, 32768, 40000)] + ["long " * 127 + "b", "a b " * 63 + "a", "a b"]
-    rows = with_simhash(spark.createDataFrame([(n, n.count(" ") + 1) for n in norms], "norm string, n_words int").withColumn("id", F.col("norm")), "id").collect()
+    rows = with_simhash(spark.createDataFrame([(i, n, n.count(" ") + 1) for i, n in enumerate(norms)], "id int, norm string, n_words int"), "id").collect()
     assert len(rows) == len(norms)
     for r in rows:
-        classes, short = signature(r.id)
+        classes, short = signature(norms[r.id])
         assert [r[f"b{c}"] & (2**64 - 1) for c in range(7)] == [block(c) for c in (*classes, short)]
         assert [r[f"j{q}"] & (2**64 - 1) for q in range(3)] == [block(classes[2 * q] + classes[2 * q + 1]) for q in range(3)]
         assert [r[f"k{c}"] for c in range(7)] == [len(c) for c in (*classes, short)]
