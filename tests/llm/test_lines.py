@@ -1,6 +1,7 @@
 import random
 import re
 import struct
+from functools import lru_cache
 
 import xxhash
 
@@ -29,6 +30,7 @@ def block(hashes):
     return sum(1 << i for i in range(64) if USED >> i & 1 and 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
+@lru_cache(None)
 def signature(norm):
     """The long words' hashes by class, and those of the short words, word by word."""
     classes, short = [[] for _ in range(6)], []
@@ -39,6 +41,7 @@ def signature(norm):
     return classes, short
 
 
+@lru_cache(None)
 def keys(norm):
     classes, short = signature(norm)
     f, out = sum(map(len, classes)), set()
@@ -63,9 +66,11 @@ def apart(a, b):
 
 def linked(a, b):
     most = max(len(a), len(b))
-    if min(len(a), len(b)) < 9 or 10 * abs(len(a) - len(b)) > most or 10 * distance(a, b) > most:
+    if min(len(a), len(b)) < 9 or 10 * abs(len(a) - len(b)) > most:
         return False
-    return most <= 21 or bool(keys(a) & keys(b)) and apart(a, b) <= 60
+    if most > 21 and not (keys(a) & keys(b) and apart(a, b) <= 60):
+        return False
+    return 10 * distance(a, b) <= most
 
 
 def brute(spark, texts):
