@@ -48,14 +48,14 @@ def test_session_runs_while_the_switch_is_on(spark, tmp_path):
     folder.mkdir()
     (folder / "a.txt").write_text(LINE % "open" + LINE % "open" + LINE % "read")
     parsed = follow.once(lines_of(spark, folder).drop("seq"))
-    held = {}
+    held, end = {}, time.time() + 60
 
     def start():
         held["query"] = follow.follow(parsed, out, f"file://{tmp_path}/check")
         return held["query"]
 
     def on():
-        return not any(p["numInputRows"] for p in held["query"].recentProgress)
+        return time.time() < end and not any(p["numInputRows"] for p in held["query"].recentProgress)
 
     query = follow.session(start, on)
     assert not query.isActive
