@@ -59,9 +59,14 @@ def keys(norm):
     return out
 
 
+@lru_cache(None)
+def blocks(norm):
+    classes, short = signature(norm)
+    return [block(c) for c in (*classes, short)]
+
+
 def apart(a, b):
-    (x, s), (y, t) = signature(a), signature(b)
-    return sum((block(c) ^ block(d)).bit_count() for c, d in zip([*x, s], [*y, t], strict=True))
+    return sum((x ^ y).bit_count() for x, y in zip(blocks(a), blocks(b), strict=True))
 
 
 def linked(a, b):
