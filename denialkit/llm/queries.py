@@ -14,6 +14,10 @@ from .language_gru import language_gru
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality_knn import quality_knn
+from .ranked_search import ORACLE as RANKED_SQL
+from .ranked_search import ranked_search
+from .spelling_variants import ORACLE as SPELLING_SQL
+from .spelling_variants import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_count import token_count
 from .toxicity_gbt import toxicity_gbt
@@ -66,6 +70,14 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count, op12_spelling_variants, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,4 +95,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
             FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+        "op12_spelling_variants": SPELLING_SQL,
+        "op13_ranked_search": RANKED_SQL,
     }

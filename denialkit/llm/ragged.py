@@ -116,8 +116,12 @@ class Words:
 def words(column: pa.Array, outside: np.ndarray = _SPACE) -> Words:
     """The words of a column; ``outside`` marks the byte values that separate words."""
     data, offsets = raw(column)
+    return runs(data, offsets, ~outside[data])
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """The maximal runs of bytes marked ``inside``, which never reach over a row's end."""
     n, rows = len(data), len(offsets) - 1
-    inside = ~outside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.ones(n, bool)
@@ -130,6 +134,12 @@ def words(column: pa.Array, outside: np.ndarray = _SPACE) -> Words:
     return Words(data, start, end, doc, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=rows))]).astype(np.int64))
 
 
+def strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """An Arrow string column of data[start:start+size]."""
+    flat, at = take(data, start, size, np.arange(len(start)))
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+
+
 def take(flat: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates flat[start[r]:start[r]+size[r]] of the rows; also gives where each begins."""
     n = size[rows]
