@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .exact_dedup import exact_dedup
 from .language_gru import language_gru
 from .line_dedup import line_dedup
+from .lm_score import lm_score
 from .near_dedup import near_dedup
 from .quality_knn import quality_knn
 from .ranked_search import ORACLE as RANKED_SQL
@@ -70,6 +71,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -85,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count, op12_spelling_variants, op13_ranked_search, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_knn, op3_line_dedup, op4_language_gru, op5_toxicity_gbt, op6_exact_dedup, op7_bpe_codec, op8_near_dedup, op9_decontaminate, op10_token_count, op11_lm_score, op12_spelling_variants, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
