@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK, MARKER, PAIR, context_type, denied_permissions, fingerprint, strip, unquote
+from .splits import read_lines, records
 
 #: Stands before each marker while a text is cut into lines; a Unicode noncharacter.
 FLAG = "﷐"
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, pos, line) of log files, by Spark's own splits."""
+    return read_lines(spark, path)
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of log files, each whole, so that events can span lines."""
+    """(file, text) of small log files, each whole; ``read_log_lines`` is for any size."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
@@ -28,8 +34,20 @@ def assemble(logs: DataFrame) -> DataFrame:
     numbered = lines.withColumn("event", F.sum(F.contains("line", F.lit(FLAG)).cast("int")).over(order)).where("event > 0")
     blocks = numbered.groupBy("file", "event").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     text = F.replace(F.array_join(F.col("lines.line"), "\n"), F.lit(FLAG), F.lit(""))
+    return blocks.select("file", "event", _kept(text).alias("block")).where("block <> ''")
+
+
+def assemble_lines(lines: DataFrame) -> DataFrame:
+    """The same as ``assemble`` for lines (file, block, pos, line) of files that Spark may split
+    anywhere: (file, event, block), where events are ordered by (split, line) instead of numbered."""
+    found = records(lines)
+    return found.select("file", F.struct(F.col("block").alias("split"), "line").alias("event"), _kept(F.replace("text", F.lit("\\\n"), F.lit(" "))).alias("block")).where("block <> ''")
+
+
+def _kept(text: Column) -> Column:
+    """The lines of an event but blank ones and comments without a marker."""
     kept = F.filter(F.split(text, LINE_BREAK), lambda x: (strip(x) != "") & (~strip(x).startswith("#") | x.rlike(MARKER)))
-    return blocks.select("file", "event", F.array_join(kept, "\n").alias("block")).where("block <> ''")
+    return F.array_join(kept, "\n")
 
 
 def tail_from_marker(text: Column) -> Column:
