@@ -181,7 +181,7 @@ def fit(docs: DataFrame, sample: int) -> BiGru | None:
             data = s.data.tobytes()
             yield pa.RecordBatch.from_pydict({"word": pa.array([data[s.start[i] : s.end[i]] for i in first], pa.binary()), "y": pa.array(y[s.doc[first]], pa.int32()), "n": pa.array(n, pa.int64())})
 
-    rows = texts.mapInArrow(distinct_words, "word binary, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TRAINING_WORDS).toArrow()
+    rows = texts.mapInArrow(distinct_words, "word binary, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.xxhash64("word"), "word").limit(TRAINING_WORDS).toArrow()
     if not rows.num_rows:
         return BiGru(labels)
     found, y = rows.column("word").to_pylist(), rows.column("y").to_numpy()
@@ -201,7 +201,10 @@ def language_gru(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     words are computed once); a document's score is the geometric mean of its bytes' probabilities,
     normalised over the languages. ``und`` with score 0 if the text is null or has no letter, or
     if no language was learned. Null languages are not learned from. Repeated rows are predicted
-    each, other columns are ignored.
+    each, other columns are ignored; an empty table gives no rows. A text of any length is one row,
+    scored whole. Of equally likely languages the first in order is told. The fit is bounded by
+    ``sample`` documents of each language and by the TRAINING_WORDS most frequent of their words (ties
+    by hash).
     """
     spark = docs.sparkSession
     model = fit(docs, sample)
@@ -215,7 +218,7 @@ def language_gru(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for b in pieces(batches):
             s, n = sequences(words(b.column("text"))), b.num_rows
             row, totals = memory.totals(s)
-            total = np.stack([np.bincount(s.doc, weights=totals[row, i], minlength=n) for i in range(totals.shape[1])], axis=1)
+            total = np.stack([np.bincount(s.doc, weights=totals[row, i], minlength=n).astype(float) for i in range(totals.shape[1])], axis=1)  # counts of nothing are whole numbers
             total /= np.maximum(np.bincount(s.doc, weights=s.end - s.start, minlength=n), 1)[:, None]
             p = np.exp(total - total.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
