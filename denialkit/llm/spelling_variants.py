@@ -23,8 +23,8 @@ from .ragged import _BASE, _BASE_INV, _CODE, U64, mix, pieces, powers, raw, runs
 #: FEWEST occurrences at least; a form is TIMES as frequent as the word.
 ODD, LEAST, FEWEST, TIMES = 97, 5, 3, 2
 #: Bytes of text a task reads at once, candidates it holds at once, filter slots per word (times 8),
-#: and bytes of a run whose checksum is computed together with the other runs'.
-PIECE, CANDIDATES, SLOTS, TOGETHER = 1 << 21, 1_500_000, 4, 64
+#: bytes of a run whose checksum is computed together with the other runs', and words a task makes strings of.
+PIECE, CANDIDATES, SLOTS, TOGETHER, PER_TASK = 1 << 21, 1_500_000, 4, 64, 20_000
 
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
@@ -162,7 +162,7 @@ class Neighbourhood:
             yield int(row), t[: a + p] + self.letters[letter : letter + 1].tobytes() + t[a + p :]
 
 
-def neighbours(words: DataFrame, alphabet: str, bits: bytes, slots: int) -> DataFrame:
+def neighbours(words: DataFrame, size: int, alphabet: str, bits: bytes, slots: int) -> DataFrame:
     """(word, near): of each word's neighbourhood the strings that the filter holds, each once."""
     spark = words.sparkSession
     shared = spark.sparkContext.broadcast(bits)  # 128 MB at most
@@ -186,7 +186,8 @@ def neighbours(words: DataFrame, alphabet: str, bits: bytes, slots: int) -> Data
                 yield _pairs(found)
         tidy()
 
-    return words.select("word").mapInArrow(run, "word string, near string")
+    parts = 32 + size // PER_TASK  # a word gives about a thousand strings: small files are much work
+    return words.select("word").repartition(parts, "word").mapInArrow(run, "word string, near string")
 
 
 def _pairs(found: list[tuple[str, str]]) -> pa.RecordBatch:
@@ -224,9 +225,10 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     words = store.put("words", words)
     letters = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()  # 90 at most
     alphabet = "".join(sorted(r.c for r in letters))
-    bits, slots = bloom_filter(word_hashes(words), SLOTS * words.count(), False)
+    size = words.count()
+    bits, slots = bloom_filter(word_hashes(words), SLOTS * size, False)
     near = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = neighbours(words, alphabet, bits, slots).join(near, "near")
+    pairs = neighbours(words, size, alphabet, bits, slots).join(near, "near")
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("best"))
     found = words.join(best, "word", "left").withColumn("formed", -F.col("best.m") >= TIMES * F.col("n"))
     found = found.select("word", F.when(F.col("formed"), F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(F.col("formed"), -F.col("best.m")).alias("form_n"))

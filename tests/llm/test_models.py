@@ -56,3 +56,14 @@ def test_awkward_languages(spark):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows.values())
     assert all(rows[i].lang_pred == "und" for i in (0, 1, 2, 13)) and rows[3].lang_pred in ("en", "de")
     assert language_gru(docs.limit(0)).count() == 0
+
+
+def test_slices_without_words(spark):
+    """A partition of empty texts, and an empty text between two that are slices of their own."""
+    long = "der die das und " * 60_000
+    docs = table(spark, [long, "", long, None, " "]).coalesce(1)
+    rows = {r.doc_id: r.lang_pred for r in language_gru(docs).collect()}
+    assert [rows[i] for i in (1, 3, 4)] == ["und"] * 3 and rows[0] == rows[2] != "und"
+    blank = table(spark, ["", None, " ", "one"]).coalesce(1)
+    assert {r.lang_pred for r in language_gru(blank.union(blank.where("text = ''").coalesce(1))).collect()} >= {"und"}
+    assert language_gru(blank.where("coalesce(trim(text), '') = ''")).where("lang_pred <> 'und'").count() == 0
