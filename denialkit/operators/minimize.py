@@ -9,6 +9,7 @@ from ..plans.access import answers, rule_hits, with_rules
 from ..plans.closure import member_counts
 from ..sources.policy import Policy, parse_rules
 
+
 def parse_patches(lines: DataFrame) -> DataFrame:
     """Adds kind, src, tgt, cls, perms to (patch, ...); kind is null for lines of another shape."""
     w = F.split(F.trim("patch"), " ")
@@ -83,11 +84,14 @@ def fold(rules: DataFrame, policy: Policy) -> DataFrame:
 
 def closed_loop(cases: DataFrame, rules: DataFrame, policy: Policy) -> DataFrame:
     """Per case (fp, src, tgt, cls, perms, ioctl_cmd): solved before and after the rules apply.
-    Cases that only ask for ioctl with a command count by the command, others by permissions."""
+    Cases that only ask for ioctl with a command count by the command, others by permissions.
+    residual_missing are permissions that the rules still do not grant (a patch for a command says
+    nothing of the others), residual_command a command that they still do not allow."""
     closure, asked = policy.closure(), cases.withColumn("req", F.col("fp")).select("req", "src", "tgt", "cls", "perms", "ioctl_cmd")
     added = parse_rules(rules.select(F.col("text").alias("statement")))
     only = (F.size("perms") == 1) & F.array_contains("perms", "ioctl") & F.col("ioctl_allowed").isNotNull()
     ok = F.when(only, F.col("ioctl_allowed")).otherwise(F.col("allowed"))
     before = answers(asked, policy, closure).select("req", ok.alias("before"))
-    after = answers(asked, with_rules(policy, added), closure).select("req", ok.alias("after"))
+    rest = F.array_sort(F.array_except("perms", "granted")).alias("residual_missing")
+    after = answers(asked, with_rules(policy, added), closure).select("req", ok.alias("after"), rest, F.when(~F.col("ioctl_allowed"), F.col("ioctl_cmd")).alias("residual_command"))
     return before.join(after, "req").withColumnRenamed("req", "fp")

@@ -15,8 +15,10 @@ from .plans.access import answers, resolve_targets, rule_hits
 from .plans.closure import ancestors, member_counts, settle
 from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines, quick
 from .sources import sehap
-from .sources.denials import clusters, suppressed, with_fingerprint
-from .sources.policy import class_histogram, corpus_statistics, file_counts, summary
+from .sources.denials import assemble_lines, clusters, parse_events, read_log_lines, suppressed, with_fingerprint
+from .sources.policy import class_histogram, corpus_statistics, file_counts, parse_policy, summary
+from .sources.scratch import scratch
+from .sources.splits import read_lines, text_lines
 from .streaming import follow as stream
 
 Q: dict = {}
@@ -218,12 +220,15 @@ def o63_blast_radius(spark, sf_dir):
     return out.select("src", "tgt", F.col("pairs").cast("bigint").alias("pairs"), F.col("grants").cast("bigint").alias("grants"), "level")
 
 
-@query(ANSWERED + "SELECT CASE WHEN perms = ['ioctl'] AND ioctl_allowed IS NOT NULL THEN ioctl_allowed ELSE allowed END AS before, true AS after, count(*) AS cases FROM fin WHERE category = 'auto_repairable' GROUP BY 1")
+@query(MINI + """SELECT CASE WHEN perms = ['ioctl'] AND ioctl_allowed IS NOT NULL THEN ioctl_allowed ELSE allowed END AS before, perms <> ['ioctl'] OR ioctl_reason IS DISTINCT FROM 'neverallowxperm' AS after,
+    CASE WHEN classification = 'XPERM_GAP' THEN coalesce((SELECT string_agg(m, ' ' ORDER BY m) FROM unnest(string_split(missing, ' ')) t(m) WHERE m <> '' AND NOT EXISTS (SELECT 1 FROM pp WHERE pp.classification = 'MISSING_RULE' AND pp.src = fin.src AND pp.tgt = fin.tgt AND pp.cls = fin.cls AND pp.p = m)), '') ELSE '' END || CASE WHEN ioctl_reason = 'neverallowxperm' THEN ' ' || ioctl_cmd ELSE '' END AS residual, count(*) AS cases FROM fin WHERE category = 'auto_repairable' GROUP BY 1, 2, 3""")
 def o66_closed_loop(spark, sf_dir):
+    """A command that a neverallowxperm forbids stays forbidden whatever a patch allows."""
     policy = sample.sample_policy(spark)
     d = decided(spark, sf_dir, policy)
     loop = mini.closed_loop(d.where(F.col("category") == AUTO), mini.collapse(patch_lines(d)), policy)
-    return loop.groupBy("before", "after").agg(F.count("*").alias("cases"))
+    left = F.concat(F.array_join("residual_missing", " "), F.coalesce(F.concat(F.lit(" "), "residual_command"), F.lit("")))
+    return loop.groupBy("before", "after", left.alias("residual")).agg(F.count("*").alias("cases"))
 
 
 @query("SELECT * FROM (VALUES ('allow', 6), ('neverallow', 2), ('allowxperm', 1), ('neverallowxperm', 1), ('rules', 10), ('types', 11), ('attributes', 2), ('skipped_statements', 1)) t(item, n)")
@@ -246,12 +251,32 @@ def o01_assembly(spark, sf_dir):
     return events.groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls", F.array_join("perms", " ").alias("perms")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0::BIGINT AS events")
+@query(r"""SELECT sum(len(text) - len(replace(text, chr(10), '')) + 1)::BIGINT AS lines, sum(len(regexp_extract_all(text, '(?i)\\bavc\\s*:\\s*denied')))::BIGINT AS events FROM documents""")
 def o01_no_denials_in_documents(spark, sf_dir):
-    from .sources.denials import assemble
-
+    """Every line of every document goes through the assembly."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), "text")
-    return assemble(docs.where(F.col("text").rlike(r"(?i)avc\s*:"))).agg(F.count("*").alias("events"))
+    lines = text_lines(docs)
+    return lines.agg(F.count("*").alias("lines")).crossJoin(assemble_lines(lines).agg(F.count("*").alias("events")))  # one row each
+
+
+@query(f"SELECT coalesce(src, '~') AS src, tgt, cls, perms, count(*) AS n FROM ({sample.SYN_A}) GROUP BY 1, 2, 3, 4")
+def o01_log_files(spark, sf_dir):
+    """SYN-A as log files with comments and continued lines, read by whatever splits Spark makes."""
+    path = scratch(spark, "logs")
+    sample.syn_a_lines(spark, sf_dir).select(F.concat(F.lit("# note\n"), "line", F.lit(" \\\n tail=1"))).write.text(path)
+    events = parse_events(assemble_lines(read_log_lines(spark, path)))
+    return events.groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls", F.array_join("perms", " ").alias("perms")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'supp_' || l_suppkey AS src, CASE WHEN l_linenumber % 3 = 2 THEN 'write' WHEN l_linenumber % 3 = 1 THEN 'read write' ELSE 'read' END AS perms, count(DISTINCT l_partkey) AS targets, count(*) AS rules FROM lineitem GROUP BY 1, 2""")
+def o04_rule_files(spark, sf_dir):
+    """A rule for each lineitem row, wrapped over lines and in wrappers, read by whatever splits Spark makes."""
+    li, path, k = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), scratch(spark, "rules"), F.col("l_linenumber") % 3
+    head = F.concat(F.lit("allow supp_"), "l_suppkey", F.lit(" part_"), "l_partkey", F.lit(":file"))
+    wrapped = F.concat(F.lit("debug_only(`\n"), head, F.lit("\n  { read };  # note\n')"))
+    li.select(F.when(k == 0, wrapped).when(k == 1, F.concat(head, F.lit(" { read\n write };\nmacro(x)"))).otherwise(F.concat(head, F.lit(" write;")))).write.text(path)
+    rules = parse_policy(read_lines(spark, path)).rules
+    return rules.groupBy(F.get("src", F.lit(0)).alias("src"), words("perms").alias("perms")).agg(F.count_distinct("tgt").alias("targets"), F.count("*").alias("rules"))
 
 
 @query("SELECT user_id % 7 AS k, sum(event_id % 1000)::BIGINT AS lost FROM events GROUP BY 1")

@@ -32,4 +32,12 @@ def test_rules_from_several_partitions_are_appended(spark):
     assert len(set(ids)) == 30 and max(ids) > 2**31
     d = converge(sample.syn_a(spark, SMALL), policy).where(F.col("category") == AUTO)
     loop = closed_loop(d, collapse(patch_lines(d)).repartition(5), policy)
-    assert loop.where("not after").count() == 0
+    assert loop.where("not after").count() == 0  # the smallest tables hold no forbidden command
+
+
+def test_a_forbidden_command_stays_forbidden(spark):
+    """Its patch is called a success, as it must be, but the loop tells what is left."""
+    policy = sample.sample_policy(spark)
+    d = converge(sample.syn_a(spark, "/root/testdata/sf0.01"), policy).where(F.col("category") == AUTO)
+    open_ = closed_loop(d, collapse(patch_lines(d)), policy).where("not after").join(d, "fp").collect()
+    assert [(r.src, r.tgt, r.cls, r.perms, r.ioctl_cmd, r.residual_missing, r.residual_command) for r in open_] == [("debug_hap", "dev_camera_file", "chr_file", ["ioctl"], "0x6412", [], "0x6412")]

@@ -41,4 +41,4 @@ def test_query_equals_its_sql(spark, sql, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(engine.queries()) - set(engine.oracle_sql()) == {"o76_explain"}
+    assert set(engine.queries()) - set(engine.oracle_sql()) == set()
