@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,9 @@ from .sources.policy import class_histogram, corpus_statistics, file_counts, par
 from .sources.scratch import scratch
 from .sources.splits import read_lines, text_lines
 from .streaming import follow as stream
+from .streaming.accounting import Accounting
+from .streaming.sessions import newest, session_report, sessions
+from .streaming.state import once_counted
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -427,17 +428,92 @@ def o78_app_clusters(spark, sf_dir):
     return crosslayer.app_clusters(decided(spark, sf_dir), sehap.entries(sehap.parse_sehap(sehap_lines(spark))))
 
 
+def _event_stream(spark, sf_dir):
+    """SYN-A as a stream of parsed log lines, with the events' own order."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parq*t")
+    lines = sample.as_lines(spark.sql(sample.SYN_A.replace("FROM events", "FROM {events}"), events=events).withColumn("perms", F.split("perms", " ")))
+    return stream.denials(lines)
+
+
 @query(f"SELECT coalesce(src, '~') AS src, tgt, cls, count(DISTINCT array_to_string(list_sort(string_split(perms, ' ')), ' ') || coalesce(ioctl_cmd, '~')) AS accesses FROM ({sample.SYN_A}) GROUP BY 1, 2, 3")
 def o97_follow_once(spark, sf_dir):
     """The events table as a stream of log lines, each access once, through a JSON lines sink."""
-    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parq*t")
-    lines = sample.as_lines(spark.sql(sample.SYN_A.replace("FROM events", "FROM {events}"), events=events).withColumn("perms", F.split("perms", " ")))
-    where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file:///tmp/denialkit'}/follow-{uuid.uuid4().hex}"
-    stream.follow(stream.once(stream.denials(lines)), f"{where}/out", f"{where}/state", interval=None).awaitTermination()
+    where = scratch(spark, "follow")
+    stream.follow(stream.once(_event_stream(spark, sf_dir)), f"{where}/out", f"{where}/state", interval=None).awaitTermination()
     out = spark.read.text(f"{where}/out").select(F.from_json("value", "src string, tgt string, cls string, fp string").alias("r")).select("r.*")
     return out.groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls").agg(F.count("*").alias("accesses"))
 
 
+@query(f"""WITH a AS (SELECT coalesce(src, '~') AS src, tgt, cls, list_sort(string_split(perms, ' ')) AS perms, ioctl_cmd, count(*) AS n, min(seq) AS first_seq FROM ({sample.SYN_A}) GROUP BY ALL)
+    SELECT src, tgt, cls, count(*) AS accesses, sum(n - 1)::BIGINT AS suppressed, sum(first_seq)::BIGINT AS first_seqs FROM a GROUP BY 1, 2, 3""")
+def o97_suppressed_repeats(spark, sf_dir):
+    """The same stream through counting state: each access's first record, and how many repeats were held back."""
+    where = scratch(spark, "repeats")
+    told = once_counted(_event_stream(spark, sf_dir))
+    told.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("fp string, kind string, record string, n bigint").parquet(f"{where}/out")
+    first = out.where("kind = 'first'").select("fp", F.from_json("record", "src string, tgt string, cls string, seq bigint").alias("r")).select("fp", "r.*")
+    held = out.where("kind = 'repeats'").groupBy("fp").agg(F.sum("n").alias("n"))
+    key = F.coalesce("src", F.lit("~")).alias("src")
+    return first.join(held, "fp", "left").groupBy(key, "tgt", "cls").agg(F.count("*").alias("accesses"), F.coalesce(F.sum("n"), F.lit(0)).alias("suppressed"), F.sum("seq").alias("first_seqs"))
+
+
+@query(f"""SELECT coalesce(src, '~') AS src, tgt, cls, count(*) AS n FROM ({sample.SYN_A}) WHERE seq % 2 = 1 GROUP BY 1, 2, 3""")
+def o98_from_now(spark, sf_dir):
+    """Half of the events lie in the folder when the follower starts, half come later; the first half is dropped."""
+    where, lines = scratch(spark, "now"), sample.syn_a_lines(spark, sf_dir)
+    lines.where("seq % 2 = 0").select("line").write.text(f"{where}/log/old")
+    follow = lambda: stream.follow_new(spark, f"{where}/log", f"{where}/out", f"{where}/state", interval=None)
+    follow().awaitTermination()
+    lines.where("seq % 2 = 1").select("line").write.text(f"{where}/log/new")
+    follow().awaitTermination()
+    out = spark.read.schema("value string").text(f"{where}/out").select(F.from_json("value", "src string, tgt string, cls string").alias("r")).select("r.*")
+    return out.groupBy(F.coalesce("src", F.lit("~")).alias("src"), "tgt", "cls").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT user_id AS device, event_id AS seq, CASE event_type WHEN 'click' THEN true WHEN 'error' THEN false END AS sw, event_type || ' ' || (event_id % 7) AS fp FROM events),
+    b AS (SELECT *, coalesce(last_value(sw IGNORE NULLS) OVER (PARTITION BY device ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was FROM r),
+    s AS (SELECT *, sum(CASE WHEN sw AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY seq) AS session FROM b)
+    SELECT device, session::BIGINT AS session, count(*) AS records, count(DISTINCT fp) AS accesses, count(*) - count(DISTINCT fp) AS repeats FROM s WHERE sw IS NULL AND was GROUP BY 1, 2""")
+def o99_sessions(spark, sf_dir):
+    """A device for each user; clicks switch its guard on, errors off, the other events are its records."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    what = F.when(F.col("event_type") == "click", "on").when(F.col("event_type") == "error", "off").otherwise("record")
+    rows = e.select(F.col("user_id").alias("device"), F.col("event_id").alias("seq"), what.alias("what"), F.concat("event_type", F.lit(" "), (F.col("event_id") % 7).cast("string")).alias("fp"))
+    return session_report(sessions(rows, segment=256))
+
+
+@query("""WITH r AS (SELECT user_id AS device, event_id AS seq, CASE event_type WHEN 'click' THEN true WHEN 'error' THEN false END AS sw FROM events),
+    b AS (SELECT *, coalesce(last_value(sw IGNORE NULLS) OVER (PARTITION BY device ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS was FROM r),
+    s AS (SELECT *, sum(CASE WHEN sw AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY seq) AS session FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY device, session ORDER BY seq DESC) AS k FROM s WHERE sw IS NULL AND was)
+    SELECT device, session::BIGINT AS session, seq FROM k WHERE k <= 3""")
+def o99_snapshots(spark, sf_dir):
+    """The newest three records of each session."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    what = F.when(F.col("event_type") == "click", "on").when(F.col("event_type") == "error", "off").otherwise("record")
+    return newest(sessions(e.select(F.col("user_id").alias("device"), F.col("event_id").alias("seq"), what.alias("what"))), 3).select("device", "session", "seq")
+
+
+@query(f"SELECT count(*) AS lines, count(*) FILTER (seq % 3 = 0) AS backlog, 0::BIGINT AS overruns, 1 AS ends, 0 AS errors FROM ({sample.SYN_A})")
+def o100_accounting(spark, sf_dir):
+    """A third of the events is a backlog; the listener adds up what the follower's batches tell."""
+    where, lines, account = scratch(spark, "account"), sample.syn_a_lines(spark, sf_dir), Accounting(spark)
+    lines.where("seq % 3 = 0").select("line").write.text(f"{where}/log/old")
+    try:
+        query = stream.follow_new(spark, f"{where}/log", f"{where}/out", f"{where}/state", interval="100 milliseconds")
+        try:
+            query.processAllAvailable()
+            lines.where("seq % 3 > 0").select("line").write.text(f"{where}/log/new")
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # reports come in their own time
+        return account.frame().agg(F.sum("lines").alias("lines"), F.sum("backlog").alias("backlog"), F.sum("overruns").alias("overruns"), F.count_if("ended").cast("int").alias("ends"), F.count("error").cast("int").alias("errors"))
+    finally:
+        account.close()
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import MARKER
 from ..sources.denials import parse_events, with_fingerprint
+from .accounting import observed
+from .tail import tail
 
 
 def denials(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -36,23 +38,13 @@ def snapshot(parsed: DataFrame, most: int = 3000) -> DataFrame:
     return parsed.orderBy(F.desc("seq")).limit(most)
 
 
-def follow_new(parsed: DataFrame, path: str, checkpoint: str, interval: str = "500 milliseconds") -> StreamingQuery:
-    """As ``follow``, but what the first batch finds is a backlog and is dropped. A batch has a
-    folder of its own below ``path``, so that one which runs again replaces what it wrote."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        if number > 0:
-            batch.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
-
-    return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
-
-
-def accounting(query: StreamingQuery) -> dict[str, int]:
-    """Batches, rows read, and whether the source fell behind (batches that took longer than their
-    trigger) of a running or ended query."""
-    told = query.recentProgress
-    late = [p for p in told if p["durationMs"].get("triggerExecution", 0) > 500]
-    return {"batches": len(told), "rows": sum(p["numInputRows"] for p in told), "late": len(late)}
+def follow_new(spark: SparkSession, folder: str, path: str, checkpoint: str, interval: str = "500 milliseconds", **limits: int) -> StreamingQuery:
+    """Follows the files below a folder from now on: what they hold when the query first starts is a
+    backlog, which is read, counted and dropped, and the first new record is the first that is
+    written. It stays so when the query starts again. ``limits`` are those of ``tail``."""
+    rows = observed(tail(spark, folder, checkpoint, start="latest", **limits))
+    parsed = denials(rows.where("kind = 'line' and fresh").select("file", "at", "line"))
+    return follow(parsed, path, checkpoint, interval)
 
 
 def session(start: Callable[[], StreamingQuery], switch: Callable[[], bool], poll: float = 0.5) -> StreamingQuery:
