@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import assertions, attribution, evaluate, golden, landing, macros, report
 from .plans import sample
-from .plans.access import answers
+from .plans.access import answers, rule_hits
 from .plans.board import board_answers, board_commands
 from .plans.closure import ancestors, settle
 from .plans.verdict import AUTO, HUMAN, patch_lines
@@ -218,27 +218,57 @@ def o83_trust(spark, sf_dir):
     return golden.trust(golden_pairs(spark, sf_dir), sample.sample_policy(spark)).groupBy("pair_kind").agg(F.count("*").alias("pairs"))
 
 
-@query(ANSWERED + """, adv AS (SELECT list_sort(list_distinct(list_concat(perms, ['open', 'read', 'write']))) AS scope, CASE WHEN missing = '' THEN [] ELSE string_split(missing, ' ') END AS want, tgt, verify_status, n_neverallow FROM fin WHERE classification = 'MISSING_RULE')
-    SELECT count(*) AS patch_generated, count(*) FILTER (len(scope) = len(want)) AS exact_min, count(*) AS sufficient, count(*) FILTER (len(scope) > len(want)) AS overbroad FROM adv""")
-def o87_advisers(spark, sf_dir):
-    cases = evaluate.advise(decided(spark, sf_dir).where("classification = 'MISSING_RULE'").withColumn("src", F.coalesce("src", F.lit("None"))), "moderate")
-    return evaluate.metrics(evaluate.compare(cases, "advised")).select("patch_generated", "exact_min", "sufficient", "overbroad")
+#: Pairs of an allowed access and the only rule text that grants one of its permissions, decided as if that text were gone.
+WITHOUT = ANSWERED + """, pr AS (SELECT q.req, q.p, h.raw FROM perm q JOIN ans a ON a.req = q.req AND a.allowed JOIN hits h ON h.req = q.req AND h.kind = 'allow' AND (len(h.perms) = 0 OR list_contains(h.perms, q.p))),
+    solo AS (SELECT DISTINCT req, raw FROM (SELECT req, p, min(raw) AS raw FROM pr GROUP BY 1, 2 HAVING count(DISTINCT raw) = 1)),
+    left_ AS (SELECT s.req, s.raw, q.p, EXISTS (SELECT 1 FROM hits h WHERE h.req = s.req AND h.kind = 'allow' AND h.raw <> s.raw AND (len(h.perms) = 0 OR list_contains(h.perms, q.p))) AS ok FROM solo s JOIN perm q USING (req)),
+    cmd AS (SELECT s.req, s.raw, CASE WHEN a.ioctl_reason IN ('neverallowxperm', 'allowxperm') THEN a.ioctl_reason WHEN a.ioctl_reason IS NOT NULL AND EXISTS (SELECT 1 FROM hits h WHERE h.req = s.req AND h.kind = 'allow' AND h.raw <> s.raw AND list_contains(h.perms, 'ioctl')) THEN 'allow(ioctl)'
+        WHEN a.ioctl_reason IS NOT NULL THEN 'no_allow' END AS reason, a.ioctl_allowed FROM solo s JOIN ans a USING (req)),
+    gap AS (SELECT l.req, l.raw, list_sort(list(l.p) FILTER (NOT l.ok)) AS missing, any_value(a.src) AS src, any_value(a.tgt) AS tgt, any_value(a.perms) AS perms, any_value(a.n_neverallow) AS stops, any_value(a.ioctl_cmd) AS ioctl_cmd,
+        any_value(c.reason) AS reason, any_value(c.ioctl_allowed) AS was FROM left_ l JOIN ans a USING (req) JOIN cmd c ON c.req = l.req AND c.raw = l.raw GROUP BY 1, 2),
+    cut AS (SELECT *, CASE WHEN reason = 'allowxperm' AND NOT was THEN [ioctl_cmd] ELSE missing END AS scope,
+        CASE WHEN contains(raw, '{') AND NOT contains(split_part(raw, ':', 1), '{') THEN list_filter(string_split(trim(split_part(split_part(raw, '{', 2), '}', 1)), ' '), lambda x: x <> '')
+          WHEN contains(raw, '{') THEN list_filter(string_split(trim(split_part(split_part(raw, '{', 2), '}', 1)), ' '), lambda x: x <> '') ELSE [rtrim(string_split(raw, ' ')[-1], ';')] END AS fix FROM gap)"""
 
 
-@query(ANSWERED + "SELECT count(*) AS patch_generated, count(*) AS exact_min, count(*) AS sufficient, 0::BIGINT AS overbroad, count(*) FILTER (verify_status = 'SUCCESS') AS final_verified FROM fin WHERE classification = 'MISSING_RULE' AND missing <> ''")
+@query(WITHOUT + """SELECT count(*) FILTER (stops > 0) AS neverallow_blocked, count(*) FILTER (stops = 0) AS patch_generated, count(*) FILTER (stops = 0 AND list_sort(scope) = missing) AS exact_min,
+    count(*) FILTER (stops = 0 AND list_has_all(scope, missing)) AS sufficient, count(*) FILTER (stops = 0 AND list_has_all(scope, missing) AND NOT list_has_all(missing, scope)) AS overbroad,
+    count(*) FILTER (stops = 0) AS review_approve, count(*) FILTER (stops = 0 AND src IS NOT NULL) AS final_verified, count(*) FILTER (stops = 0 AND list_has_all(scope, fix) AND list_has_all(fix, scope)) AS patch_matches_rule,
+    count(*) FILTER (stops = 0 AND len(fix) > 0 AND list_has_all(fix, missing) AND NOT list_has_all(missing, fix)) AS rule_wider_than_gap FROM cut""")
 def o86_evaluation(spark, sf_dir):
-    cases = decided(spark, sf_dir).where("classification = 'MISSING_RULE' and size(missing) > 0")
-    return evaluate.metrics(evaluate.compare(cases, "patch")).select("patch_generated", "exact_min", "sufficient", "overbroad", "final_verified")
+    """The nine numbers over all cases that hang on one rule text, each decided without it."""
+    return evaluate.informative_metrics(informative(spark, sf_dir))
+
 
+def informative(spark, sf_dir):
+    policy = sample.sample_policy(spark)
+    d = decided(spark, sf_dir, policy).withColumn("req", F.col("fp")).withColumn("tgt", F.col("query_tgt"))
+    return evaluate.without_own_rule(d, settle(rule_hits(d.select("req", "src", "tgt", "cls"), policy, policy.closure())))
 
-@query(ANSWERED + """, seen AS (SELECT DISTINCT req FROM hits WHERE kind = 'allow'), l AS (SELECT CASE WHEN n_neverallow > 0 THEN 'POTENTIAL_ESCALATION (matches neverallow)' WHEN allowed THEN 'ALLOWED by policy (granted=[''' || replace(granted, ' ', ''', ''') || '''])'
-    WHEN ioctl_allowed = false AND ioctl_reason = 'allowxperm' THEN 'XPERM_GAP (ioctl ' || ioctl_cmd || ' not in allowxperm whitelist)' WHEN ioctl_allowed = false THEN 'MISSING_RULE (no allow for ioctl)'
-    WHEN req IN (SELECT req FROM seen) THEN 'MISSING_RULE (has ' || CASE WHEN granted = '' THEN '[]' ELSE '[''' || replace(granted, ' ', ''', ''') || ''']' END || ', needs [''' || replace(missing, ' ', ''', ''') || '''])' ELSE 'MISSING_RULE (no allow rule at all)' END AS label FROM ans)
-    SELECT label, count(*) AS cases FROM l GROUP BY 1""")
+
+@query(WITHOUT + """, profile(name, more) AS (VALUES ('exact', []::VARCHAR[]), ('moderate', ['open', 'read', 'write']), ('greedy', ['append', 'create', 'getattr', 'ioctl', 'map', 'open', 'read', 'setattr', 'unlink', 'write'])),
+    adv AS (SELECT name, list_distinct(list_concat(missing, more)) AS given, missing FROM cut, profile WHERE stops = 0)
+    SELECT name AS profile, count(*) AS patch_generated, count(*) FILTER (list_has_all(given, missing) AND list_has_all(missing, given)) AS exact_min, count(*) FILTER (list_has_all(given, missing)) AS sufficient,
+      count(*) FILTER (list_has_all(given, missing) AND NOT list_has_all(missing, given)) AS overbroad, sum(len(list_filter(given, lambda x: NOT list_contains(missing, x))))::BIGINT AS extra FROM adv GROUP BY 1""")
+def o87_advisers(spark, sf_dir):
+    """Three offline advisers, who are told what is missing, over the same cases."""
+    cases = settle(informative(spark, sf_dir).where("n_neverallow = 0").withColumn("src", F.coalesce("src", F.lit("None"))).withColumn("perms", F.col("missing")))
+    out = None
+    for profile in evaluate.PROFILES:
+        told = evaluate.compare(evaluate.advise(cases, profile), "advised")
+        row = evaluate.metrics(told).select(F.lit(profile).alias("profile"), "patch_generated", "exact_min", "sufficient", "overbroad")
+        row = row.crossJoin(told.agg(F.sum(F.size("extra")).alias("extra")))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(ANSWERED + """, seen AS (SELECT DISTINCT req FROM hits WHERE kind = 'allow'), l AS (SELECT CASE WHEN n_neverallow > 0 THEN 'forbidden' WHEN allowed THEN 'granted' WHEN ioctl_allowed = false AND ioctl_reason = 'allowxperm' THEN 'command'
+    WHEN ioctl_allowed = false THEN 'no_command' WHEN req IN (SELECT req FROM seen) THEN 'partly' ELSE 'nothing' END AS look, granted, missing, ioctl_cmd FROM ans)
+    SELECT look, CASE look WHEN 'granted' THEN granted WHEN 'command' THEN ioctl_cmd WHEN 'partly' THEN missing END AS detail, count(*) AS cases FROM l GROUP BY 1, 2""")
 def o92_first_look(spark, sf_dir):
     policy = sample.sample_policy(spark)
     a = answers(asked(spark, sf_dir).withColumn("tgt", F.col("query_tgt")).withColumn("req", F.col("fp")), policy, policy.closure())
-    return evaluate.first_look(a).groupBy("label").agg(F.count("*").alias("cases"))
+    return evaluate.first_look(a).groupBy("look", F.array_join("look_detail", " ").alias("detail")).agg(F.count("*").alias("cases"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'read write' WHEN 1 THEN 'read' WHEN 2 THEN '' ELSE '0x1' END AS scope, CASE event_id % 3 WHEN 0 THEN 'allow a b:c { d };' WHEN 1 THEN 'allowxperm a b:c ioctl 0x1;' END AS rule FROM events""")

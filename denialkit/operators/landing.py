@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.board import board_answers, board_commands
 from ..plans.closure import settle
 from ..sources.cil import Board
-
-LINE = r"^allow(xperm)?\s+(\S+)\s+(\S+):(\S+)\s+(?:(\S+)\s+)?\{\s*([^}]*?)\s*\}\s*;\s*$"
+from ..sources.policy import with_form
 
 
 def gates(lines: DataFrame, board: Board) -> DataFrame:
@@ -19,11 +18,14 @@ def gates(lines: DataFrame, board: Board) -> DataFrame:
     that the class lacks at ``perms`` (all rejected), and what the device grants already at
     ``idempotent`` (already_satisfied); the rest is to emit. Equal lines are judged alike.
     """
-    s = F.trim("line")
-    part = lambda i: F.when(s.rlike(LINE), F.regexp_extract(s, LINE, i))
-    words = F.filter(F.split(part(6), r"\s+"), lambda w: w != "")
-    op = F.when(part(5) == "", "ioctl").otherwise(part(5))
-    df = lines.withColumns({"kind": F.when(part(1) == "xperm", "allowxperm").when(s.rlike(LINE), "allow"), "src": part(2), "tgt": part(3), "cls": part(4), "op": op, "perms": F.array_sort(F.array_distinct(words))})
+    df = with_form(lines.withColumn("statement", F.trim("line")))
+    at = lambda i: F.get("_t", F.lit(i))
+    last = F.try_element_at("_t", F.lit(-1))
+    shaped = F.col("form").isNotNull() & at(0).isin("allow", "allowxperm") & last.startswith("{") & F.col("statement").endswith(";") & ~at(1).startswith("{") & ~at(2).startswith("{")
+    given = lambda c: F.when(shaped, c)
+    names = F.filter(F.split(F.trim(last, F.lit("{}")), r"\s+"), lambda w: w != "")
+    df = df.withColumns({"kind": given(at(0)), "src": given(at(1)), "tgt": given(at(2)), "cls": given(at(4)), "op": given(F.when(F.col("form") == "command", at(5)).otherwise("ioctl")), "perms": given(F.array_sort(F.array_distinct(names)))})
+    df = df.drop("statement", "_t", "form")
     df = settle(df)
     for side in ("src", "tgt"):
         names = board.names("type", "attribute").select(F.col("name").alias(f"_{side}"))

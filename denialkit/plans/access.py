@@ -74,14 +74,26 @@ def resolve_targets(requests: DataFrame, policy: Policy) -> DataFrame:
 
 
 def answers(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFrame:
-    """Adds to requests (req, src, tgt, cls, perms, ioctl_cmd) what the rules say, in one grouping:
+    """Adds to requests (req, src, tgt, cls, perms, ioctl_cmd) what the rules say:
 
     granted, allowed (every requested permission is), neverallow (text of the first rule that
     granting them would violate), ioctl_allowed and ioctl_reason for requests with a command.
     An empty permission set of a rule is a wildcard; an empty request is allowed.
     """
+    return answers_from(requests, rule_hits(requests, policy, closure))
+
+
+def hits_without(pairs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits of pairs (req, access, without): those of the access, but of rules with the text
+    ``without``. So many policies that each lack a rule are asked without making one of them."""
+    own = hits.withColumnRenamed("req", "access")
+    return pairs.select("req", "access", "without").join(own, "access").where(~F.col("raw").eqNullSafe(F.col("without"))).drop("access", "without")
+
+
+def answers_from(requests: DataFrame, hits: DataFrame) -> DataFrame:
+    """The same from the rules that each request hits (``rule_hits``), in one grouping."""
     r = requests.withColumn("perms", F.array_distinct("perms"))
-    hits = rule_hits(r, policy, closure).join(r.select("req", F.col("perms").alias("asked"), "ioctl_cmd"), "req")
+    hits = hits.join(r.select("req", F.col("perms").alias("asked"), "ioctl_cmd"), "req")
     kind, ioctl = lambda *k: F.col("kind").isin(*k), F.col("xperm_perm") == "ioctl"
     stops = kind("neverallow") & ((F.size("perms") == 0) | F.arrays_overlap("perms", "asked"))
     listed = F.array_contains("xperms", F.col("ioctl_cmd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK, MARKER, PAIR, context_type, denied_permissions, fingerprint, strip, unquote
+from ..functions.text import LINE_BREAK, MARKER, context_type, denied_permissions, fingerprint, strip, unquote, with_assignments
 from .splits import read_lines, records
 
 #: Stands before each marker while a text is cut into lines; a Unicode noncharacter.
@@ -58,12 +58,10 @@ def tail_from_marker(text: Column) -> Column:
 
 def parse_events(df: DataFrame, block: str = "block") -> DataFrame:
     """Adds the fields of a denial, read in one pass over its key=value pairs (first of a key wins)."""
-    keys, values = F.regexp_extract_all(block, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(block, F.lit(PAIR), F.lit(2))
-    df = df.withColumn("_keys", keys).withColumn("_values", values)
+    df = with_assignments(df, block, "_pairs")
 
     def first(key: str) -> Column:
-        at = F.array_position("_keys", key)
-        return F.when(at > 0, unquote(F.get("_values", (at - 1).cast("int"))))
+        return unquote(F.get(F.filter("_pairs", lambda p: p["key"] == key), F.lit(0))["value"])
 
     pid, permissive = first("pid"), first("permissive")
     out = {
@@ -72,7 +70,7 @@ def parse_events(df: DataFrame, block: str = "block") -> DataFrame:
         "comm": first("comm"), "pid": F.when(pid.rlike(r"^\d+$"), F.try_to_number(pid, F.lit("999999999999999999")).cast("bigint")),
         "path": first("path"), "name": first("name"), "ioctl_cmd": first("ioctlcmd"), "parameter": first("parameter"), "service": first("service"),
     }
-    return df.withColumns(out).drop("_keys", "_values")
+    return df.withColumns(out).drop("_pairs")
 
 
 def with_fingerprint(denials: DataFrame) -> DataFrame:
