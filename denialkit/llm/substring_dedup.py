@@ -153,7 +153,7 @@ class FingerprintIndex:
 
     def drop(self) -> None:
         for t in self.runs:
-            self.spark.sql(f"DROP TABLE {t}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
         self.runs = []
 
 
@@ -214,13 +214,15 @@ def repeated_spans(docs: DataFrame, store: Stored, batches: int = BATCHES) -> Da
     The documents come in batches: each is merge-joined with the runs of those before it, appended,
     and what any batch repeats is looked up in the compacted index."""
     spark, index, every, hits = docs.sparkSession, FingerprintIndex(docs.sparkSession), None, None
-    for i in range(batches):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
-        found = store.put(f"batch{i}", occurrences(part))
-        own = index.append(found, store)
-        every, hits = (found, own) if every is None else (every.union(found), hits.union(own))
-    again = store.put("again", index.repeated(hits))
-    index.drop()
+    try:
+        for i in range(batches):
+            part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
+            found = store.put(f"batch{i}", occurrences(part))
+            own = index.append(found, store)
+            every, hits = (found, own) if every is None else (every.union(found), hits.union(own))
+        again = store.put("again", index.repeated(hits))
+    finally:  # a job that fails leaves no runs behind
+        index.drop()
     # only occurrences that may have a repeated fingerprint go on
     bits, m = bloom_filter(again.select(F.col("fp").alias("h")), again.count(), repeated=False)
     shared = spark.sparkContext.broadcast(bits)

@@ -46,13 +46,14 @@ def test_repeated_rows_and_empty(spark):
 
 def test_index_grows_by_batches(spark):
     texts = prose(12, least=60, most=90)
-    index = FingerprintIndex(spark, buckets=4)
+    index, hits = FingerprintIndex(spark, buckets=4), None
     for k in range(5):  # the last batch repeats the first
         batch = occurrences(table(spark, texts[3 * k : 3 * k + 3] if k < 4 else texts[:3]))
         assert (index.matches(batch).count() > 0) == (k == 4)
-        index.append(batch)
+        own = index.append(batch)
+        hits = own if hits is None else hits.union(own)
     assert len(index.runs) < 4
-    assert index.repeated().where("times = 2 and uniform").count() == occurrences(table(spark, texts[:3])).select("fp").distinct().count()
+    assert index.repeated(hits).where("times = 2 and uniform").count() == occurrences(table(spark, texts[:3])).select("fp").distinct().count()
     index.drop()
 
 
