@@ -47,8 +47,10 @@ def with_assignments(df: DataFrame, block: str, to: str) -> DataFrame:
         text = F.replace(text, F.lit(sign), F.lit(stand_in))
     # each step is a column, so that lambdas read it instead of computing it again
     df = df.withColumn("_parts", F.split(F.regexp_replace(text, f"(?U){WS}*={WS}*", "="), '"'))
-    df = df.withColumn("_loose", F.transform("_parts", lambda x, i: F.filter(F.split(F.when((i % 2 == 1) & (i == F.size("_parts") - 1), F.concat(F.lit('"'), x)).otherwise(x), r"(?U)[,\s\x1c-\x1f]+"), lambda w: F.contains(w, F.lit("=")))))
-    held = lambda i: (i % 2 == 1) & (i < F.size("_parts") - 1) & F.get("_parts", i - 1).endswith("=")
+    n, open_ = F.size("_parts"), F.concat(F.element_at("_parts", -2), F.lit('"'), F.element_at("_parts", -1))
+    df = df.withColumn("_parts", F.when(n % 2 == 0, F.concat(F.slice("_parts", F.lit(1), n - 2), F.array(open_))).otherwise(F.col("_parts")))  # a quote that nothing closes is a sign like others
+    df = df.withColumn("_loose", F.transform("_parts", lambda x: F.filter(F.split(x, r"(?U)[,\s\x1c-\x1f]+"), lambda w: F.contains(w, F.lit("=")))))
+    held = lambda i: (i % 2 == 1) & F.get("_parts", i - 1).endswith("=")
     whole = lambda x, i: F.array(F.concat(F.element_at(F.get("_loose", i - 1), -1), F.lit('"'), F.get("_parts", i), F.lit('"')))
     df = df.withColumn("_words", F.flatten(F.transform("_loose", lambda x, i: F.when(held(i), whole(x, i)).otherwise(x))))
 

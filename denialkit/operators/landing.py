@@ -22,6 +22,7 @@ def gates(lines: DataFrame, board: Board) -> DataFrame:
     at = lambda i: F.get("_t", F.lit(i))
     last = F.try_element_at("_t", F.lit(-1))
     shaped = F.col("form").isNotNull() & at(0).isin("allow", "allowxperm") & last.startswith("{") & F.col("statement").endswith(";") & ~at(1).startswith("{") & ~at(2).startswith("{")
+    shaped = shaped & F.contains("statement", F.concat(at(2), F.lit(":"), at(4)))  # target and class are one word
     given = lambda c: F.when(shaped, c)
     names = F.filter(F.split(F.trim(last, F.lit("{}")), r"\s+"), lambda w: w != "")
     df = df.withColumns({"kind": given(at(0)), "src": given(at(1)), "tgt": given(at(2)), "cls": given(at(4)), "op": given(F.when(F.col("form") == "command", at(5)).otherwise("ioctl")), "perms": given(F.array_sort(F.array_distinct(names)))})

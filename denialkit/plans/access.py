@@ -26,33 +26,61 @@ def with_tokens(requests: DataFrame, closure: DataFrame) -> DataFrame:
     return requests
 
 
+STAR = "*"
+
+
+def token_key(cls: Column, src: Column, tgt: Column) -> Column:
+    """What a rule's class, subject token and target token are joined by; who meets by it compares the tokens."""
+    return F.xxhash64(cls, src, F.lit("\n"), tgt)
+
+
+def token_keys(cls: Column, src: Column, tgt: Column) -> Column:
+    """The keys of all pairs of two lists of tokens."""
+    return F.flatten(F.transform(src, lambda s: F.transform(tgt, lambda t: token_key(cls, s, t))))
+
+
+def with_useful_tokens(requests: DataFrame, closure: DataFrame, used: dict[str, DataFrame]) -> DataFrame:
+    """Adds to (cls, src, tgt, ...) the tokens of both names, and as <side>_useful those that ``used``
+    (cls, token) knows for the class, each found once for every name and class."""
+    for side in ("src", "tgt"):
+        names = requests.select("cls", F.col(side).alias("ident")).where("ident is not null").distinct()
+        own = names.select("cls", "ident", F.col("ident").alias("token"))
+        every = own.unionByName(names.join(closure.withColumnRenamed("name", "ident"), "ident").select("cls", "ident", "token")).distinct()
+        known = used[side].withColumn("known", F.lit(True))
+        found = every.join(known, ["cls", "token"], "left").groupBy("cls", "ident").agg(
+            F.array_sort(F.collect_list("token")).alias(f"{side}_tokens"), F.array_sort(F.collect_list(F.when(F.col("known"), F.col("token")))).alias(f"{side}_useful"))
+        found = found.withColumnsRenamed({"cls": "_cls"})
+        requests = requests.join(found, (requests[side] == found["ident"]) & (requests["cls"] == found["_cls"]), "left").drop("ident", "_cls")
+        empty = F.array().cast("array<string>")
+        requests = requests.withColumns({f"{side}_{k}": F.coalesce(f"{side}_{k}", empty) for k in ("tokens", "useful")})
+    return requests
+
+
 def rule_hits(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFrame:
     """Every (request, rule) whose class and both subjects match.
 
-    Star subjects take branches of their own, so that each join is an equi-join; exclusions beat
-    names and stars and apply to ancestors too. ``requests`` has req, src, tgt, cls.
+    A rule has a key for each pair of a subject and a target token, a star being a token too, and a
+    request one for each pair of its names' tokens that rules of its class use at all. Only numbers
+    and keys of requests shuffle for the join; what meets is compared by its tokens, where
+    exclusions beat names and stars and apply to ancestors too. ``requests`` has req, src, tgt, cls.
     """
-    asked = settle(with_tokens(requests.select("req", "src", "tgt", "cls"), closure))
-    s, t = F.explode("src_tokens").alias("stok"), F.explode("tgt_tokens").alias("ttok")
     shown = ["rule_id", "kind", "perms", "xperm_perm", "xperms", "raw"]
-    rules = policy.rules.select(*shown, "cls", "src", "src_neg", "src_star", "tgt", "tgt_neg", "tgt_star")
-    by_src = rules.where("not src_star").withColumn("stok", F.explode("src"))
-    by_tgt = rules.where("src_star and not tgt_star").withColumn("ttok", F.explode("tgt"))
-    both = ["req", "cls", "src_tokens", "tgt_tokens"]
-    one = asked.select(*both, s)
-    branches = [
-        one.select("*", t).join(by_src.where("not tgt_star").withColumn("ttok", F.explode("tgt")), ["cls", "stok", "ttok"]),
-        one.join(by_src.where("tgt_star"), ["cls", "stok"]), asked.select(*both, t).join(by_tgt, ["cls", "ttok"]),
-        asked.select(*both).join(rules.where("src_star and tgt_star"), "cls")]
-    barred = lambda side: F.coalesce(F.arrays_overlap(f"{side}_neg", f"{side}_tokens"), F.lit(False))
+    own = lambda side: F.when(F.col(f"{side}_star"), F.array(F.lit(STAR))).otherwise(F.col(side))
+    rules = policy.rules.select(*shown, "cls", own("src").alias("r_src"), own("tgt").alias("r_tgt"), F.col("src_neg").alias("r_src_neg"), F.col("tgt_neg").alias("r_tgt_neg"))
+    used = {side: rules.select("cls", F.explode(f"r_{side}").alias("token")).distinct() for side in ("src", "tgt")}
+    # stars of a class count only where a rule of the class has them
+    has = lambda side, name: F.bool_or(F.array_contains(f"r_{side}", STAR)).alias(name)
+    stars = rules.groupBy("cls").agg(has("src", "src_any"), has("tgt", "tgt_any"))
+    asked = with_useful_tokens(requests.select("req", "src", "tgt", "cls").join(stars, "cls"), closure, used).withColumn("number", F.monotonically_increasing_id())
+    asked = settle(asked)
+    wide = lambda side: F.when(F.col(f"{side}_any"), F.concat(f"{side}_useful", F.array(F.lit(STAR)))).otherwise(F.col(f"{side}_useful"))
+    keys = asked.select("number", F.explode(token_keys(F.col("cls"), wide("src"), wide("tgt"))).alias("key"))
+    met = keys.join(rules.withColumn("key", F.explode(token_keys(F.col("cls"), F.col("r_src"), F.col("r_tgt")))).withColumnRenamed("cls", "r_cls"), "key")
     # a rule that names several tokens of a request counts by the first of them only
-    first = lambda tok, side: F.col(tok) == F.get(F.array_intersect(side, f"{side}_tokens"), F.lit(0))
-    only = [first("stok", "src") & first("ttok", "tgt"), first("stok", "src"), first("ttok", "tgt"), F.lit(True)]
-    out = None
-    for branch, once in zip(branches, only, strict=True):
-        hits = branch.where(once & ~barred("src") & ~barred("tgt")).select("req", *shown)
-        out = hits if out is None else out.union(hits)
-    return out
+    first = lambda side: F.get(F.array_intersect(f"r_{side}", wide(side)), F.lit(0))
+    barred = lambda side: F.coalesce(F.arrays_overlap(f"r_{side}_neg", f"{side}_tokens"), F.lit(False))
+    both = met.join(asked.drop("src", "tgt"), "number")
+    return both.where((F.col("r_cls") == F.col("cls")) & (F.col("key") == token_key(F.col("cls"), first("src"), first("tgt"))) & ~barred("src") & ~barred("tgt")).select("req", *shown)
 
 
 def declared(policy: Policy) -> DataFrame:

@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.cil import Board
-from .access import with_tokens
-from .closure import ancestors
+from .access import token_key, token_keys, with_useful_tokens
+from .closure import ancestors, settle
 
 
 def board_hits(requests: DataFrame, keys: DataFrame, board: Board) -> DataFrame:
     """Rows of ``keys`` (src, tgt, cls, ...) that answer each request (req, src, tgt, cls), through
     memberships on both sides."""
-    asked = with_tokens(requests.select("req", "src", "tgt", "cls"), ancestors(board.edges))
-    pairs = asked.select("req", "cls", F.explode("src_tokens").alias("src"), "tgt_tokens").select("req", "cls", "src", F.explode("tgt_tokens").alias("tgt"))
-    return pairs.join(keys, ["src", "tgt", "cls"]).drop("src", "tgt", "cls")
+    used = {side: keys.select("cls", F.col(side).alias("token")).distinct() for side in ("src", "tgt")}
+    asked = with_useful_tokens(requests.select("req", "src", "tgt", "cls"), ancestors(board.edges), used)
+    asked = settle(asked.select("req", "cls", "src_useful", "tgt_useful", F.monotonically_increasing_id().alias("number")).where("size(src_useful) > 0 and size(tgt_useful) > 0"))
+    pairs = asked.select("number", F.explode(token_keys(F.col("cls"), F.col("src_useful"), F.col("tgt_useful"))).alias("key"))
+    met = pairs.join(keys.withColumn("key", token_key(F.col("cls"), F.col("src"), F.col("tgt"))).withColumnsRenamed({"src": "k_src", "tgt": "k_tgt", "cls": "k_cls"}), "key")
+    both = met.join(asked, "number")
+    same = (F.col("k_cls") == F.col("cls")) & F.array_contains("src_useful", F.col("k_src")) & F.array_contains("tgt_useful", F.col("k_tgt"))
+    return both.where(same).drop("number", "key", "k_src", "k_tgt", "k_cls", "cls", "src_useful", "tgt_useful")
 
 
 def board_answers(requests: DataFrame, board: Board) -> DataFrame:

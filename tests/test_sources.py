@@ -51,3 +51,33 @@ def test_index_is_read_back_as_written(spark, tmp_path):
     assert exchange.drift(exchange.in_order(lines), again).count() == 0
     assert exchange.self_check(again).count() == 0
     assert exchange.self_check(again.withColumn("line", F.replace("line", F.lit("@rev 2"), F.lit("@rev 9")))).count() == 1
+
+
+def test_assignments(spark):
+    """Quotes, escapes, white space around signs, signs inside values, and words that only end like a key."""
+    from denialkit.functions.text import with_assignments
+
+    texts = {
+        'pid=1 comm="a b" tclass=file': [("pid", "1"), ("comm", '"a b"'), ("tclass", "file")],
+        'comm = "x pid=9",name=\t y': [("comm", '"x pid=9"'), ("name", "y")],
+        "path=/a=b/pid=3 dev= next=1": [("path", "/a=b/pid=3"), ("dev", "next=1")],
+        'xpid=5 foo=gid=7 other=2 ino=': [("pid", "5"), ("gid", "7")],
+        r'name="a\"b" comm="c\\" sid=1': [("name", r'"a\"b"'), ("comm", r'"c\\"'), ("sid", "1")],
+        'comm="" uid=2 path="open pid=4': [("comm", '""'), ("uid", "2"), ("path", '"open'), ("pid", "4")],
+        'comm="a"pid=3': [("comm", '"a"'), ("pid", "3")],
+        "": [], "=": [], "pid": [], "pid=,": [], 'pid="': [("pid", '"')],
+    }
+    rows = with_assignments(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "found").collect()
+    assert {r.t: [tuple(p) for p in r.found] for r in rows} == texts
+
+
+def test_landing_lines(spark):
+    """Lines are read by their tokens."""
+    from denialkit.sources.cil import parse_cil
+    from denialkit.operators.landing import gates
+
+    board = parse_cil(spark.createDataFrame([(x,) for x in ("(class file (read write ioctl))", "(type a)", "(type b)", "(allow a b (file (read)))")], "line string"))
+    lines = {"allow a b:file { read };": ("already_satisfied", ["read"]), "  allow  a b:file {  write read } ; ": ("emit", ["read", "write"]), "allow a b : file { write };": ("rejected", None), "allow a b:file read;": ("rejected", None), "allow a b:file { read }": ("rejected", None),
+             "allow a c:file { read };": ("rejected", ["read"]), "allow a b:file { fly };": ("rejected", ["fly"]), "allowxperm a b:file ioctl { 0x1 };": ("emit", ["0x1"]), "neverallow a b:file { read };": ("rejected", None)}
+    rows = gates(spark.createDataFrame([(x,) for x in lines], "line string"), board).collect()
+    assert {r.line: (r.verdict, r.perms) for r in rows} == lines
