@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.cil import Board
 from .access import token_key, token_keys, with_useful_tokens
 from .closure import ancestors, settle
+from .ranges import held
 
 
 def board_hits(requests: DataFrame, keys: DataFrame, board: Board) -> DataFrame:
@@ -35,7 +36,10 @@ def board_answers(requests: DataFrame, board: Board) -> DataFrame:
 def board_commands(requests: DataFrame, board: Board) -> DataFrame:
     """Adds to (req, src, tgt, cls, commands) xperm_satisfied: one key's intervals hold every command
     (hex strings)."""
-    hits = board_hits(requests, board.xperms, board).join(requests.select("req", "commands"), "req")
-    held = F.forall("commands", lambda c: F.exists("intervals", lambda i: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("bigint").between(i["lo"], i["hi"])))
-    told = hits.groupBy("req").agg(F.bool_or(held).alias("xperm_satisfied"))
+    rows = settle(board.xperms.withColumn("own", F.monotonically_increasing_id()))
+    asked = requests.select("req", F.array_distinct(F.transform("commands", lambda c: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("bigint"))).alias("all"))
+    hits = settle(board_hits(requests, rows.drop("intervals"), board).select("req", "own").join(asked, "req"))
+    ranges = rows.select("own", F.explode("intervals").alias("i")).select("own", F.col("i.lo").cast("bigint").alias("lo"), F.col("i.hi").cast("bigint").alias("hi"))
+    found = held(hits.select("req", "own", F.explode("all").alias("n")), ranges, "own").groupBy("req", "own").agg(F.count_distinct("n").alias("found"))
+    told = hits.join(found, ["req", "own"], "left").groupBy("req").agg(F.bool_or(F.coalesce("found", F.lit(0)) == F.size("all")).alias("xperm_satisfied"))
     return requests.join(told, "req", "left").withColumn("xperm_satisfied", F.coalesce("xperm_satisfied", F.lit(False)))

@@ -11,6 +11,7 @@ from .operators import minimize as mini
 from .plans import sample
 from .plans.access import answers, resolve_targets, rule_hits
 from .plans.closure import ancestors, member_counts, settle
+from .plans.ranges import held
 from .plans.verdict import AUTO, candidates, converge, counts, explain, human_items, patch_lines, quick
 from .sources import sehap
 from .sources.denials import assemble_lines, clusters, parse_events, read_log_lines, suppressed, with_fingerprint
@@ -280,6 +281,18 @@ def o04_rule_files(spark, sf_dir):
     return rules.groupBy(F.get("src", F.lit(0)).alias("src"), words("perms").alias("perms")).agg(F.count_distinct("tgt").alias("targets"), F.count("*").alias("rules"))
 
 
+@query("""WITH r AS (SELECT l_suppkey % 50 AS key, l_partkey * 37 % 5000 AS lo, l_partkey * 37 % 5000 + l_linenumber * l_linenumber * 9 - 12 AS hi FROM lineitem WHERE l_orderkey % 2 = 0),
+    c AS (SELECT user_id % 60 AS key, event_id * 13 % 70000 AS n, count(*) AS events FROM events GROUP BY 1, 2)
+    SELECT key, count(*) AS commands, sum(events)::BIGINT AS events FROM c WHERE EXISTS (SELECT 1 FROM r WHERE r.key = c.key AND c.n BETWEEN r.lo AND r.hi) GROUP BY 1""")
+def o42_command_ranges(spark, sf_dir):
+    """The events' commands against many overlapping ranges a key."""
+    li, e = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    lo = F.col("l_partkey") * 37 % 5000
+    r = li.where("l_orderkey % 2 = 0").select((F.col("l_suppkey") % 50).alias("key"), lo.alias("lo"), (lo + F.col("l_linenumber") * F.col("l_linenumber") * 9 - 12).alias("hi"))
+    c = e.groupBy((F.col("user_id") % 60).alias("key"), (F.col("event_id") * 13 % 70000).alias("n")).agg(F.count("*").alias("events"))
+    return held(c, r, "key").groupBy("key").agg(F.count("*").alias("commands"), F.sum("events").alias("events"))
+
+
 @query("SELECT user_id % 7 AS k, sum(event_id % 1000)::BIGINT AS lost FROM events GROUP BY 1")
 def o17_suppressed(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

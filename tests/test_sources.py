@@ -76,8 +76,8 @@ def test_landing_lines(spark):
     from denialkit.sources.cil import parse_cil
     from denialkit.operators.landing import gates
 
-    board = parse_cil(spark.createDataFrame([(x,) for x in ("(class file (read write ioctl))", "(type a)", "(type b)", "(allow a b (file (read)))")], "line string"))
+    board = parse_cil(spark.createDataFrame([(x,) for x in ("(class file (read write ioctl))", "(type a)", "(type b)", "(allow a b (file (read)))", "(allowx a b (ioctl file ((range 0x10 0x20) 0x30)))")], "line string"))
     lines = {"allow a b:file { read };": ("already_satisfied", ["read"]), "  allow  a b:file {  write read } ; ": ("emit", ["read", "write"]), "allow a b : file { write };": ("rejected", None), "allow a b:file read;": ("rejected", None), "allow a b:file { read }": ("rejected", None),
-             "allow a c:file { read };": ("rejected", ["read"]), "allow a b:file { fly };": ("rejected", ["fly"]), "allowxperm a b:file ioctl { 0x1 };": ("emit", ["0x1"]), "neverallow a b:file { read };": ("rejected", None)}
+             "allow a c:file { read };": ("rejected", ["read"]), "allow a b:file { fly };": ("rejected", ["fly"]), "allowxperm a b:file ioctl { 0x1 };": ("emit", ["0x1"]), "allowxperm a b:file ioctl { 0x10 0X10 0x1f 0x30 };": ("already_satisfied", ["0X10", "0x10", "0x1f", "0x30"]), "allowxperm a b:file ioctl { 0x10 0x21 };": ("emit", ["0x10", "0x21"]), "neverallow a b:file { read };": ("rejected", None)}
     rows = gates(spark.createDataFrame([(x,) for x in lines], "line string"), board).collect()
     assert {r.line: (r.verdict, r.perms) for r in rows} == lines
