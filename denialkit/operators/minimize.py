@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.access import answers, rule_hits, with_rules
-from ..plans.closure import member_counts
+from ..plans.closure import member_counts, settle
 from ..sources.policy import Policy, parse_rules
 
 
@@ -88,7 +88,7 @@ def closed_loop(cases: DataFrame, rules: DataFrame, policy: Policy) -> DataFrame
     residual_missing are permissions that the rules still do not grant (a patch for a command says
     nothing of the others), residual_command a command that they still do not allow."""
     closure, asked = policy.closure(), cases.withColumn("req", F.col("fp")).select("req", "src", "tgt", "cls", "perms", "ioctl_cmd")
-    added = parse_rules(rules.select(F.col("text").alias("statement")))
+    added = settle(parse_rules(settle(rules.select(F.col("text").alias("statement")))))  # joined several times
     only = (F.size("perms") == 1) & F.array_contains("perms", "ioctl") & F.col("ioctl_allowed").isNotNull()
     ok = F.when(only, F.col("ioctl_allowed")).otherwise(F.col("allowed"))
     before = answers(asked, policy, closure).select("req", ok.alias("before"))
