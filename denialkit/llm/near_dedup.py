@@ -17,8 +17,11 @@ from .ragged import U64, mix, pieces, shingles, words
 PERMUTATIONS, BAND, SKETCH = 64, 4, 8
 #: A pair goes on to the exact check if its sketches agree in this share of the values; at a true
 #: similarity of 0.75 that is 4.4 standard deviations below the mean. FINE: permutations of the
-#: longer sketch that nodes of buckets with several groups get, and the share there.
-AGREE, FINE, FINE_AGREE = 0.565, 192, 0.645
+#: sketch of single bits that nodes of buckets with several groups get, and the share there, as
+#: many deviations below: a bit a value tells similarities better than as many bits of fewer values.
+AGREE, FINE, FINE_AGREE = 0.565, 1536, 0.697
+#: Sets that are sketched at once, which bounds the values that are held.
+AT_ONCE = 256
 
 
 def minmax(rows: np.ndarray, hashes: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -59,13 +62,24 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>")
 
 
-def sketches_near(a: Column, b: Column, permutations: int = PERMUTATIONS, agree: float = AGREE) -> Column:
+def fine_sketch(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of the FINE smallest and largest values of the sets that start and end at
+    ``at``, none of them empty; a row of bytes for each set."""
+    out = np.empty((len(at) - 1, 2 * FINE // 8), np.uint8)
+    for i in range(0, len(out), AT_ONCE):
+        ends = at[i : i + AT_ONCE + 1]
+        rows = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        out[i : i + AT_ONCE] = np.packbits(mix(minmax(rows, hashes[ends[0] : ends[-1]], FINE)) >> U64(63) != 0, axis=1)
+    return out
+
+
+def sketches_near(a: Column, b: Column, permutations: int = PERMUTATIONS, agree: float = AGREE, bits: int = SKETCH) -> Column:
     """Whether enough values of two sketches (arrays of longs) are equal: of two different values
     half the bits differ, so the differing bits tell their number."""
     differ = F.bit_count(a[0].bitwiseXOR(b[0]))
-    for i in range(1, 2 * permutations * SKETCH // 64):
+    for i in range(1, 2 * permutations * bits // 64):
         differ = differ + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return differ <= int(2 * permutations * (1 - agree) * SKETCH / 2)
+    return differ <= int(2 * permutations * (1 - agree) * bits / 2)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -125,7 +139,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
                 known = np.concatenate([[0], np.cumsum(may_contain(shared.value, m, flat))])
                 at = at - at[0]
                 size = np.diff(at).astype(np.int64)
-                sketch = (mix(minmax(np.repeat(np.arange(len(size)), size), flat.view(U64), FINE)) >> U64(64 - SKETCH)).astype(np.uint8)
+                sketch = fine_sketch(at, flat.view(U64))
                 fine = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (sketch.shape[1] // 8), pa.int32()), pa.array(sketch.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(size), pa.array(known[at[1:]] - known[at[:-1]]), fine], names=["node", "size", "common", "fine"])
 
@@ -136,7 +150,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
     def possible(a: Column, b: Column, key: Column) -> Column:
         """Two sets have no more in common than either has with anything, an exact bound; a pair
         is looked at in the first of its common bands only."""
-        fits = linked(F.least(a["common"], b["common"]), a["size"], b["size"]) & sketches_near(a["fine"], b["fine"], FINE, FINE_AGREE)
+        fits = linked(F.least(a["common"], b["common"]), a["size"], b["size"]) & sketches_near(a["fine"], b["fine"], FINE, FINE_AGREE, bits=1)
         first = F.element_at(F.array_intersect(a["bands"], b["bands"]), 1)
         return F.coalesce(fits & (first == key), F.lit(True))
 

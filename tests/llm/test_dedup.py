@@ -2,8 +2,10 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from denialkit.llm.exact_dedup import exact_dedup
-from denialkit.llm.near_dedup import near_dedup
+from denialkit.llm.near_dedup import FINE, FINE_AGREE, fine_sketch, near_dedup
 
 from .fixtures import awkward, lower, near_copies, prose, table, words
 
@@ -63,3 +65,18 @@ def test_near_repeated_rows_null_ids_and_empty_table(spark):
     assert sorted((r.doc_id, r.component_id) for r in rows if r.doc_id is not None) == sorted([(0, 0), (1, 0), (2, 2), (3, 3)] * 2)
     assert all(r.kept for r in rows if r.doc_id is None)
     assert near_dedup(one.limit(0)).count() == 0
+
+
+def test_fine_sketch_tells_linked_sets_from_others():
+    rng, n = np.random.default_rng(8), 300
+    most = int(2 * FINE * (1 - FINE_AGREE) / 2)
+
+    def apart(common, own):
+        sets = [np.sort(rng.integers(0, 1 << 63, common + 2 * own).astype(np.uint64)) for _ in range(n)]
+        halves = [x for s in sets for p in [rng.permutation(s)] for x in (p[: common + own], np.concatenate([p[:common], p[common + own :]]))]
+        bits = np.unpackbits(fine_sketch(np.cumsum([0] + [len(x) for x in halves]), np.concatenate(halves)), axis=1)
+        return (bits[::2] != bits[1::2]).sum(1)
+
+    assert (apart(120, 20) <= most).all()  # 0.75
+    assert (apart(96, 32) > most).mean() > 0.95  # 0.6
+    assert (apart(1, 0) == 0).all()
