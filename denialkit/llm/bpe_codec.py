@@ -130,7 +130,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, ro
     decoded from those ids.
 
     Null and empty texts have no ids and decode to an empty text. Columns named ids or decoded are
-    replaced. Very long texts are encoded whole. Repeated rows are encoded each.
+    replaced. Very long texts are encoded whole. Repeated rows are encoded each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(lexicon if lexicon is not None else build_lexicon(docs, tokenizer))

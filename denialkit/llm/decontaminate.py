@@ -266,7 +266,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item's key terms allow, so that no leak depends on the weights. place is the first word of the
     compared region. Frequencies come from all documents; every item is looked
     for in every whole document, in blocks of 512 query passages. Null or empty texts and items
-    match nothing; repeated rows give repeated results; other columns are ignored.
+    match nothing; repeated rows give repeated results; other columns are ignored. Without documents
+    or without items there is no result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", fold(F.col("text")).alias("text"))

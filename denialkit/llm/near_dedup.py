@@ -102,6 +102,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, store: Stored | N
     checked on the full sets; component_id is the smallest doc_id reachable. Null texts and texts
     without words have empty sets and link with nothing. Rows that share a doc_id are one
     document; a row without doc_id links with nothing and stays. Other columns are ignored.
+    Very long texts are taken whole; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     store = store or Stored(spark)

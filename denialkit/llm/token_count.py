@@ -21,7 +21,7 @@ def token_count(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
 
     ``tokenizer`` is the path of a byte-level BPE ``.json`` file, on every executor. Special tokens'
     strings in a text count as one token each. Null and empty texts have no tokens. Repeated rows
-    and doc_ids are counted each; other columns are ignored.
+    and doc_ids are counted each; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches):

@@ -193,7 +193,7 @@ def toxicity_gbt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Da
     of each label outside the held-out fold (three quarters grow the trees, one calibrates them,
     weighted to the labels' shares among all training rows). Null and empty texts have zero
     features and get the score of such a text; without both labels every score is the share of
-    label 1. Repeated rows are scored each, other columns are ignored.
+    label 1. Repeated rows are scored each, other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     chosen, counts = labelled(docs, labels, "toxic", FOLD, HELD_OUT, sample)

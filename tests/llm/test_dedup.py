@@ -67,6 +67,12 @@ def test_near_repeated_rows_null_ids_and_empty_table(spark):
     assert near_dedup(one.limit(0)).count() == 0
 
 
+def test_near_long_texts_with_an_empty_one_between(spark):
+    long = " ".join(f"w{i}" for i in range(100_000))
+    rows = near_dedup(table(spark, [long, "", long + " end", long[: len(long) // 2]]).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (2, 0, False), (3, 3, True)]
+
+
 def test_fine_sketch_tells_linked_sets_from_others():
     rng, n = np.random.default_rng(8), 300
     most = int(2 * FINE * (1 - FINE_AGREE) / 2)
