@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import LINE_BREAK, WS, strip
+
 #: Stands for a line break that a backslash takes away, while marks are looked for; a Unicode noncharacter.
 GLUE = "﷐"
 #: Marks open a record, whatever white space, line breaks too, stands inside them.
@@ -49,6 +53,17 @@ def runs(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
                 yield (part["file"].iat[0], int(part["block"].iat[0])), part
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The same of Arrow batches."""
+    for b in batches:
+        if b.num_rows:
+            file, block = b.column("file").dictionary_encode(), b.column("block").to_numpy()
+            code = file.indices.to_numpy()
+            edge = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in zip(edge, edge[1:]):
+                yield (file.dictionary[int(code[i])].as_py(), int(block[i])), b.slice(i, j - i)
+
+
 def _bounds(text: str, start: int) -> list[int]:
     """Where the lines begin on which marks start; joined lines are one."""
     view = text.replace("\\\n", f" {GLUE}")
@@ -123,35 +138,38 @@ def records(lines: DataFrame) -> DataFrame:
     return cuts.where("not edge").unionByName(ends).select("file", "block", "line", "text")
 
 
-def line_states(lines: DataFrame, opening: str, closing: tuple[str, ...]) -> dict[tuple[str, int], tuple[bool, int]]:
-    """For each split of lines (file, block, pos, line): whether it begins inside a wrapper, and the
-    lines of its file that stand before it.
+def line_states(lines: DataFrame, opening: str, closing: tuple[str, ...]) -> list[Row]:
+    """(file, hash, block, inside, lines) of each split of lines (file, block, pos, line): whether it begins
+    inside a wrapper, and the lines of its file that stand before it.
 
     A line tells whether the next ones are inside, whatever stood before: an opening one says yes, a
     closing one no. So a split's summary is its last such line and its count of lines, summaries
     join from left to right, and there is one for each split, which the driver has planned itself.
     """
-
-    def sum_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (file, block), part in runs(parts):
-            told = wrapper_marks(physical(part["line"]), opening, closing)
-            yield pd.DataFrame({"file": [file], "block": [block], "pos": [part["pos"].iat[0]], "n": [len(told)], "last": [told.dropna().iat[-1] if told.notna().any() else None]})
-
-    each = lines.select("file", "block", "pos", "line").mapInPandas(sum_up, "file string, block bigint, pos bigint, n bigint, last double")
+    opens = "(?U)^(" + opening.replace(r"\s", WS) + r")\z"
+    mark = lambda x: F.when(strip(x).isin(*closing), 0).when(F.contains(x, F.lit("(")) & strip(x).rlike(opens), 1)
+    many, pieces = F.col("line").rlike(LINE_BREAK), F.split("line", LINE_BREAK)
+    ended = F.element_at(pieces, -1) == ""  # a break at the end begins no line
+    n = F.when(many, F.greatest(F.size(pieces) - ended.cast("int"), F.lit(1))).otherwise(1)
+    last = F.when(many, F.try_element_at(F.filter(F.transform(pieces, mark), lambda m: m.isNotNull()), F.lit(-1))).otherwise(mark(F.col("line")))
+    each = lines.select("file", "block", "pos", n.alias("n"), last.alias("last"))
     split = each.groupBy("file", "block").agg(F.sum("n").alias("n"), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("pos"))).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     told = split.select("file", "block", F.coalesce(F.last("last", ignorenulls=True).over(before) > 0, F.lit(False)).alias("inside"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
-    return {(r.file, r.block): (r.inside, r.lines) for r in told.collect()}
+    return told.withColumn("hash", F.xxhash64("file")).collect()
+
+
+_BREAK = re.compile(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
 
-def physical(lines: pd.Series) -> pd.Series:
+def physical(lines: list[str]) -> list[str]:
     """The lines as all line breaks of Unicode cut them, without the white space around them."""
-    many = lines.str.contains(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", regex=True)
-    if many.any():
-        lines = lines.where(~many, lines.map(lambda x: x.splitlines() or [""])).explode()
-    return lines.str.strip()
+    if _BREAK.search("\n".join(lines)):
+        lines = [x for line in lines for x in line.splitlines() or [""]]
+    return [x.strip() for x in lines]
 
 
-def wrapper_marks(lines: pd.Series, opening: str, closing: tuple[str, ...]) -> pd.Series:
-    """1 for a line that opens a wrapper, 0 for one that closes it, nothing for others."""
-    return lines.str.fullmatch(opening).map({True: 1.0}).where(~lines.isin(closing), 0.0)
+def wrapper_mark(opening: str, closing: tuple[str, ...]) -> Callable[[str], float | None]:
+    """Tells 1 of a line that opens a wrapper, 0 of one that closes it, nothing of others."""
+    opens, closes = re.compile(opening).fullmatch, frozenset(closing)
+    return lambda line: 0.0 if line in closes else 1.0 if opens(line) else None
