@@ -17,13 +17,23 @@ MLS_LEVEL = r"^s[0-9]+(\.c[0-9]+(-c[0-9]+)?)?$"
 PLACEHOLDERS = ("default_service", "default_hdf_service")
 
 
+#: The characters of WS under (?U).
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def split_at(text: Column, pattern: str) -> Column:
+    """The pieces between matches; unlike those of ``split``, patterns of ``regexp_replace`` are compiled
+    once. A piece holds no blank."""
+    return F.split(F.regexp_replace(text, pattern, " "), " ")
 
 
 def split_words(text: Column) -> Column:
     """Non-empty words between runs of white space."""
-    return F.filter(F.split(text, rf"(?U){WS}+"), lambda w: w != "")
+    return F.filter(split_at(text, rf"(?U){WS}+"), lambda w: w != "")
 
 
 def unquote(value: Column) -> Column:
@@ -46,28 +56,37 @@ def with_assignments(df: DataFrame, block: str, to: str) -> DataFrame:
     for sign, stand_in in HIDDEN.items():
         text = F.replace(text, F.lit(sign), F.lit(stand_in))
     # each step is a column, so that lambdas read it instead of computing it again
-    df = df.withColumn("_parts", F.split(F.regexp_replace(text, f"(?U){WS}*={WS}*", "="), '"'))
+    tight = F.array_join(F.transform(F.split(text, "="), strip), "=")
+    df = df.withColumn("_parts", F.split(tight, '"'))
     n, open_ = F.size("_parts"), F.concat(F.element_at("_parts", -2), F.lit('"'), F.element_at("_parts", -1))
     df = df.withColumn("_parts", F.when(n % 2 == 0, F.concat(F.slice("_parts", F.lit(1), n - 2), F.array(open_))).otherwise(F.col("_parts")))  # a quote that nothing closes is a sign like others
-    df = df.withColumn("_loose", F.transform("_parts", lambda x: F.filter(F.split(x, r"(?U)[,\s\x1c-\x1f]+"), lambda w: F.contains(w, F.lit("=")))))
+    df = df.withColumn("_loose", F.transform("_parts", lambda x: F.filter(split_at(x, r"(?U)[,\s\x1c-\x1f]+"), lambda w: F.contains(w, F.lit("=")))))
     held = lambda i: (i % 2 == 1) & F.get("_parts", i - 1).endswith("=")
     whole = lambda x, i: F.array(F.concat(F.element_at(F.get("_loose", i - 1), -1), F.lit('"'), F.get("_parts", i), F.lit('"')))
     df = df.withColumn("_words", F.flatten(F.transform("_loose", lambda x, i: F.when(held(i), whole(x, i)).otherwise(x))))
+    assigns = f"({'|'.join(KEYS)})=(?s:(.+))"
 
     def pair(word: Column) -> Column:
-        key = F.regexp_extract(word, f"({'|'.join(KEYS)})=", 1)
-        value = F.when(key != "", F.substring(word, F.instr(word, F.concat(key, F.lit("="))) + F.length(key) + 1, F.length(word)))
+        """Most words begin with a key; lambdas compute whatever they name again, so the pattern is for the others."""
+        head = F.substring_index(word, "=", 1)
+        told = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+        plain = told(head, F.substring(word, F.length(head) + 2, F.length(word)))
+        return F.when(head.isin(*KEYS), plain).otherwise(told(F.regexp_extract(word, assigns, 1), F.regexp_extract(word, assigns, 2)))
+
+    def shown(p: Column) -> Column:
+        value = p["value"]
         for sign, stand_in in HIDDEN.items():
             value = F.replace(value, F.lit(stand_in), F.lit(sign))
-        return F.struct(key.alias("key"), value.alias("value"))
+        return F.struct(p["key"].alias("key"), value.alias("value"))
 
-    return df.withColumn(to, F.filter(F.transform("_words", pair), lambda p: p["value"] != "")).drop("_parts", "_loose", "_words")
+    pairs = F.filter(F.transform("_words", pair), lambda p: (p["key"] != "") & (p["value"] != ""))
+    return df.withColumn(to, F.transform(pairs, shown)).drop("_parts", "_loose", "_words")
 
 
 def denied_permissions(block: Column) -> Column:
     """The words in the first braces that follow ``denied`` at once and are closed again."""
-    behind = F.get(F.split(block, rf"(?iU)\bdenied{WS}*\{{", 2), F.lit(1))
-    return F.coalesce(F.when(F.contains(behind, F.lit("}")), split_words(F.substring_index(behind, "}", 1))), F.array().cast("array<string>"))
+    inside = F.regexp_extract(block, rf"(?iU)\bdenied{WS}*\{{([^}}]*)\}}", 1)
+    return F.coalesce(split_words(inside), F.array().cast("array<string>"))
 
 
 def context_type(context: Column) -> Column:

@@ -95,7 +95,13 @@ def as_lines(columns: DataFrame) -> DataFrame:
 
 def syn_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SYN-A as parsed from its own log lines."""
-    return parse_events(syn_a_lines(spark, sf_dir), "line").drop("line")
+    return parse_events(as_lines(spread(syn_a_columns(spark, sf_dir))), "line").drop("line")
+
+
+def spread(narrow: DataFrame) -> DataFrame:
+    """The rows over all cores: a packed table makes few splits, and parsing costs far more than moving its short rows."""
+    spark = narrow.sparkSession
+    return narrow.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def syn_b_policy(spark: SparkSession, sf_dir: str) -> Policy:

@@ -61,7 +61,8 @@ def parse_events(df: DataFrame, block: str = "block") -> DataFrame:
     df = with_assignments(df, block, "_pairs")
 
     def first(key: str) -> Column:
-        return unquote(F.get(F.filter("_pairs", lambda p: p["key"] == key), F.lit(0))["value"])
+        # a field names this several times; without a lambda Spark computes it once
+        return unquote(F.get(F.col("_pairs.value"), (F.array_position(F.col("_pairs.key"), key) - 1).cast("int")))
 
     pid, permissive = first("pid"), first("permissive")
     out = {
