@@ -196,12 +196,13 @@ pair AS (SELECT *, seq % 7 AS k, CASE seq % 7 WHEN 1 THEN 'other_domain' WHEN 6
 def golden_pairs(spark, sf_dir) -> DataFrame:
     """Golden pairs of rule files made from SYN-A, ten pairs to a file, both layouts in turn."""
     c, k = sample.syn_a_columns(spark, sf_dir), F.col("seq") % 7
-    lines = sample.as_lines(c).withColumn("line", F.concat(F.lit("# "), "line"))
+    line = F.concat(F.lit("# "), sample.as_line())
     src, tgt = F.when(k == 1, "other_domain").when(k == 6, "app_domain").otherwise(F.coalesce("src", F.lit("ghost_domain"))), F.when(k == 4, "other_file").otherwise(F.col("tgt"))
     perms = F.when(k == 3, "lock").when(k == 5, F.col("perms")[0]).otherwise(F.array_join("perms", " "))
-    rules = c.select("seq", F.format_string("allow %s %s:%s { %s };", src, tgt, F.when(k == 2, "other_class").otherwise(F.col("cls")), perms).alias("rule"))
-    both = lines.join(rules, "seq").withColumn("text", F.when(F.col("seq") % 2 == 0, F.concat_ws("\n", "line", "rule")).otherwise(F.concat_ws("\n\n", "rule", "line")))
-    files = both.groupBy(F.floor(F.col("seq") / 10).cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", F.concat("text", F.lit("\ntype one;\n")).alias("t"))))["t"], "").alias("text"))
+    rule = F.format_string("allow %s %s:%s { %s };", src, tgt, F.when(k == 2, "other_class").otherwise(F.col("cls")), perms)
+    both = sample.spread(c.withColumn("file", F.floor(F.col("seq") / 10).cast("string")), "file").select("file", "seq", line.alias("line"), rule.alias("rule"))
+    both = both.withColumn("text", F.when(F.col("seq") % 2 == 0, F.concat_ws("\n", "line", "rule")).otherwise(F.concat_ws("\n\n", "rule", "line")))
+    files = both.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", F.concat("text", F.lit("\ntype one;\n")).alias("t"))))["t"], "").alias("text"))
     return golden.extract(files)
 
 

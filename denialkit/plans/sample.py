@@ -3,11 +3,12 @@ a large policy whose types are suppliers and parts. The SYN-A text is valid in S
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.denials import parse_events, render_line
 from ..sources.policy import Policy, parse_policy
+from ..sources.scratch import spread
 
 POLICY_TEXT = """
 # small policy for checks
@@ -90,7 +91,11 @@ def syn_a_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_lines(columns: DataFrame) -> DataFrame:
-    return columns.select("seq", render_line(*map(F.col, ("src", "tgt", "cls", "perms", "permissive", "ioctl_cmd", "service"))).alias("line"))
+    return columns.select("seq", as_line().alias("line"))
+
+
+def as_line() -> Column:
+    return render_line(*map(F.col, ("src", "tgt", "cls", "perms", "permissive", "ioctl_cmd", "service")))
 
 
 def syn_a(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +103,6 @@ def syn_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_events(as_lines(spread(syn_a_columns(spark, sf_dir))), "line").drop("line")
 
 
-def spread(narrow: DataFrame) -> DataFrame:
-    """The rows over all cores: a packed table makes few splits, and parsing costs far more than moving its short rows."""
-    spark = narrow.sparkSession
-    return narrow.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def syn_b_policy(spark: SparkSession, sf_dir: str) -> Policy:
     """Suppliers below nations below regions, parts below brands; rules from lineitem."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "supplier", "part", "nation", "region")}

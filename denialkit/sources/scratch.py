@@ -1,11 +1,11 @@
-"""Folders for what a job writes and reads again."""
+"""Folders for what a job writes and reads again, and rows dealt to all cores."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(narrow: DataFrame, *by: str) -> DataFrame:
+    """The rows over all cores, before work that costs far more than moving them: a packed table makes
+    few splits, and text that compresses well would be put together to few tasks of many rows."""
+    spark = narrow.sparkSession
+    return narrow.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
