@@ -44,17 +44,8 @@ def text_lines(texts: DataFrame) -> DataFrame:
     return rows.select("file", "block", F.posexplode("lines").alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def runs(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Stretches of rows of one split, as they stream by."""
-    for pdf in parts:
-        if len(pdf):
-            edge = (pdf["file"] != pdf["file"].shift()) | (pdf["block"] != pdf["block"].shift())
-            for _, part in pdf.groupby(edge.cumsum(), sort=False):
-                yield (part["file"].iat[0], int(part["block"].iat[0])), part
-
-
 def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """The same of Arrow batches."""
+    """Stretches of rows of one split, as they stream by."""
     for b in batches:
         if b.num_rows:
             file, block = b.column("file").dictionary_encode(), b.column("block").to_numpy()
@@ -103,25 +94,32 @@ def records(lines: DataFrame) -> DataFrame:
     """
     schema = "file string, block bigint, line bigint, text string, edge boolean"
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, _Records()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, _Records(), []
 
-        def rows(last: bool) -> pd.DataFrame:
-            out = [(*key, max(n, 0), t, n < 0) for n, t in held.whole]
+        def take(last: bool) -> None:
+            out.extend((*key, max(n, 0), t, n < 0) for n, t in held.whole)
             held.whole = []
             if last:
                 out.append((*key, held.line, held.text, True))
-            return pd.DataFrame(out, columns=["file", "block", "line", "text", "edge"])
 
-        for now, part in runs(parts):
+        def rows() -> pa.RecordBatch:
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["file", "block", "line", "text", "edge"])
+
+        for now, part in stretches(batches):
             if key is not None and now != key:
-                yield rows(True)
+                take(True)
                 held = _Records()
             key = now
-            held.add("\n".join(part["line"]) + "\n")
-            yield rows(False)
+            held.add("\n".join(part.column("line").to_pylist()) + "\n")
+            take(False)
+            if sum(len(r[3]) for r in out[-64:]) > 1 << 20 or len(out) >= 1024:
+                yield rows()
+                out.clear()
         if key is not None:
-            yield rows(True)
+            take(True)
+            yield rows()
 
     def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "line"], kind="stable")
@@ -133,8 +131,10 @@ def records(lines: DataFrame) -> DataFrame:
             out.append((pdf["file"].iat[0], pdf["block"].iat[i], pdf["line"].iat[i] + text.count("\n", starts[i], a), text[a:b], False))
         return pd.DataFrame(out, columns=["file", "block", "line", "text", "edge"])
 
-    cuts = lines.select("file", "block", "line").mapInPandas(cut, schema)  # read twice, so that whole records need no shuffle
-    ends = cuts.where("edge").groupBy("file").applyInPandas(stitch, schema)
+    cuts = lines.select("file", "block", "line").mapInArrow(cut, schema)  # read twice, so that whole records need no shuffle
+    # where no piece of a file holds a mark's first word there is nothing to put together
+    some = F.max(F.contains(F.lower("text"), F.lit("avc"))).over(Window.partitionBy("file"))
+    ends = cuts.where("edge").withColumn("_some", some).where("_some").drop("_some").groupBy("file").applyInPandas(stitch, schema)
     return cuts.where("not edge").unionByName(ends).select("file", "block", "line", "text")
 
 

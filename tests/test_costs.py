@@ -7,7 +7,7 @@ from denialkit.functions.text import BLANKS, strip, with_assignments
 from denialkit.plans import sample
 from denialkit.sources.denials import parse_events
 from denialkit.sources.policy import parse_policy, parse_rules
-from denialkit.sources.splits import line_states, read_lines
+from denialkit.sources.splits import line_states, read_lines, records, text_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +55,11 @@ def test_states_of_splits_with_other_line_breaks(spark, tmp_path, size):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(map(tuple, rules)) == [(1, "allow a b:c d;"), (3, "allow e f:g h;"), (7, "allow i j:k l;")]
     assert min(r.lines for r in states) == 0 and not min(states, key=lambda r: r.block).inside
+
+
+def test_files_without_a_mark_are_not_put_together(spark):
+    """Only pieces of files that hold a mark's first word somewhere go to Python by file; a mark may reach over pieces."""
+    texts = spark.createDataFrame([("a", "x\ny"), ("b", "AVC:"), ("b", " denied { read }\nz"), ("c", "avc: denied 1\navc: denied 2")], "file string, text string").coalesce(1)
+    found = records(text_lines(texts))
+    assert "_some" in found._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.file, r.text.strip()) for r in found.collect()) == [("b", "AVC:\n denied { read }\nz"), ("c", "avc: denied 1"), ("c", "avc: denied 2")]
