@@ -68,10 +68,11 @@ def rule_hits(requests: DataFrame, policy: Policy, closure: DataFrame) -> DataFr
     own = lambda side: F.when(F.col(f"{side}_star"), F.array(F.lit(STAR))).otherwise(F.col(side))
     rules = policy.rules.select(*shown, "cls", own("src").alias("r_src"), own("tgt").alias("r_tgt"), F.col("src_neg").alias("r_src_neg"), F.col("tgt_neg").alias("r_tgt_neg"))
     used = {side: rules.select("cls", F.explode(f"r_{side}").alias("token")).distinct() for side in ("src", "tgt")}
-    # stars of a class count only where a rule of the class has them
+    # stars of a class count only where a rule of the class has them. Classes are few and their requests many: a
+    # shuffle by class would put all requests of a class into one task, so the classes are broadcast
     has = lambda side, name: F.bool_or(F.array_contains(f"r_{side}", STAR)).alias(name)
     stars = rules.groupBy("cls").agg(has("src", "src_any"), has("tgt", "tgt_any"))
-    asked = with_useful_tokens(requests.select("req", "src", "tgt", "cls").join(stars, "cls"), closure, used).withColumn("number", F.monotonically_increasing_id())
+    asked = with_useful_tokens(requests.select("req", "src", "tgt", "cls").join(F.broadcast(stars), "cls"), closure, used).withColumn("number", F.monotonically_increasing_id())
     asked = settle(asked)
     wide = lambda side: F.when(F.col(f"{side}_any"), F.concat(f"{side}_useful", F.array(F.lit(STAR)))).otherwise(F.col(f"{side}_useful"))
     keys = asked.select("number", F.explode(token_keys(F.col("cls"), wide("src"), wide("tgt"))).alias("key"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from denialkit.functions.text import BLANKS, strip, with_assignments
-from denialkit.plans import sample
+from denialkit.plans import access, sample
 from denialkit.sources.denials import parse_events
 from denialkit.sources.policy import parse_policy, parse_rules
 from denialkit.sources.splits import line_states, read_lines, records, text_lines
@@ -63,3 +63,16 @@ def test_files_without_a_mark_are_not_put_together(spark):
     found = records(text_lines(texts))
     assert "_some" in found._jdf.queryExecution().analyzed().toString()
     assert sorted((r.file, r.text.strip()) for r in found.collect()) == [("b", "AVC:\n denied { read }\nz"), ("c", "avc: denied 1"), ("c", "avc: denied 2")]
+
+
+def test_requests_do_not_shuffle_by_class(spark, monkeypatch):
+    """A class holds a large share of all requests: what a class's rules have comes to them by broadcast, however small tables must be for that."""
+    plans = []
+    monkeypatch.setattr(access, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    policy = sample.syn_b_policy(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        access.rule_hits(sample.syn_b_requests(spark, SF), policy, policy.edges.selectExpr("child as name", "parent as token"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and all("BroadcastHashJoin [cls" in p for p in plans)
