@@ -105,7 +105,9 @@ def board_at_scale(spark, sf_dir) -> Board:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "nation", "part")}
     members = sample.syn_b_policy(spark, sf_dir).edges.distinct().select(F.concat(F.lit("(typeattributeset "), "parent", F.lit(" ("), "child", F.lit("))")).alias("line"))
     perms = F.when(F.col("l_returnflag") == "A", "read open").when(F.col("l_returnflag") == "N", "write").otherwise("ioctl")
-    own = t["lineitem"].select(F.format_string("(allow supp_%d part_%d (%s (%s)))", "l_suppkey", "l_partkey", F.when(F.col("l_linestatus") == "O", "file").otherwise("dir"), perms).alias("line")).distinct()
+    cls = F.when(F.col("l_linestatus") == "O", "file").otherwise("dir")
+    distinct = t["lineitem"].select("l_suppkey", "l_partkey", cls.alias("cls"), perms.alias("perms")).distinct()  # before they become text
+    own = distinct.select(F.concat(F.lit("(allow supp_"), "l_suppkey", F.lit(" part_"), "l_partkey", F.lit(" ("), "cls", F.lit(" ("), "perms", F.lit(")))")).alias("line"))
     brand = t["part"].where("p_brand like '%1'").select(F.concat(F.lit("brand_"), F.regexp_replace("p_brand", "[^A-Za-z0-9_]", "")).alias("b")).distinct()
     wide = t["nation"].where("n_nationkey % 5 = 0").crossJoin(F.broadcast(brand))  # nations and brands are fixed, small dimensions
     return parse_cil(settle(members.union(own).union(wide.select(F.format_string("(allow nation_%d %s (file (getattr write)))", "n_nationkey", "b")))))

@@ -48,7 +48,7 @@ def with_useful_tokens(requests: DataFrame, closure: DataFrame, used: dict[str,
         every = own.unionByName(names.join(closure.withColumnRenamed("name", "ident"), "ident").select("cls", "ident", "token")).distinct()
         known = used[side].withColumn("known", F.lit(True))
         found = every.join(known, ["cls", "token"], "left").groupBy("cls", "ident").agg(
-            F.array_sort(F.collect_list("token")).alias(f"{side}_tokens"), F.array_sort(F.collect_list(F.when(F.col("known"), F.col("token")))).alias(f"{side}_useful"))
+            F.sort_array(F.collect_list("token")).alias(f"{side}_tokens"), F.sort_array(F.collect_list(F.when(F.col("known"), F.col("token")))).alias(f"{side}_useful"))
         found = found.withColumnsRenamed({"cls": "_cls"})
         requests = requests.join(found, (requests[side] == found["ident"]) & (requests["cls"] == found["_cls"]), "left").drop("ident", "_cls")
         empty = F.array().cast("array<string>")

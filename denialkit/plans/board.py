@@ -27,10 +27,14 @@ def board_hits(requests: DataFrame, keys: DataFrame, board: Board) -> DataFrame:
 def board_answers(requests: DataFrame, board: Board) -> DataFrame:
     """Adds to (req, src, tgt, cls, perms): board_granted, the union over all keys that answer, and
     satisfied, whether one key alone grants everything. An empty request is satisfied."""
-    hits = board_hits(requests, board.allows.withColumnRenamed("perms", "given"), board).join(requests.select("req", F.col("perms").alias("asked")), "req")
-    told = hits.groupBy("req").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("given")))).alias("board_granted"), F.bool_or(F.size(F.array_except("asked", "given")) == 0).alias("one"))
-    out = requests.join(told, "req", "left")
-    return out.withColumns({"board_granted": F.coalesce("board_granted", F.array().cast("array<string>")), "satisfied": F.coalesce("one", F.lit(False)) | (F.size("perms") == 0)}).drop("one")
+    keys = settle(board.allows.withColumnRenamed("perms", "given"))  # its tokens and its rows are read
+    rows = settle(requests.withColumn("_row", F.monotonically_increasing_id()))  # numbers meet and sort faster than texts
+    hits = board_hits(rows.select(F.col("_row").alias("req"), "src", "tgt", "cls"), keys, board)
+    told = hits.groupBy(F.col("req").alias("_row")).agg(F.collect_set("given").alias("_given"))
+    each = F.coalesce("_given", F.array().cast("array<array<string>>"))
+    one = F.coalesce(F.exists(each, lambda given: F.size(F.array_except("perms", given)) == 0), F.lit(False))
+    out = rows.join(told, "_row", "left").withColumns({"board_granted": F.sort_array(F.array_distinct(F.flatten(each))), "satisfied": one | (F.size("perms") == 0)})
+    return out.drop("_row", "_given")
 
 
 def board_commands(requests: DataFrame, board: Board) -> DataFrame:

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def words(column):
-    return F.array_join(F.array_sort(column), " ")
+    return F.array_join(F.sort_array(column), " ")
 
 
 #: Distinct accesses of SYN-A with the first record of each.

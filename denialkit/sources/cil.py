@@ -55,13 +55,15 @@ def _intervals(found: Column) -> Column:
 def parse_cil(lines: DataFrame) -> Board:
     """The board of CIL lines (line), one statement each. Rows of one access key are united. Set
     expressions (nested lists) name no members of their own."""
-    read = lines.select(_tokens(F.col("line")).alias("t")).where("size(t) > 3 and t[0] = '('").withColumn("w", F.filter("t", lambda x: ~x.isin("(", ")")))
+    # generators' outputs: filters on them are not moved below, where each mention would find the tokens again
+    cut = lambda some: some.select(F.explode(F.array(_tokens(F.col("line")))).alias("t")).where("size(t) > 3 and t[0] = '('").select(
+        "t", F.explode(F.array(F.array_remove(F.array_remove("t", "("), ")"))).alias("w"))
     token, word = lambda i: F.get("t", F.lit(i)), lambda i: F.get("w", F.lit(i))
     rest = lambda i: F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0)))
-    of = lambda kind: read.where(word(0) == kind)
-    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    of = lambda kind: cut(lines.where(F.col("line").contains(kind))).where(word(0) == kind)
+    united = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
     kind = F.coalesce(*[F.when(word(0) == k, F.lit(v)) for k, v in SYMBOLS.items()])
-    symbols = read.where(word(0).isin("class", "typepermissive") | (word(0).isin("type", "typeattribute") & (F.size("w") == 2))).select(kind.alias("kind"), word(1).alias("name")).distinct()
+    symbols = cut(lines).where(word(0).isin("class", "typepermissive") | (word(0).isin("type", "typeattribute") & (F.size("w") == 2))).select(kind.alias("kind"), word(1).alias("name")).distinct()
     listed = lambda k: of(k).where(token(3) == "(").select(word(1).alias("key"), rest(2).alias("names"))
     own = listed("class").groupBy(F.col("key").alias("cls")).agg(united("names").alias("own"))
     common = listed("common").groupBy(F.col("key").alias("common")).agg(united("names").alias("inherited"))

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from denialkit.functions.text import BLANKS, strip, with_assignments
-from denialkit.plans import access, sample
+from denialkit.plans import access, board, sample
+from denialkit.sources.cil import parse_cil
 from denialkit.sources.denials import parse_events
 from denialkit.sources.policy import parse_policy, parse_rules
 from denialkit.sources.splits import line_states, read_lines, records, text_lines
@@ -76,3 +77,21 @@ def test_requests_do_not_shuffle_by_class(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plans and all("BroadcastHashJoin [cls" in p for p in plans)
+
+
+def test_a_board_line_is_cut_into_tokens_once(spark):
+    b = parse_cil(spark.createDataFrame([("(allow a b (c (e d)))",), ("( (allow a x (c (d))))",), ("(allow a b (c (e)))",), (None,), ("(typeattributeset q (a b))",)], "line string"))
+    assert times(b.allows, "regexp_extract_all(") == 1 and times(b.edges, "regexp_extract_all(") == 1
+    assert [(r.src, r.tgt, r.cls, r.perms) for r in b.allows.collect()] == [("a", "b", "c", ["d", "e"])]
+    assert sorted(map(tuple, b.edges.collect())) == [("a", "q"), ("b", "q")]
+
+
+def test_board_answers_from_several_keys(spark):
+    """What is granted is the union over keys, what is satisfied is so by one key; requests meet keys by number."""
+    lines = ["(typeattributeset q (a))", "(allow a b (c (read)))", "(allow q b (c (write open)))"]
+    rows = [("1", "a", "b", "c", ["write", "read"]), ("2", "a", "b", "c", ["open", "write"]), ("3", "z", "b", "c", ["read"]), ("4", None, "b", "c", []), ("5", "a", "b", "c", None)]
+    asked = spark.createDataFrame(rows, "req string, src string, tgt string, cls string, perms array<string>")
+    told = board.board_answers(asked, parse_cil(spark.createDataFrame([(x,) for x in lines], "line string")))
+    assert told.columns == ["req", "src", "tgt", "cls", "perms", "board_granted", "satisfied"]
+    every = ["open", "read", "write"]
+    assert [(r.req, r.board_granted, bool(r.satisfied)) for r in told.orderBy("req").collect()] == [("1", every, False), ("2", every, True), ("3", [], False), ("4", [], True), ("5", every, False)]
