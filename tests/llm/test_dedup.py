@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 
+from denialkit.llm.common import Stored
 from denialkit.llm.exact_dedup import exact_dedup
+from denialkit.llm.linking import components
 from denialkit.llm.near_dedup import FINE, FINE_AGREE, fine_sketch, near_dedup
 
 from .fixtures import awkward, lower, near_copies, prose, table, words
@@ -86,3 +88,20 @@ def test_fine_sketch_tells_linked_sets_from_others():
     assert (apart(120, 20) <= most).all()  # 0.75
     assert (apart(96, 32) > most).mean() > 0.95  # 0.6
     assert (apart(1, 0) == 0).all()
+
+
+def test_components_take_few_jobs(spark):
+    """Each job's exchanges hold threads and memory of the driver for a while."""
+    edges = [(i, i + 1 + i % 7) for i in range(3000)]
+    smallest = list(range(3007))
+    for _ in range(2):  # edges lead upwards, so a second pass carries what the first left
+        for a, b in [*edges, *edges[::-1]]:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        got = {tuple(r) for r in components(Stored(spark), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(i, smallest[i]) for i in {x for e in edges for x in e}}
+    assert jobs <= 40
