@@ -30,9 +30,9 @@ SHORTEST, SHORT, TWICE, HASHED = 9, 21, 18, 20
 SMALL = 1_000_000
 
 
-def normal_words(line: Column) -> Column:
-    """The lower-cased runs of letters and digits of a line."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+def normal(line: Column) -> Column:
+    """The lower-cased runs of letters and digits of a line, joined by one space."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
 def used(lanes: int) -> list[int]:
@@ -129,7 +129,7 @@ def near(a: Column, b: Column) -> Column:
 def normal_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (hash of the text), place, norm and its key of each line that isn't blank."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("place", "line"))
-    rows = rows.select("doc_id", "row", "place", F.array_join(normal_words(F.col("line")), " ").alias("norm")).where("norm <> ''")
+    rows = rows.select("doc_id", "row", "place", normal(F.col("line")).alias("norm")).where("norm <> ''")
     return rows.select("doc_id", "row", "place", "norm", F.xxhash64("norm", F.length("norm")).alias("text_key"))
 
 
@@ -155,8 +155,8 @@ def line_groups(docs: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Fetches the two normal forms of each pair and compares them."""
-        ends = [pairs.select(F.col(c).alias("text_key")).distinct() for c in ("a", "b")]
-        wanted = store.put("wanted", texts.join(ends[0].union(ends[1]).distinct(), "text_key").select("id"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+        wanted = store.put("wanted", texts.join(ends, "text_key").select("id"))
         small = F.broadcast if wanted.count() <= SMALL else (lambda x: x)
         found = store.put("norms", lines.join(small(wanted), "id").select(F.col("text_key").alias("k"), "norm"))
         both = pairs.join(found.select(F.col("k").alias("a"), F.col("norm").alias("x")), "a").join(found.select(F.col("k").alias("b"), F.col("norm").alias("y")), "b")

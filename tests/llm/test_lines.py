@@ -5,7 +5,7 @@ from functools import lru_cache
 
 import xxhash
 
-from denialkit.llm.line_dedup import line_dedup, with_simhash
+from denialkit.llm.line_dedup import line_dedup, normal_lines, with_simhash
 
 from .fixtures import awkward, prose, table
 
@@ -150,3 +150,11 @@ def test_empty_and_repeated(spark):
     one = table(spark, ["a line of more than twenty characters\nb", None])
     assert line_dedup(one.limit(0)).count() == 0
     assert sorted(r.n_removed for r in line_dedup(one.union(one)).collect()) == [0, 0, 0, 0]
+
+
+def test_normal_forms_make_no_array_of_words(spark):
+    """Every line goes through this step."""
+    lines = ["", " ", "Ab,c  D", "..x--Y9..", "na\u00efve \u6771\u4eac!", "\ttab\u00a0nbsp\r", "___", "a"]
+    found = normal_lines(table(spark, ["\n".join(lines)]))
+    assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.place: r.norm for r in found.collect()} == {i: n for i, x in enumerate(lines) if (n := normal(x))}
