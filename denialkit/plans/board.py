@@ -1,40 +1,37 @@
-"""What a compiled policy grants: the same token joins as for rules, over access keys."""
+"""What a compiled policy grants: met as rules are, by names and by profiles, over access keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.cil import Board
-from .access import token_key, token_keys, with_useful_tokens
+from .access import STAR, attach
 from .closure import ancestors, settle
 from .ranges import held
 
 
+def _with_keys_hit(requests: DataFrame, keys: DataFrame, board: Board, hit: Column) -> DataFrame:
+    """Adds to requests (src, tgt, cls, ...) the list ``hits`` of the keys (src, tgt, cls, ...; each
+    once) that answer each."""
+    none, known = F.array().cast("array<string>"), keys.where((F.col("src") != STAR) & (F.col("tgt") != STAR))  # no name in a compiled policy
+    rules = known.select("cls", F.array("src").alias("r_src"), F.array("tgt").alias("r_tgt"), none.alias("r_src_neg"), none.alias("r_tgt_neg"), hit.alias("hit"))
+    return attach(requests, rules, ancestors(board.edges), single=True)
+
+
 def board_hits(requests: DataFrame, keys: DataFrame, board: Board) -> DataFrame:
-    """Rows of ``keys`` (src, tgt, cls, ...) that answer each request (req, src, tgt, cls), through
-    memberships on both sides."""
-    used = {side: keys.select("cls", F.col(side).alias("token")).distinct() for side in ("src", "tgt")}
-    asked = with_useful_tokens(requests.select("req", "src", "tgt", "cls"), ancestors(board.edges), used)
-    asked = settle(asked.select("req", "cls", "src_useful", "tgt_useful", F.monotonically_increasing_id().alias("number")).where("size(src_useful) > 0 and size(tgt_useful) > 0"))
-    pairs = asked.select("number", F.explode(token_keys(F.col("cls"), F.col("src_useful"), F.col("tgt_useful"))).alias("key"))
-    met = pairs.join(keys.withColumn("key", token_key(F.col("cls"), F.col("src"), F.col("tgt"))).withColumnsRenamed({"src": "k_src", "tgt": "k_tgt", "cls": "k_cls"}), "key")
-    both = met.join(asked, "number")
-    same = (F.col("k_cls") == F.col("cls")) & F.array_contains("src_useful", F.col("k_src")) & F.array_contains("tgt_useful", F.col("k_tgt"))
-    return both.where(same).drop("number", "key", "k_src", "k_tgt", "k_cls", "cls", "src_useful", "tgt_useful")
+    """Rows of ``keys`` (src, tgt, cls, ...; each once) that answer each request (req, src, tgt,
+    cls), through memberships on both sides."""
+    told = F.struct(*[c for c in keys.columns if c not in ("src", "tgt", "cls")])
+    return _with_keys_hit(requests.select("req", "src", "tgt", "cls"), keys, board, told).select("req", F.explode("hits").alias("hit")).select("req", "hit.*")
 
 
 def board_answers(requests: DataFrame, board: Board) -> DataFrame:
-    """Adds to (req, src, tgt, cls, perms): board_granted, the union over all keys that answer, and
+    """Adds to (src, tgt, cls, perms, ...): board_granted, the union over all keys that answer, and
     satisfied, whether one key alone grants everything. An empty request is satisfied."""
-    keys = settle(board.allows.withColumnRenamed("perms", "given"))  # its tokens and its rows are read
-    rows = settle(requests.withColumn("_row", F.monotonically_increasing_id()))  # numbers meet and sort faster than texts
-    hits = board_hits(rows.select(F.col("_row").alias("req"), "src", "tgt", "cls"), keys, board)
-    told = hits.groupBy(F.col("req").alias("_row")).agg(F.collect_set("given").alias("_given"))
-    each = F.coalesce("_given", F.array().cast("array<array<string>>"))
-    one = F.coalesce(F.exists(each, lambda given: F.size(F.array_except("perms", given)) == 0), F.lit(False))
-    out = rows.join(told, "_row", "left").withColumns({"board_granted": F.sort_array(F.array_distinct(F.flatten(each))), "satisfied": one | (F.size("perms") == 0)})
-    return out.drop("_row", "_given")
+    rows = _with_keys_hit(requests, settle(board.allows), board, F.col("perms"))
+    one = F.coalesce(F.exists("hits", lambda given: F.size(F.array_except("perms", given)) == 0), F.lit(False))
+    return rows.withColumns({"board_granted": F.sort_array(F.array_distinct(F.flatten("hits"))), "satisfied": one | (F.size("perms") == 0)}).drop("hits")
 
 
 def board_commands(requests: DataFrame, board: Board) -> DataFrame:

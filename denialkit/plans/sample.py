@@ -137,6 +137,7 @@ def syn_b_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One access a lineitem row: its supplier, a part nearby, what its flags say."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = F.col("l_partkey") - F.col("l_partkey") % 2 * F.col("l_linenumber")
-    return li.select(F.concat(F.lit("supp_"), "l_suppkey").alias("src"), F.concat(F.lit("part_"), part).alias("tgt"), F.when(F.col("l_linestatus") == "O", "file").otherwise("dir").alias("cls"),
-                     F.when(F.col("l_returnflag") == "A", F.array(F.lit("open"), F.lit("read"))).otherwise(F.array(F.lit("getattr"), F.lit("write"))).alias("perms")).distinct().withColumn(
-        "req", F.concat_ws(" ", "src", "tgt", "cls", F.array_join("perms", ","))).withColumn("ioctl_cmd", F.lit(None).cast("string"))
+    asked = li.select(F.concat(F.lit("supp_"), "l_suppkey").alias("src"), F.concat(F.lit("part_"), part).alias("tgt"), F.when(F.col("l_linestatus") == "O", "file").otherwise("dir").alias("cls"),
+                     F.when(F.col("l_returnflag") == "A", F.array(F.lit("open"), F.lit("read"))).otherwise(F.array(F.lit("getattr"), F.lit("write"))).alias("perms"))
+    # dealt by target, so that the distinct rows meet what is known of their targets where they are
+    return asked.repartition("tgt").distinct().withColumn("req", F.concat_ws(" ", "src", "tgt", "cls", F.array_join("perms", ","))).withColumn("ioctl_cmd", F.lit(None).cast("string"))

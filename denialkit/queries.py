@@ -335,7 +335,7 @@ per AS (SELECT src, tgt, cls, asked, bool_or(kind = 'allow' AND (list_contains(p
 @query(SYN_B_SQL + " SELECT q.cls, array_to_string(q.perms, ' ') AS perms, coalesce(p.allowed, false) AS allowed, coalesce(p.stopped, false) AS stopped, count(*) AS requests FROM req q LEFT JOIN per p ON p.src = q.src AND p.tgt = q.tgt AND p.cls = q.cls AND p.asked = q.perms GROUP BY 1, 2, 3, 4")
 def o38_access_at_scale(spark, sf_dir):
     policy = sample.syn_b_policy(spark, sf_dir)
-    a = answers(sample.syn_b_requests(spark, sf_dir), policy, policy.closure())
+    a = answers(sample.syn_b_requests(spark, sf_dir).drop("req"), policy, policy.closure())
     return a.groupBy("cls", words("perms").alias("perms"), "allowed", (F.col("n_neverallow") > 0).alias("stopped")).agg(F.count("*").alias("requests"))
 
 
