@@ -21,7 +21,7 @@ def shuffled(spark):
     return sum(some.apply(i).totalShuffleWrite() for i in range(some.size()))
 
 
-@pytest.mark.parametrize("name", ["o38_access_at_scale"])
+@pytest.mark.parametrize("name", ["o38_access_at_scale", "o45_board_access"])
 def test_few_bytes_of_a_request_are_shuffled(spark, name):
     """Requests go by their target, by their names, and nowhere else; neither do keys or token lists of theirs."""
     tables = sum(os.path.getsize(f"{SF}/{t}.parquet") for t in ("customer", "supplier", "part", "orders", "lineitem", "events"))
